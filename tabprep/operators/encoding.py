@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from tabprep.base import Fitted, Step
 from tabprep.functions.columns import (
-    as_double, col, lookup, non_numeric_columns, numeric_columns, replace_columns, small_table)
+    as_double, col, lookup, non_numeric_columns, replace_columns, small_table)
 from tabprep.functions.order_stats import quantiles
 from tabprep.sources.storage import fresh_path, stored
 
@@ -368,8 +368,3 @@ def cluster_map(df: DataFrame, c: str, distinct: int, seed: int) -> CategoryMap:
     placed = model.transform(points).select("key", F.col("prediction").alias("value"))
     return CategoryMap.learn(placed)
 
-
-__all__ = ["CategoricalEncoder", "CategoryMap", "FittedEncoder", "FittedFrequency",
-           "FittedQuantileBins", "QuantileBinEncoder", "category_codes", "category_counts",
-           "category_summary", "cluster_map", "distinct_counts", "encode_dummies", "fit_frequency",
-           "numbered", "numeric_columns", "sorted_categories", "target_map"]
