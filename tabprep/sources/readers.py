@@ -25,9 +25,14 @@ def _checked(df: DataFrame, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             sep: str = ",", encoding: str = "UTF-8", timestamps_ntz: bool = True) -> DataFrame:
-    """Delimited text with a header. Give a schema for large inputs: inferring one scans twice."""
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+             sep: str = ",", encoding: str = "UTF-8", timestamps_ntz: bool = True,
+             multiline: bool = False) -> DataFrame:
+    """Delimited text with a header. Give a schema for large inputs: inferring one scans twice.
+
+    ``multiline`` allows line breaks inside quoted values, but then a file is not split.
+    """
+    reader = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+              .option("escape", '"').option("multiLine", multiline))
     if schema is not None:
         return _checked(reader.schema(schema).csv(path), path)
     df = reader.option("inferSchema", True).csv(path)

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame
 
 from tabprep.functions.columns import col
 
+#: microseconds are kept in text formats
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+         "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8",
               header: bool = True, mode: str = "errorifexists") -> str:
-    (df.write.mode(mode).option("header", header).option("sep", sep)
-     .option("encoding", encoding).csv(path))
+    (df.write.mode(mode).options(**TIMES).option("header", header).option("sep", sep)
+     .option("encoding", encoding).option("escape", '"').csv(path))
     return path
 
 
@@ -20,7 +24,7 @@ def write_txt(df: DataFrame, path: str, sep: str = "\t", mode: str = "errorifexi
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """One JSON object per line; absent fields stay visible as nulls."""
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+    df.write.mode(mode).options(**TIMES).option("ignoreNullFields", False).json(path)
     return path
 
 
