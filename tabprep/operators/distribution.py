@@ -7,12 +7,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.base import Fitted, Step
-from tabprep.functions.columns import as_double, col, nan_to_null, numeric_columns, replace_columns
+from tabprep.functions.columns import (
+    as_double, col, nan_to_null, numeric_columns, replace_columns, small_table)
 from tabprep.functions.math import (
     box_cox, box_cox_inverse, clip, normal_quantile, yeo_johnson, yeo_johnson_inverse)
 from tabprep.functions.moments import adjusted_skew, profile
@@ -196,28 +198,32 @@ class FittedDistribution(Fitted):
         return replace_columns(df, {c: self.expression(c) for c in names})
 
     def _to_normal(self, df: DataFrame, c: str) -> DataFrame:
-        """Interpolate between landmark quantiles; the landmark is found by binary search."""
+        """Interpolate between landmark quantiles. The landmark below a value is found by binary
+        search and brings its numbers along from a table of at most LANDMARKS rows."""
         p = self.params[c]
         v, lo, hi = p["values"], p["first"], p["last"]
+        x = as_double(c)
+        named = df.withColumn("__x", F.coalesce(x, F.lit(math.nan)))
         if len(v) < 2:
-            share, place = F.lit(0.0), df
+            placed = named.withColumn("__p", F.lit(0.0))
         else:
-            named = df.withColumn("__x", F.coalesce(as_double(c), F.lit(math.nan)))
+            marks = small_table(df.sparkSession, {
+                "__b": pa.array([float(i) for i in range(len(v))], pa.float64()),
+                "__v0": pa.array(v, pa.float64()), "__p0": pa.array(hi, pa.float64()),
+                "__v1": pa.array([*v[1:], v[-1]], pa.float64()),
+                "__p1": pa.array([*lo[1:], 1.0], pa.float64()),
+                # a landmark that stands for several ranks maps to their middle
+                "__mid": pa.array([(a + b) / 2 for a, b in zip(lo, hi, strict=True)], pa.float64())})
             cut = Bucketizer(splits=[-math.inf, *v[1:], math.inf], inputCol="__x",
                              outputCol="__b", handleInvalid="keep")
-            place = cut.transform(named)
-            i, x = F.col("__b").cast("int") + 1, as_double(c)
-            after = F.least(i + 1, F.lit(len(v)))
-            # a landmark that stands for several ranks maps to their middle
-            middle = F.try_element_at(F.lit([(a + b) / 2 for a, b in zip(lo, hi, strict=True)]), i)
-            v0, p0 = (F.try_element_at(F.lit(a), i) for a in (v, hi))
-            v1, p1 = (F.try_element_at(F.lit(a), after) for a in (v, lo))
-            between = p0 + F.try_divide(x - v0, v1 - v0) * (p1 - p0)
-            share = (F.when(x <= v[0], 0.0).when(x >= v[-1], 1.0).when(x == v0, middle)
-                     .otherwise(between))
-        inner = F.least(F.greatest(share, F.lit(EDGE)), F.lit(1 - EDGE))
-        new = F.when(col(c).isNotNull(), normal_quantile(inner))
-        return place.select(*[new.alias(x) if x == c else col(x) for x in df.columns])
+            step = F.try_divide(x - F.col("__v0"), F.col("__v1") - F.col("__v0"))
+            between = F.col("__p0") + step * (F.col("__p1") - F.col("__p0"))
+            placed = cut.transform(named).join(F.broadcast(marks), "__b", "left").withColumn(
+                "__p", F.when(x <= v[0], 0.0).when(x >= v[-1], 1.0)
+                .when(x == F.col("__v0"), F.col("__mid")).otherwise(between))
+        inner = placed.withColumn("__p", F.least(F.greatest("__p", F.lit(EDGE)), F.lit(1 - EDGE)))
+        new = F.when(col(c).isNotNull(), normal_quantile(F.col("__p")))
+        return inner.select(*[new.alias(n) if n == c else col(n) for n in df.columns])
 
     def inverse_transform(self, df: DataFrame) -> DataFrame:
         new = {}
