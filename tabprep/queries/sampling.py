@@ -1 +1,66 @@
+"""Splits, samples, weights, synthetic rows."""
 
+from pyspark.sql import functions as F
+
+from tabprep.operators import sampling as S
+from tabprep.queries.registry import query, rounded, table
+
+
+@query("split_stratified", """
+WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type
+                  ORDER BY md5(event_id::VARCHAR || '42')) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_id, event_type, CASE WHEN k <= floor(n * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split FROM r""")
+def split_stratified(spark, sf):
+    return S.stratified_split(table(spark, sf, "events").select("event_id", "event_type"), "event_type", "event_id")
+
+
+@query("split_head", """
+SELECT o_orderkey, o_orderdate, o_totalprice, CASE WHEN row_number() OVER (ORDER BY o_orderdate, o_orderkey) <= 777
+       THEN 'head' ELSE 'tail' END AS split FROM orders""")
+def split_head(spark, sf):
+    frame = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return S.split_head(frame, 777, "o_orderdate", "o_orderkey")
+
+
+@query("sample_n", """SELECT * FROM orders ORDER BY md5(o_orderkey::VARCHAR || '42'), o_orderkey LIMIT 1000""")
+def sample_n(spark, sf):
+    return S.sample_rows(table(spark, sf, "orders"), "o_orderkey", 1000)
+
+
+@query("class_weights", """
+SELECT event_type AS class, count(*) AS n, round((SELECT count(*)::DOUBLE FROM events)
+       / ((SELECT count(DISTINCT event_type) FROM events) * count(*)), 9) AS weight FROM events GROUP BY 1""")
+def class_weights(spark, sf):
+    return rounded(S.class_weights(table(spark, sf, "events"), "event_type"), 9)
+
+
+@query("class_weights_attached", """
+WITH w AS (SELECT quality, (SELECT count(*)::DOUBLE FROM labels) / (2 * count(*)) AS weight FROM labels GROUP BY 1)
+SELECT doc_id, quality, round(weight, 9) AS weight FROM labels JOIN w USING (quality)""")
+def class_weights_attached(spark, sf):
+    frame = table(spark, sf, "labels").select("doc_id", "quality")
+    return rounded(S.with_class_weights(frame, "quality"), 9)
+
+
+# every minority row gets the same number of copies, the remainder by hash; whole-number features
+_SMOTE = """
+WITH e AS (SELECT event_id AS id, user_id::DOUBLE AS a, minute(ts)::DOUBLE AS b, (event_id % 20 = 0)::INTEGER AS y FROM events),
+     n AS (SELECT count(*) FILTER (y = 1) AS few, count(*) FILTER (y = 0) AS most FROM e),
+     m AS (SELECT id, a, b, row_number() OVER (ORDER BY md5(id::VARCHAR || '42')) AS h FROM e WHERE y = 1),
+     c AS (SELECT id, a, b, (most - few) // few + (h <= (most - few) % few)::INT AS copies FROM m, n),
+     p AS (SELECT q.id, d.id AS other, d.a AS oa, d.b AS ob, row_number() OVER (PARTITION BY q.id
+             ORDER BY (q.a - d.a) ** 2 + (q.b - d.b) ** 2, d.id) AS r FROM m q, m d WHERE q.id <> d.id),
+     k AS (SELECT id, a, b, unnest(range(copies)) AS copy FROM c),
+     u AS (SELECT id, a, b, ('0x' || substr(md5(id || '#' || copy || '42n'), 1, 13))::BIGINT % 5 + 1 AS pick,
+                  ('0x' || substr(md5(id || '#' || copy || '42g'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS gap FROM k)
+SELECT a, b, y, 0::INTEGER AS synthetic FROM e UNION ALL
+SELECT round(u.a + gap * (oa - u.a), 6), round(u.b + gap * (ob - u.b), 6), 1, 1
+FROM u JOIN p ON u.id = p.id AND u.pick = p.r"""
+
+
+@query("smote", _SMOTE)
+def smote(spark, sf):
+    frame = table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), F.col("user_id").cast("double").alias("a"),
+        F.minute("ts").cast("double").alias("b"), (F.col("event_id") % 20 == 0).cast("int").alias("y"))
+    return rounded(S.smote(frame, "y", 1, "id"))
