@@ -197,6 +197,7 @@ class FittedEncoder(Fitted):
     handle_unknown: str = "ignore"
     unknown_value: float = -1
     cardinality: dict = field(default_factory=dict)
+    one_hot_last: bool = False
 
     @classmethod
     def restore(cls, params: dict) -> FittedEncoder:
@@ -243,6 +244,10 @@ class FittedEncoder(Fitted):
                 one_hot[c] = self._one_hot(c)
         if not one_hot and not self.of_kind("ordinal"):
             return out.select(*[new.get(c, col(c)).alias(c) for c in df.columns])
+        if self.one_hot_last:
+            rest = [c for c in df.columns if c not in one_hot]
+            return out.select(*[new.get(c, col(c)).alias(c) for c in rest],
+                              *[m for c in one_hot for m in one_hot[c]])
         first = [c for c in self.of_kind("ordinal") if c in have]
         rest = [c for c in df.columns if c not in first and c not in one_hot]
         return out.select(*[new[c].alias(c) for c in first],
@@ -284,6 +289,7 @@ class CategoricalEncoder(Step):
     unknown_value: float = -1
     random_state: int = 42
     two_values_are_binary: bool = True
+    one_hot_last: bool = False
 
     def __post_init__(self):
         if not isinstance(self.max_cardinality, int) or self.max_cardinality <= 0:
@@ -338,7 +344,7 @@ class CategoricalEncoder(Step):
                 if default is not None:
                     defaults[c] = default
         return FittedEncoder(kinds, classes, maps, defaults, self.handle_unknown, self.unknown_value,
-                             {c: n for c, (_, n) in found.items()})
+                             {c: n for c, (_, n) in found.items()}, self.one_hot_last)
 
     def _high(self, df: DataFrame, c: str, target: str | None,
               distinct: int) -> tuple[CategoryMap, float | None]:

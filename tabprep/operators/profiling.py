@@ -129,7 +129,7 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     if len(found) > MAX_PIVOT:
         raise ValueError(f"column {b!r} has more than {MAX_PIVOT} values")
     values = sorted(r[0] for r in found)
-    return (df.where(col(a).isNotNull()).groupBy(col(a)).pivot(b, values).agg(F.count("*"))
+    return (df.where(col(a).isNotNull()).groupBy(col(a)).pivot(b, values).agg(F.count(F.lit(1)))
             .na.fill(0, [str(v) for v in values]))
 
 
