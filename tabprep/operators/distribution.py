@@ -90,6 +90,8 @@ def fit_lambdas(df: DataFrame, wanted: Mapping[str, tuple[str, Column]]) -> dict
     A grid of lambdas is scored for all columns in one aggregation, then the grid closes in around
     each column's best value; a parabola through the last three points finishes.
     """
+    if not wanted:
+        return {}
     base = df.agg(*[a for kind, x in wanted.values() for a in (
         F.count(x), F.avg(F.log(x)) if kind == "box_cox"
         else F.avg(F.signum(x) * F.log1p(F.abs(x))))]).first()

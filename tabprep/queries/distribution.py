@@ -118,7 +118,7 @@ def tx_zscore(spark, sf):
 @query("tx_boxcox")
 def tx_boxcox(spark, sf):
     frame = table(spark, sf, "events").select("event_id", "value")
-    return rounded(D.DistributionTransformer("box-cox", ["value"], "ignore").fit(frame).transform(frame))
+    return rounded(D.DistributionTransformer("box-cox", ["value"]).fit(frame).transform(frame))
 
 
 @query("tx_boxcox_fixed", """SELECT event_id, round(((value + 1) ** 0.25 - 1) / 0.25, 6) AS value FROM events""")

@@ -159,7 +159,7 @@ def mixed(spark, sf):
         F.when(k % 2 == 0, F.col("value")).alias("half"), "event_type", (k % 2).cast("int").alias("y"))
 
 
-_KINDS = ["click", "error", "purchase", "scroll", "view"]
+_KINDS = ["click", "error", "purchase", "signup", "view"]
 
 
 def _six_sql(kinds):
