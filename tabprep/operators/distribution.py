@@ -87,8 +87,8 @@ def skew_improvement(before: DataFrame, after: DataFrame, columns: Sequence[str]
 def fit_lambdas(df: DataFrame, wanted: Mapping[str, tuple[str, Column]]) -> dict[str, float]:
     """Maximum-likelihood lambda per column for ``(family, expression)``.
 
-    A grid of lambdas is scored for all columns in one aggregation, then the grid closes in around
-    each column's best value; a parabola through the last three points finishes.
+    A grid of lambdas is scored for all columns in one aggregation. A parabola through the best point
+    and its neighbours centres the next, much finer grid; a best point on the rim moves the grid.
     """
     if not wanted:
         return {}
@@ -97,51 +97,55 @@ def fit_lambdas(df: DataFrame, wanted: Mapping[str, tuple[str, Column]]) -> dict
         else F.avg(F.signum(x) * F.log1p(F.abs(x))))]).first()
     facts = {c: (base[2 * i], base[2 * i + 1]) for i, c in enumerate(wanted)}
     todo = [c for c in wanted if facts[c][0] and facts[c][1] is not None]
-    centre, step, half = dict.fromkeys(todo, 0.0), 0.5, 8
-    best: dict[str, tuple[float, list[float], list[float]]] = {}
-    for _ in range(8):
-        grids = {c: [centre[c] + (i - half) * step for i in range(2 * half + 1)] for c in todo}
-        aggs = []
-        for c in todo:
-            kind, x = wanted[c]
-            if kind == "box_cox":
-                # dividing by the geometric mean keeps the powers small
-                small = x / F.lit(math.exp(facts[c][1]))
-                aggs += [F.var_pop(box_cox(small, g)) for g in grids[c]]
-            else:
-                aggs += [F.var_pop(yeo_johnson(x, g)) for g in grids[c]]
-        row = df.agg(*aggs).first()
-        edge = False
-        for i, c in enumerate(todo):
-            n, mean_log = facts[c]
-            likelihood = []
-            for j, g in enumerate(grids[c]):
-                var = row[i * (2 * half + 1) + j]
-                if var is None or not math.isfinite(var) or var <= 0:
-                    likelihood.append(-math.inf)
-                    continue
-                log_var = math.log(var) + (2 * g * mean_log if wanted[c][0] == "box_cox" else 0.0)
-                likelihood.append(((g - 1) * mean_log - log_var / 2) * n)
-            top = int(np.argmax(likelihood))
-            best[c] = (grids[c][top], grids[c], likelihood)
-            centre[c] = grids[c][top]
-            edge |= top in (0, 2 * half) and math.isfinite(likelihood[top])
-        if edge and abs(max(centre.values(), key=abs)) < 16:
-            continue
-        if step < 1e-3:
-            break
-        step = step / half
+    centre = dict.fromkeys(todo, 0.0)
+    for step, half in ((0.5, 8), (0.02, 4), (5e-4, 4)):
+        moving = list(todo)
+        for _ in range(8):
+            if not moving:
+                break
+            grids = {c: [centre[c] + i * step for i in range(-half, half + 1)] for c in moving}
+            scores = _likelihoods(df, {c: wanted[c] for c in moving}, grids, facts)
+            still = []
+            for c in moving:
+                top = int(np.argmax(scores[c]))
+                centre[c] = grids[c][top]
+                if 0 < top < 2 * half:
+                    centre[c] += step * _vertex(*scores[c][top - 1:top + 2])
+                elif math.isfinite(scores[c][top]) and abs(centre[c]) < 32:
+                    still.append(c)
+            moving = still
+    return {c: float(v) for c, v in centre.items()}
+
+
+def _vertex(left: float, top: float, right: float) -> float:
+    """Position of the highest point of the parabola through -1, 0 and 1."""
+    bend = left - 2 * top + right
+    if not math.isfinite(bend) or bend >= 0:
+        return 0.0
+    return 0.5 * (left - right) / bend
+
+
+def _likelihoods(df: DataFrame, wanted: Mapping[str, tuple[str, Column]],
+                 grids: Mapping[str, Sequence[float]],
+                 facts: Mapping[str, tuple[int, float]]) -> dict[str, list[float]]:
+    aggs = []
+    for c, (kind, x) in wanted.items():
+        # dividing by the geometric mean keeps the powers small
+        scaled = x / F.lit(math.exp(facts[c][1])) if kind == "box_cox" else x
+        shape = box_cox if kind == "box_cox" else yeo_johnson
+        aggs += [F.var_pop(shape(scaled, g)) for g in grids[c]]
+    found = iter(df.agg(*aggs).first())
     out = {}
-    for c in wanted:
-        if c not in best:
-            continue
-        g, grid, lk = best[c]
-        i = grid.index(g)
-        if 0 < i < len(grid) - 1 and all(math.isfinite(v) for v in lk[i - 1:i + 2]):
-            bend = lk[i - 1] - 2 * lk[i] + lk[i + 1]
-            if bend < 0:
-                g += 0.5 * (lk[i - 1] - lk[i + 1]) / bend * (grid[1] - grid[0])
-        out[c] = float(g)
+    for c, (kind, _) in wanted.items():
+        mean_log = facts[c][1]
+        out[c] = []
+        for g in grids[c]:
+            var = next(found)
+            if var is None or not math.isfinite(var) or var <= 0:
+                out[c].append(-math.inf)
+                continue
+            log_var = math.log(var) + (2 * g * mean_log if kind == "box_cox" else 0.0)
+            out[c].append((g - 1) * mean_log - log_var / 2)
     return out
 
 

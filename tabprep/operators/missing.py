@@ -229,9 +229,8 @@ def fill_in_time(df: DataFrame, time_col: str, tie_col: str, columns: Sequence[s
     parts = list(partition_by)
     spread, order = bucketed(df, [time_col, tie_col])
     by = [*parts, "__bucket"]
-    inside = Window.partitionBy(*[col(c) for c in by]).orderBy(*order)
-    before = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    before = (Window.partitionBy(*[col(c) for c in by]).orderBy(*order)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     place = F.struct(*order)
     ends = spread.groupBy(*[col(c) for c in by]).agg(*[
         f(col(c), F.when(col(c).isNotNull(), place)).alias(f"__{n}{i}")
@@ -239,15 +238,16 @@ def fill_in_time(df: DataFrame, time_col: str, tie_col: str, columns: Sequence[s
     # one row per partition and bucket: the number of buckets is bounded by ``bucketed``
     over = Window.partitionBy(*[col(c) for c in parts]).orderBy("__bucket")
     earlier = over.rowsBetween(Window.unboundedPreceding, -1)
-    later = over.rowsBetween(1, Window.unboundedFollowing)
+    whole = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # rows that a forward fill leaves empty precede every known value of their partition, so what a
+    # backward fill gives them is the first known value of the partition
     carried = ends.select(*[col(c) for c in by], *[
         F.last(F.col(f"__last{i}"), True).over(earlier).alias(f"__in{i}")
         for i in range(len(columns))], *[
-        F.first(F.col(f"__first{i}"), True).over(later).alias(f"__out{i}")
+        F.first(F.col(f"__first{i}"), True).over(whole).alias(f"__start{i}")
         for i in range(len(columns))])
     joined = _null_safe_join(spread, carried, by)
-    new = {c: F.coalesce(F.last(col(c), True).over(before), F.col(f"__in{i}"),
-                         F.first(col(c), True).over(after), F.col(f"__out{i}"))
+    new = {c: F.coalesce(F.last(col(c), True).over(before), F.col(f"__in{i}"), F.col(f"__start{i}"))
            for i, c in enumerate(columns)}
     return joined.select(*[new[c].alias(c) if c in new else col(c) for c in df.columns])
 
