@@ -99,6 +99,7 @@ def brute_force(q, d, features, k):
 @pytest.mark.parametrize("shared", [20_000, 0])
 def test_nearest_equals_brute_force(spark, monkeypatch, shared):
     monkeypatch.setattr(N, "SHARED_DONORS", shared)
+    monkeypatch.setattr(N, "MORE_DONORS", shared)
     monkeypatch.setattr(N, "ROWS_PER_CELL", 20)
     monkeypatch.setattr(N, "QUERIES_PER_CHUNK", 5)
     rng = np.random.default_rng(3)
