@@ -74,8 +74,9 @@ def yeo_johnson_inverse(y: Column, lam: float) -> Column:
 
 
 def normality_p(n: int, skew_pop: float | None, kurt_pop: float | None) -> float | None:
-    """p value of the K-squared test from sample moments (population skewness, excess kurtosis)."""
-    if n < 20 or skew_pop is None or kurt_pop is None:
+    """p value of the K-squared test from sample moments (population skewness, excess kurtosis);
+    None below 8 values, where the test is not defined."""
+    if n < 8 or skew_pop is None or kurt_pop is None:
         return None
     if math.isnan(skew_pop) or math.isnan(kurt_pop):
         return None

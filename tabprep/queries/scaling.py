@@ -94,7 +94,7 @@ def normality_test(spark, sf):
     for frame, c in frames:
         m = profile(frame, [c], ["n", "skew_pop", "kurt_pop"])[c]
         p = normality_p(m["n"], m["skew_pop"], m["kurt_pop"])
-        rows.append((c, round(p, 6) + 0.0, int(p > 0.05)))
+        rows.append((c, None if p is None else round(p, 6) + 0.0, int(p is not None and p > 0.05)))
     return spark.createDataFrame(rows, "column string, p double, normal int")
 
 
