@@ -10,21 +10,33 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-#: Pieces that one worker keeps; all are dropped when the number is reached. A memory setting, without effect on ids.
-KEPT_PIECES = 700_000
+#: Pieces, and parts of pieces, that one worker keeps; all are dropped when the number is reached. Memory settings,
+#: without effect on ids.
+KEPT_PIECES, KEPT_PARTS = 300_000, 1_200_000
 
 _INSIDE_RUN = re.compile(r"\s (?=\s|\Z)")
 _SPLIT = re.compile(r"(?<=\S)(?= )")
-#: How the two vocabularies split plain ASCII text into words before merging.
-_ASCII_WORDS = {
-    "byte": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"),
-    "word": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"),
+#: Letters beyond ASCII of which every Unicode version says the same, and that no normalisation joins or takes apart.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_COMMON = re.compile(rf"[\x00-\x1b\x20-\x7f{_LATIN}]*")
+#: How the two vocabularies split such text into words before merging.
+_WORDS = {
+    "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z{_LATIN}]+| ?[0-9]+| ?[^\sA-Za-z0-9{_LATIN}]+|\s+(?!\S)|\s+"),
+    "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^\sa-z0-9{_LATIN}]+"),
 }
 
 
+def _letters() -> dict[int, str]:
+    """For each byte the letter that stands for it in the vocabulary: visible Latin-1 as itself, the rest from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizer file; ids come as little-endian bytes of the given width."""
 
@@ -36,7 +48,7 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         #: Byte-level vocabularies keep white space; the other drops it and lower-cases.
         self.kind = "byte" if self.tokenizer.normalizer is None else "word"
-        self.words = _ASCII_WORDS[self.kind]
+        self.words, self.letters, self.model = _WORDS[self.kind], _letters(), self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = np.dtype(f"<u{width}")
         self.pieces: dict[str, bytes] = {}
@@ -50,20 +62,23 @@ class PieceEncoder:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
-    def _library(self, pieces: list[str], into: dict[str, bytes]) -> None:
+    def _library(self, pieces: list[str]) -> None:
         for x, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            into[x] = np.array(e.ids, self.width).tobytes()
+            self.pieces[x] = np.array(e.ids, self.width).tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
+        """Words in common letters go straight to the library's model, all else through the whole of the library."""
         whole, cut = [], {}
         for x in pieces:
-            if x.isascii() and not any(s in x for s in self.specials):
+            if _COMMON.fullmatch(x) and not any(s in x for s in self.specials):
                 cut[x] = self.words.findall(x.lower() if self.kind == "word" else x)
             else:
                 whole.append(x)
-        self._library(whole, self.pieces)
-        if new := {y for parts in cut.values() for y in parts} - self.parts.keys():
-            self._library(list(new), self.parts)
+        self._library(whole)
+        tokenize, code = self.model.tokenize, "H" if self.width.itemsize == 2 else "I"
+        for x in {y for parts in cut.values() for y in parts} - self.parts.keys():
+            letters = x.encode().decode("latin-1").translate(self.letters)
+            self.parts[x] = array(code, [t.id for t in tokenize(letters)]).tobytes()
         get = self.parts.__getitem__
         for x, parts in cut.items():
             self.pieces[x] = b"".join(map(get, parts))
@@ -72,8 +87,9 @@ class PieceEncoder:
         out = []
         for at in range(0, len(texts), 256):
             cut = [self._cut(t) for t in texts[at:at + 256]]
-            if len(self.pieces) > KEPT_PIECES or len(self.parts) > KEPT_PIECES:
+            if len(self.pieces) > KEPT_PIECES:
                 self.pieces.clear()
+            if len(self.parts) > KEPT_PARTS:
                 self.parts.clear()
             if new := set().union(*cut) - self.pieces.keys():
                 self._learn(new)
