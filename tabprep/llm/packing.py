@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprep.llm.arrow import id_and_text, rows_batch, texts_of
-from tabprep.llm.tokens import encoder
+from tabprep.llm.tokens import encoder, id_width
 from tabprep.sources.storage import stored
 
 
@@ -65,24 +65,24 @@ def minimum_slack_plan(counts: dict[int, int], window: int) -> list[tuple[int, l
     return plan
 
 
-def _cut(path: str, end_id: int, window: int, with_ids: bool):
+def _cut(path: str, end_id: int, window: int, with_ids: bool, width: int):
     fields = [("task", pa.int64()), ("nth", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()),
               ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))]
     schema = pa.schema(fields if with_ids else fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen, end = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64), np.array([end_id], "<u4").tobytes()
+        task, seen, end = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64), np.array([end_id], f"<u{width}").tobytes()
         for batch in batches:
             rows = []
-            encoded = encoder(path).encode(texts_of(batch.column(1)))
+            encoded = encoder(path, width).encode(texts_of(batch.column(1)))
             for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                ids += end
-                tokens = len(ids) // 4
+                ids = np.frombuffer(ids + end, f"<u{width}").astype("<u4")
+                tokens = len(ids)
                 for start in range(0, tokens, window):
-                    piece = ids[4 * start:4 * (start + window)]
-                    n = len(piece) // 4
+                    piece = ids[start:start + window]
+                    n = len(piece)
                     rows.append((task, int(seen[n]), doc, start, n, zlib.crc32(piece), tokens)
-                                + ((np.frombuffer(piece, "<i4"),) if with_ids else ()))
+                                + ((piece.astype(np.int32),) if with_ids else ()))
                     seen[n] += 1
             yield rows_batch(schema, *(zip(*rows, strict=True) if rows else [[]] * len(schema)))
     return run
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     """
     fields = "task long, nth long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long" \
         + ", ids array<int>" * with_ids
-    pieces = stored(id_and_text(docs, key, text).mapInArrow(_cut(tokenizer_path, end_id, window, with_ids), fields), "pieces")
+    pieces = stored(id_and_text(docs, key, text).mapInArrow(_cut(tokenizer_path, end_id, window, with_ids, id_width(tokenizer_path)), fields), "pieces")
     by_task = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     before = by_task.select("task", "length", "n", (F.sum("n").over(Window.partitionBy("length").orderBy("task"))
                                                     - F.col("n")).alias("before"))

@@ -16,7 +16,7 @@ import numpy as np
 
 #: Pieces, and parts of pieces, that one worker keeps; all are dropped when the number is reached. Memory settings,
 #: without effect on ids.
-KEPT_PIECES, KEPT_PARTS = 300_000, 1_200_000
+KEPT_PIECES, KEPT_PARTS = 600_000, 1_000_000
 
 _INSIDE_RUN = re.compile(r"\s (?=\s|\Z)")
 _SPLIT = re.compile(r"(?<=\S)(?= )")
@@ -66,24 +66,30 @@ class PieceEncoder:
         for x, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
             self.pieces[x] = np.array(e.ids, self.width).tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _words_of(self, piece: str) -> tuple[str, ...] | list[str]:
+        if self.kind == "word":
+            return (piece,) if piece.isalpha() else self.words.findall(piece)
+        return (piece,) if piece.isalpha() or piece[:1] == " " and piece[1:].isalpha() else self.words.findall(piece)
+
+    def _learn(self, pieces: set[str], common: bool) -> None:
         """Words in common letters go straight to the library's model, all else through the whole of the library."""
         whole, cut = [], {}
         for x in pieces:
-            if _COMMON.fullmatch(x) and not any(s in x for s in self.specials):
-                cut[x] = self.words.findall(x.lower() if self.kind == "word" else x)
+            if common or _COMMON.fullmatch(x) and not any(s in x for s in self.specials):
+                cut[x] = self._words_of(x.lower() if self.kind == "word" else x)
             else:
                 whole.append(x)
         self._library(whole)
-        tokenize, code = self.model.tokenize, "H" if self.width.itemsize == 2 else "I"
-        for x in {y for parts in cut.values() for y in parts} - self.parts.keys():
-            letters = x.encode().decode("latin-1").translate(self.letters)
-            self.parts[x] = array(code, [t.id for t in tokenize(letters)]).tobytes()
-        get = self.parts.__getitem__
-        for x, parts in cut.items():
-            self.pieces[x] = b"".join(map(get, parts))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        parts, tokenize, code = self.parts, self.model.tokenize, "H" if self.width.itemsize == 2 else "I"
+        for words in cut.values():
+            for x in words:
+                if x not in parts:
+                    letters = x.encode().decode("latin-1").translate(self.letters)
+                    parts[x] = array(code, [t.id for t in tokenize(letters)]).tobytes()
+        for x, words in cut.items():
+            self.pieces[x] = parts[words[0]] if len(words) == 1 else b"".join([parts[y] for y in words])
+
+    def _known(self, texts: list[str], common: bool) -> list[bytes]:
         out = []
         for at in range(0, len(texts), 256):
             cut = [self._cut(t) for t in texts[at:at + 256]]
@@ -92,11 +98,18 @@ class PieceEncoder:
             if len(self.parts) > KEPT_PARTS:
                 self.parts.clear()
             if new := set().union(*cut) - self.pieces.keys():
-                self._learn(new)
+                self._learn(new, common)
             get = self.pieces.__getitem__
             out += [b"".join(map(get, x)) for x in cut]
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Texts in common letters only need no further look at their pieces, and may be lower-cased."""
+        common = [bool(_COMMON.fullmatch(t)) and not any(s in t for s in self.specials) for t in texts]
+        easy = [t.lower() if self.kind == "word" else t for t, c in zip(texts, common, strict=True) if c]
+        easy, rest = iter(self._known(easy, True)), iter(self._known([t for t, c in zip(texts, common, strict=True) if not c], False))
+        return [next(easy if c else rest) for c in common]
+
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
