@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabprep.llm import binary_ids, forced_bpe, licenses, packing
+from tabprep.llm import binary_ids, forced_bpe, jaccard, licenses, packing
 from tabprep.queries.registry import table
 from tabprep.sources.storage import fresh_path
 
@@ -20,6 +20,10 @@ def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents")).drop("spans")
 
 
+def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join_components(table(spark, folder, "documents")).drop("class_id")
+
+
 def op7_forced_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return forced_bpe.encode_and_decode(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                         with_ids=False)
@@ -29,5 +33,5 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op5_license_scan, op7_forced_bpe, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op5_license_scan, op6_ngram_jaccard, op7_forced_bpe, op8_packing)}
 SQL: dict[str, str] = {}
