@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of text that one step of array work takes.
+BLOCK_BYTES = 1 << 21
+
 
 def plain(name: str) -> Column:
     """The column of exactly that name, whatever characters it holds."""
@@ -32,6 +38,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0]:ends[-1]], ends - ends[0]
 
 
+def in_blocks(batches: Iterator[pa.RecordBatch], *text_columns: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``limit`` bytes of text, or of one row, so that arrays over bytes stay small."""
+    for batch in batches:
+        sizes = sum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                    for k in text_columns)
+        block = (np.cumsum(sizes) - 1) // limit
+        starts = np.flatnonzero(np.diff(block, prepend=-2))
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of a column; a null is an empty text."""
     return [x or "" for x in column.to_pylist()]

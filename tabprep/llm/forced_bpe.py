@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tabprep.llm.arrow import id_and_text, rows_batch, text_bytes
+from tabprep.llm.arrow import id_and_text, in_blocks, rows_batch, text_bytes
 
 #: Fragments that one worker keeps; all are dropped when the number is reached. A memory setting, without effect on ids.
 KEPT_FRAGMENTS = 500_000
@@ -187,7 +187,7 @@ def encode_and_decode(docs: DataFrame, vocabulary_path: str, key: str = "doc_id"
     schema = pa.schema(fields if with_ids else fields[:-2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_blocks(batches, 1):
             rows = []
             for written, decoded in codec(vocabulary_path).encode(*text_bytes(batch.column(1))):
                 again = decoded.decode("utf-8", "replace")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.arrow import id_and_text, rows_batch, text_bytes
+from tabprep.llm.arrow import id_and_text, in_blocks, rows_batch, text_bytes
 from tabprep.llm.components import components
 from tabprep.llm.hashing import distinct_by_text, mix, shingle_hashes, word_hashes
 from tabprep.sources.storage import stored
@@ -43,7 +43,7 @@ def _cell_counts(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
-        for batch in batches:
+        for batch in in_blocks(batches, 0):
             hashes, _ = _shingles(batch.column(0), width)
             counts += np.bincount((hashes >> np.uint64(44)).astype(np.int64), minlength=CELLS)
         yield rows_batch(schema, range(PIECES), [x.tobytes() for x in counts.reshape(PIECES, -1)])
@@ -78,7 +78,7 @@ def _prefixes(width: int, p: int, q: int, crowded: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = np.unpackbits(crowded).astype(np.uint64)
-        for batch in batches:
+        for batch in in_blocks(batches, 1):
             hashes, counts = _shingles(batch.column(1), width)
             ends = np.concatenate([[0], np.cumsum(counts)])
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(k)))]) for k in (0x5A5A, 0xC3C3)]
@@ -119,7 +119,7 @@ def _verified(width: int, p: int, q: int):
         return most >= needed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_blocks(batches, 2, 3):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             dictionary = {}  # a text stands in many pairs of a batch
             for key, column in ((a, 2), (b, 3)):
