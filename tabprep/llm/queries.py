@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabprep.llm import binary_ids, forced_bpe, jaccard, licenses, packing
+from tabprep.llm import binary_ids, forced_bpe, forest, jaccard, licenses, packing, quality
 from tabprep.queries.registry import table
 from tabprep.sources.storage import fresh_path
 
@@ -16,6 +16,10 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return binary_ids.read_token_files(spark, path, with_ids=False)
 
 
+def op2_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_table(table(spark, folder, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents")).drop("spans")
 
@@ -33,5 +37,10 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op5_license_scan, op6_ngram_jaccard, op7_forced_bpe, op8_packing)}
-SQL: dict[str, str] = {}
+def op10_tree_forest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return forest.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality_cascade, op5_license_scan, op6_ngram_jaccard, op7_forced_bpe, op8_packing, op10_tree_forest)}
+SQL: dict[str, str] = {"op2_quality_cascade": quality.QUALITY_SQL}
