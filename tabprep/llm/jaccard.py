@@ -8,6 +8,8 @@ the search.
 Candidates are verified by fragments: the order is cut into ranges, a task counts for each pair the overlap inside each
 range, adds the counts up, and gives up a pair once the ranges that are left cannot make up for what is missing.
 
+Two linked sets also share a known number of indexed n-grams, so pairs that share fewer are never verified.
+
 Links are found in two steps, so that a group of near copies never gives all its pairs. First every class is compared
 with the smallest class of each n-gram it shares, which is one pair for a class and an n-gram. Then only classes that are
 not yet in one component, but share an indexed n-gram, are compared. Any link between components is among these, so the
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.llm.arrow import id_and_text, in_blocks, rows_batch, text_bytes
@@ -32,6 +34,8 @@ from tabprep.sources.storage import stored
 CELLS, PIECES = 1 << 20, 64
 #: Ranges of the global order in which overlaps are counted.
 FRAGMENTS = 16
+#: Ids, at most, that are sent to every task (8 bytes each); more are joined by key.
+BROADCAST_IDS = 2_000_000
 
 
 def _shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,11 +135,30 @@ def _verified(width: int, p: int, q: int):
     return run
 
 
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the ids. As long as the ids are few, the large side stays where it is."""
+    ids = stored(ids, "ids")
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def _check(pairs: DataFrame, texts: DataFrame, width: int, p: int, q: int) -> DataFrame:
     """The pairs (a, b) that are links. Joins carry only texts of classes that stand in some pair."""
+    pairs = stored(pairs, "pairs")
+    both = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = stored(_texts_of(texts, both), "texts")
     x, y = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b"))
-    return (pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b")
-            .mapInArrow(_verified(width, p, q), "a long, b long"))
+    return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b")
+                  .mapInArrow(_verified(width, p, q), "a long, b long"), "verified")
+
+
+def _fewest_shared(n: str, m: str, p: int, q: int) -> Column:
+    """How many indexed n-grams two linked sets of n and m n-grams share at least.
+
+    They share o = ceil(p (n + m) / (p + q)) n-grams, so n - o of the one set are not in the other. Of the set whose
+    indexed part ends first in the order, all indexed n-grams but those stand in the other's indexed part.
+    """
+    shared = F.ceil(p * (F.col(n) + F.col(m)) / F.lit(p + q))
+    return F.least(*(shared + 1 - F.ceil(p * F.col(k) / F.lit(q)) for k in (n, m)))
 
 
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, p: int = 85,
@@ -158,27 +181,26 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                      .select("doc_id", "n", "class_id"), "members")
     first = members.where("doc_id = class_id").select("doc_id").distinct()
     index = sets.join(first, "doc_id", "left_semi").select("doc_id", "n", F.explode("grams").alias("gram"))
-    least = index.groupBy("gram").agg(F.min(F.struct("doc_id", "n")).alias("least"), F.count(F.lit(1)).alias("held"))
-    shared = stored(index.join(least.where("held > 1").select("gram", "least"), "gram")
-                    .select("gram", "doc_id", "n", "least"), "shared")
+    least = index.groupBy("gram").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held"))
+    shared = stored(index.join(least.where("held > 1").select("gram", "least"), "gram"), "shared")
     near = F.least("n", "m") * q >= F.greatest("n", "m") * p
-    stars = (shared.select(F.col("least.doc_id").alias("a"), F.col("doc_id").alias("b"), "n", F.col("least.n").alias("m"))
-             .where("a <> b").where(near).select("a", "b").distinct())
-    # Texts of classes that share an indexed n-gram; both steps need no others.
-    needed = shared.select("doc_id").distinct()
-    texts_needed = stored(known.join(needed, "doc_id", "left_semi"), "texts")
-    links = stored(_check(stars, texts_needed, width, p, q), "links")
+    sizes = members.where("doc_id = class_id").groupBy(F.col("doc_id").alias("a")).agg(F.max("n").alias("m"))
+    # This step only has to find most links of a group, so pairs that share too few n-grams wait for the next.
+    stars = (shared.where("doc_id <> least").groupBy(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+             .agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n")).join(sizes, "a").where(near)
+             .where(2 * F.col("c") >= _fewest_shared("n", "m", p, q)).select("a", "b"))
+    links = _check(stars, known, width, p, q)
     parts = components(links)
     open_index = (shared.select("gram", "doc_id", "n").join(parts, F.col("doc_id") == F.col("node"), "left")
                   .select("gram", "doc_id", "n", F.coalesce("component", "doc_id").alias("part")))
     several = open_index.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
     open_index = stored(open_index.join(several.select("gram"), "gram"), "open")
-    left, right = open_index.alias("x"), open_index.alias("y")
-    across = (left.join(right, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") < F.col("y.part"))
-                        & (F.least("x.n", "y.n") * q >= F.greatest("x.n", "y.n") * p))
-              .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-              .join(stars.select("a", "b"), ["a", "b"], "left_anti"))
-    more = _check(across, texts_needed, width, p, q)
+    left, right = open_index.alias("x"), open_index.select("gram", "doc_id", F.col("n").alias("m"), "part").alias("y")
+    across = (left.join(right, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") < F.col("y.part")) & near)
+              .groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+              .agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
+              .where(F.col("c") >= _fewest_shared("n", "m", p, q)).select("a", "b"))
+    more = _check(across, known, width, p, q)
     copies = members.where("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
     whole = components(links.union(more).union(copies))
     named = (sets.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
