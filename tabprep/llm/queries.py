@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabprep.llm import binary_ids, forced_bpe, forest, jaccard, licenses, packing, quality
+from tabprep.llm import binary_ids, forced_bpe, forest, jaccard, licenses, packing, quality, suffix
 from tabprep.queries.registry import table
 from tabprep.sources.storage import fresh_path
 
@@ -20,6 +20,10 @@ def op2_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_table(table(spark, folder, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, folder, "documents"), with_text=False)
+
+
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents")).drop("spans")
 
@@ -42,5 +46,5 @@ def op10_tree_forest(spark: SparkSession, folder: str) -> DataFrame:
     return forest.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality_cascade, op5_license_scan, op6_ngram_jaccard, op7_forced_bpe, op8_packing, op10_tree_forest)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality_cascade, op4_suffix_dedup, op5_license_scan, op6_ngram_jaccard, op7_forced_bpe, op8_packing, op10_tree_forest)}
 SQL: dict[str, str] = {"op2_quality_cascade": quality.QUALITY_SQL}
