@@ -10,9 +10,9 @@ range, adds the counts up, and gives up a pair once the ranges that are left can
 
 Two linked sets also share a known number of indexed n-grams, so pairs that share fewer are never verified.
 
-Links are found in two steps, so that a group of near copies never gives all its pairs. First every class is compared
-with the smallest class of each n-gram it shares, which is one pair for a class and an n-gram. Then only classes that are
-not yet in one component, but share an indexed n-gram, are compared. Any link between components is among these, so the
+Links are found in two steps, so that a group of near copies never gives all its pairs. In rounds, every class is
+compared with one centre of each n-gram it shares, which is one pair for a class and an n-gram, until a round finds no
+link. Then only classes that are not yet in one component, but share enough indexed n-grams, are compared. Any link between components is among these, so the
 components are exact.
 """
 
@@ -181,20 +181,27 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                      .select("doc_id", "n", "class_id"), "members")
     first = members.where("doc_id = class_id").select("doc_id").distinct()
     index = sets.join(first, "doc_id", "left_semi").select("doc_id", "n", F.explode("grams").alias("gram"))
-    least = index.groupBy("gram").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held"))
-    shared = stored(index.join(least.where("held > 1").select("gram", "least"), "gram"), "shared")
+    held = index.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    shared = stored(index.join(held.where("held > 1").select("gram"), "gram"), "shared")
     near = F.least("n", "m") * q >= F.greatest("n", "m") * p
-    sizes = members.where("doc_id = class_id").groupBy(F.col("doc_id").alias("a")).agg(F.max("n").alias("m"))
-    # This step only has to find most links of a group, so pairs that share too few n-grams wait for the next.
-    stars = (shared.where("doc_id <> least").groupBy(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-             .agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n")).join(sizes, "a").where(near)
-             .where(2 * F.col("c") >= _fewest_shared("n", "m", p, q)).select("a", "b"))
-    links = _check(stars, known, width, p, q)
-    parts = components(links)
-    open_index = (shared.select("gram", "doc_id", "n").join(parts, F.col("doc_id") == F.col("node"), "left")
-                  .select("gram", "doc_id", "n", F.coalesce("component", "doc_id").alias("part")))
-    several = open_index.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    open_index = stored(open_index.join(several.select("gram"), "gram"), "open")
+    # These rounds only have to find most links of a group, so pairs that share too few n-grams wait for the last step.
+    # Each round has its own centres: of the classes with an n-gram that several components still share, the first by hash.
+    links, open_index, round_no = None, shared.withColumn("part", F.col("doc_id")), 0
+    while True:
+        centre = open_index.groupBy("gram").agg(F.min(F.xxhash64("doc_id", F.lit(round_no))).alias("h"),
+                                                F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+        open_index = stored(open_index.join(centre.select("gram", "h"), "gram"), "open")
+        centres = open_index.where(F.xxhash64("doc_id", F.lit(round_no)) == F.col("h")).select(
+            "gram", F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("part").alias("part_a"))
+        stars = (open_index.join(centres, "gram").where("part <> part_a").groupBy("a", F.col("doc_id").alias("b"))
+                 .agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("m").alias("m")).where(near)
+                 .where(2 * F.col("c") >= _fewest_shared("n", "m", p, q)).select("a", "b"))
+        found = _check(stars, known, width, p, q)
+        links, round_no = found if links is None else links.union(found), round_no + 1
+        if found.isEmpty():
+            break
+        open_index = (open_index.select("gram", "doc_id", "n").join(components(links), F.col("doc_id") == F.col("node"), "left")
+                      .select("gram", "doc_id", "n", F.coalesce("component", "doc_id").alias("part")))
     left, right = open_index.alias("x"), open_index.select("gram", "doc_id", F.col("n").alias("m"), "part").alias("y")
     across = (left.join(right, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") < F.col("y.part")) & near)
               .groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
