@@ -6,7 +6,7 @@ corpus repeats nowhere. Consecutive windows with the same anchor make one stretc
 occurs at least twice, in one stretch or in two, go on.
 
 Shards. Stretches with the same anchor meet in one shard; an anchor with many stretches is spread over several shards.
-Each shard joins its stretches to one text and builds its suffix array by Larsson-Sadakane refinement (ranks of the
+Each shard joins its different stretches to one text and builds its suffix array by Larsson-Sadakane refinement (ranks of the
 first 8 bytes, then doubling, where only groups that are not yet told apart are sorted again, until the wanted length is
 told apart), and takes common prefixes of neighbours by Kasai's walk. Neighbours that share the wanted length form a
 class; its earliest place stays, the others are removed.
@@ -228,7 +228,13 @@ def _runs(docs: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray
 def _shard(length: int):
     """Windows of a shard that an earlier place of the shard has too; and, for spread anchors, what stays."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        # Of equal stretches the earliest stands for all; every window of the others is a repeat.
+        frame = frame.sort_values(["doc", "start"], ignore_index=True)
+        again = frame["bytes"].duplicated()
+        copies, frame = frame[again], frame[~again]
+        low = copies["start"].to_numpy().astype(np.int64)
+        out = [pd.DataFrame({"doc": copies["doc"], "low": low, "high": low + copies["bytes"].str.len().to_numpy().astype(np.int64),
+                             "strings": None, "places": None})] if len(copies) else []
         docs, places, new, at, text = _classes(frame["doc"].to_numpy(), frame["start"].to_numpy().astype(np.int64), list(frame["bytes"]), length)
         if not len(docs):
             return pd.DataFrame({"doc": [], "low": [], "high": [], "strings": [], "places": []})
