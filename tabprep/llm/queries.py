@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabprep.llm import binary_ids, forced_bpe, forest, jaccard, licenses, packing, quality, suffix
+import corpus_pipeline
+from tabprep.llm import binary_ids, forced_bpe, forest, html, jaccard, licenses, packing, pseudo_lm, quality, suffix
 from tabprep.queries.registry import table
 from tabprep.sources.storage import fresh_path
 
@@ -20,6 +21,10 @@ def op2_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_table(table(spark, folder, "documents"))
 
 
+def op3_template_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html.main_texts(table(spark, folder, "pages"))
+
+
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, folder, "documents"), with_text=False)
 
@@ -41,10 +46,16 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op9_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudo_lm.score(table(spark, folder, "documents"))
+
+
 def op10_tree_forest(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return forest.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality_cascade, op4_suffix_dedup, op5_license_scan, op6_ngram_jaccard, op7_forced_bpe, op8_packing, op10_tree_forest)}
+QUERIES = {f.__name__: f for f in (
+    op1_token_files, op2_quality_cascade, op3_template_extraction, op4_suffix_dedup, op5_license_scan, op6_ngram_jaccard,
+    op7_forced_bpe, op8_packing, op9_pseudo_likelihood, op10_tree_forest)} | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {"op2_quality_cascade": quality.QUALITY_SQL}
