@@ -16,6 +16,13 @@ def adjusted_skew(c: Column) -> Column:
     return F.when(n > 2, F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over the rows complete for both; null for a constant column."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+
+
 _MEASURES = {
     "n": lambda c: F.count(c),
     "nulls": lambda c: F.count_if(c.isNull()),
@@ -44,7 +51,7 @@ def measure(name: str, c: Column) -> Column:
 def expressions(df: DataFrame, columns: Sequence[str] | Mapping[str, Column]) -> dict[str, Column]:
     if isinstance(columns, Mapping):
         return dict(columns)
-    return {c: as_double(c) for c in columns}
+    return {c: F.nanvl(as_double(c), F.lit(None).cast("double")) for c in columns}  # NaN is missing
 
 
 def profile(df: DataFrame, columns: Sequence[str] | Mapping[str, Column],

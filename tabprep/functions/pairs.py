@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.functions.moments import expressions
+from tabprep.functions.moments import correlation, expressions
 
 #: up to this many columns the pairs are plain aggregates; above it, array blocks per partition
 NARROW = 24
@@ -95,7 +95,7 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
             var = s["sxx"] - s["sx"] ** 2 / n
             out = cov / np.sqrt(var * var.T)
     else:
-        row = df.agg(*[F.corr(xs[i], xs[j]) for i in range(d) for j in range(i + 1, d)]).first()
+        row = df.agg(*[correlation(xs[i], xs[j]) for i in range(d) for j in range(i + 1, d)]).first()
         upper = iter(row)
         out = np.eye(d)
         for i in range(d):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tabprep.base import Fitted, Step
 from tabprep.functions.columns import (
     add_all, any_of, as_double, col, nan_to_null, numeric_columns, replace_columns, small_table)
-from tabprep.functions.moments import profile
+from tabprep.functions.moments import correlation, profile
 from tabprep.functions.order_stats import quantiles
 from tabprep.functions.pairs import covariance
 
@@ -249,7 +249,7 @@ class FeatureSelector(Step):
         if target is None:
             raise ValueError(f"Target is required for {self.strategy} feature selection")
         if self.strategy == "correlation":
-            row = df.agg(*[F.abs(F.corr(as_double(c), as_double(target))) for c in names]).first()
+            row = df.agg(*[F.abs(correlation(as_double(c), as_double(target))) for c in names]).first()
             scores = dict(zip(names, row, strict=True))
             return FittedSelector([c for c in names if (scores[c] or 0.0) > self.threshold], scores, names)
         scores = dict(self.score_func(df, names, target))

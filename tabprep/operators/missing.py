@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from tabprep.base import Fitted, Step
 from tabprep.functions.columns import (
     any_of, as_double, col, numeric_columns, replace_columns, text_columns)
-from tabprep.functions.moments import profile
+from tabprep.functions.moments import correlation, profile
 from tabprep.functions.neighbours import nearest
 from tabprep.functions.order_stats import quantiles
 from tabprep.functions.running import bucketed
@@ -288,7 +288,7 @@ class RegressionImputer(Step):
         names = [c for c in (self.candidates or numeric_columns(df)) if c not in (self.column, target)]
         if not names:
             return None
-        row = df.agg(*[F.corr(as_double(self.column), as_double(c)) for c in names]).first()
+        row = df.agg(*[correlation(as_double(self.column), as_double(c)) for c in names]).first()
         strong = [c for c, r in zip(names, row, strict=True)
                   if r is not None and abs(r) > self.corr_threshold]
         if not strong:

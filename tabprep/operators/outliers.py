@@ -127,7 +127,6 @@ class OutlierDetector(Step):
     robust: bool = True
     ignore_constant: bool = True
     mad_scale: float = 1.0
-    zero_iqr_uses_quartiles: bool = True
     probability: float = 0.999
 
     def __post_init__(self):
@@ -151,7 +150,7 @@ class OutlierDetector(Step):
         wanted = ["n", "min", "max"] + (["mean", "std"] if self.method == "zscore" else [])
         seen = profile(df, names, wanted)
         names = [c for c in names if seen[c]["n"] >= max(1, self.min_non_null)
-                 and not (self.ignore_constant and seen[c]["min"] == seen[c]["max"])]
+                 and not ((self.ignore_constant or self.method == "zscore") and seen[c]["min"] == seen[c]["max"])]
         bounds = self._iqr(df, names, seen) if self.method == "iqr" else self._zscore(df, names, seen)
         return FittedBounds(bounds, self.handling)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabprep.functions.columns import (
     as_double, col, is_numeric, numeric_columns, small_table, text_columns)
-from tabprep.functions.moments import profile
+from tabprep.functions.moments import correlation, profile
 from tabprep.functions.order_stats import grouped_quantiles, quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -120,7 +120,7 @@ def box_stats(df: DataFrame, c: str, by: str | None = None) -> DataFrame:
 
 def pair_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson correlation of two columns, three decimals."""
-    return df.agg(F.round(F.corr(as_double(a), as_double(b)), 3).alias("corr"))
+    return df.agg(F.round(correlation(as_double(a), as_double(b)), 3).alias("corr"))
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:

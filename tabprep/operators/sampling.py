@@ -88,9 +88,9 @@ def smote(df: DataFrame, target: str, minority, key: str, features: Sequence[str
     Output columns: features (double), target, ``synthetic`` 0/1.
     """
     names = list(features) if features is not None else numeric_columns(df, [key, target])
-    counts = {r["c"]: r["n"] for r in df.groupBy(col(target).alias("c"))
-              .agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()}
-    few, most = counts.get(minority, 0), max(counts.values())
+    sizes = df.groupBy(col(target).alias("c")).agg(F.count("*").alias("n")).agg(
+        F.sum(F.when(F.col("c") == minority, F.col("n"))).alias("few"), F.max("n").alias("most")).first()
+    few, most = sizes["few"] or 0, sizes["most"] or 0
     real = df.select(*[as_double(c).alias(c) for c in names], col(target), F.lit(0).alias("synthetic"))
     if few < 2 or few == most:
         return real
