@@ -2,11 +2,14 @@
 
 A notice of m letters that occurs with at most k edits keeps, by the pigeonhole principle, at least one of k + 1 parts
 of it unchanged. The parts are searched exactly, which is cheap; every hit names a window of the text in which the notice
-would have to stand, and the regex library's bounded-error matching decides there and reports the span and the edits.
+would have to stand. Bounded-error matching takes a fifth of a second where nine edits are allowed and nothing stands, so
+edit distances, kept as bit vectors over the notice, first tell the ends of places within the bound. Only these go to the
+regex library, with no more edits than needed; its bounded-error matching verifies them and reports the span.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -51,17 +54,43 @@ class Span:
     score: float
 
 
+class EditSearch:
+    """Least edits between a pattern and any stretch of a text, for every end; a column of the table is two integers."""
+
+    def __init__(self, pattern: str):
+        self.size = len(pattern)
+        self.full, self.top = (1 << self.size) - 1, 1 << self.size - 1
+        self.places: dict[str, int] = {}
+        for i, letter in enumerate(pattern):
+            self.places[letter] = self.places.get(letter, 0) | 1 << i
+
+    def edits(self, text: str, anchored: bool = False) -> Iterator[int]:
+        """Edits for the stretch that ends behind each letter; anchored stretches all begin where the text does."""
+        up, down, edits, full, top, places = self.full, 0, self.size, self.full, self.top, self.places.get
+        for letter in text:
+            equal = places(letter, 0)
+            level = equal | down
+            across = ((equal & up) + up ^ up) | equal
+            more, fewer = down | full & ~(across | up), up & across
+            edits += 1 if more & top else -1 if fewer & top else 0
+            more = more << 1 | anchored
+            up, down = full & (fewer << 1 | ~(level | more)), full & more & level
+            yield edits
+
+
 class Scanner:
     def __init__(self, phrases: dict[str, str], notices: dict[str, str], share: float):
         """``share``: edits allowed for each letter of a notice."""
         self.phrases = [(tuple(p.split(" ")), label) for p, label in phrases.items()]
         self.first_words = {p[0] for p, _ in self.phrases}
-        self.notices, self.patterns, self.limits = list(notices.items()), [], []
+        self.notices, self.limits = list(notices.items()), []
+        self.forward = [EditSearch(n) for n in notices]
+        self.backward = [EditSearch(n[::-1]) for n in notices]
+        self.patterns: dict[tuple[int, int], regex.Pattern] = {}
         self.seeds, places = ahocorasick.Automaton(), defaultdict(list)
         for k, (notice, _) in enumerate(self.notices):
             edits = int(share * len(notice))
             self.limits.append(edits)
-            self.patterns.append(regex.compile(f"(?e)(?:{regex.escape(notice)}){{e<={edits}}}"))
             for i in range(edits + 1):
                 a, b = len(notice) * i // (edits + 1), len(notice) * (i + 1) // (edits + 1)
                 places[notice[a:b]].append((k, a))
@@ -82,21 +111,39 @@ class Scanner:
                     own.append(window)
         return found
 
+    def ends(self, k: int, text: str, a: int, b: int) -> list[tuple[int, int]]:
+        """(edits, end) of each place of the notice inside a window: the first end with the fewest edits of a run of ends."""
+        found, last = [], -2
+        for end, edits in enumerate(self.forward[k].edits(text[a:b]), a + 1):
+            if edits <= self.limits[k]:
+                if end - last > 1:
+                    found.append((edits, end))
+                elif edits < found[-1][0]:
+                    found[-1] = edits, end
+                last = end
+        return found
+
+    def verified(self, k: int, text: str, edits: int, end: int) -> Span | None:
+        """The place that ends there, as the regex library matches it with no more than these edits."""
+        notice, label = self.notices[k]
+        behind = text[max(0, end - len(notice) - edits):end][::-1]
+        start = end - next(i for i, n in enumerate(self.backward[k].edits(behind, True), 1) if n == edits)
+        if (k, edits) not in self.patterns:
+            self.patterns[k, edits] = regex.compile(f"(?:{regex.escape(notice)}){{e<={edits}}}")
+        m = self.patterns[k, edits].fullmatch(text, start, end)
+        return m and Span(notice, label, start, end, n := sum(m.fuzzy_counts), 1 - n / len(notice))
+
     def spans(self, text: str) -> list[Span]:
-        """All notices of a lower-case text; of those that overlap with the same label, the likest, then the leftmost."""
-        found = []
-        for k, windows in self.windows(text).items():
-            notice, label = self.notices[k]
-            for a, b in windows:
-                for m in self.patterns[k].finditer(text, a, b):
-                    edits = sum(m.fuzzy_counts)
-                    found.append(Span(notice, label, m.start(), m.end(), edits, 1 - edits / len(notice)))
+        """All notices of a lower-case text; of those that overlap, the likest, then the leftmost."""
+        found = [s for k, windows in self.windows(text).items() for a, b in windows
+                 for edits, end in self.ends(k, text, a, b) if (s := self.verified(k, text, edits, end))]
         found.sort(key=lambda s: (-s.score, s.start, s.label))
         kept: list[Span] = []
         for s in found:
-            if not any(s.label == o.label and s.start < o.end and o.start < s.end for o in kept):
-                kept.append(s)
-        return sorted(kept, key=lambda s: (s.start, s.label))
+            at = bisect_left(kept, s.start, key=lambda o: o.start)
+            if not (at and kept[at - 1].end > s.start or at < len(kept) and kept[at].start < s.end):
+                kept.insert(at, s)
+        return kept
 
     def places(self, text: str) -> tuple[int, list[tuple[int, int, str]]]:
         """Number of words, and first word, last word and label of every place of a phrase."""

@@ -265,6 +265,31 @@ def test_license_scan(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def least_edits(pattern, text):
+    """Fewest edits that turn the pattern into some stretch of the text, by the plain table."""
+    row = [0] * (len(text) + 1)
+    for i, letter in enumerate(pattern, 1):
+        above, row = row, [i]
+        for j, other in enumerate(text, 1):
+            row.append(min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (letter != other)))
+    return min(row)
+
+
+def test_license_notices_within_the_bound_are_found():
+    scanner, rng = licenses.Scanner(licenses.PHRASES, licenses.NOTICES, 0.12), np.random.default_rng(4)
+    for turn in range(200):
+        k = turn % len(scanner.notices)
+        notice, label = scanner.notices[k]
+        letters = list(notice)
+        for _ in range(rng.integers(0, scanner.limits[k] + 3)):
+            letters[rng.integers(len(letters))] = str(rng.choice(["", "q", "xz", " "]))
+        text = "words before it " + "".join(letters) + " and words behind it"
+        edits = least_edits(notice, text)
+        spans = scanner.spans(text)
+        assert all(s.edits == least_edits(s.notice, text[s.start:s.end]) <= int(0.12 * len(s.notice)) for s in spans)
+        assert edits > scanner.limits[k] or any(s.edits <= edits for s in spans)
+
+
 def page(k, body, aside="menu one"):
     return (f"<html><head><title>T{k}</title><style>p{{}}</style></head><body><nav>{aside}</nav><div class='ad'>buy {k}</div>"
             f"<article><h1>Head &amp; {k}</h1><p>{body}<p>second<br>line</article><div id=comments>first!</div>"
