@@ -11,14 +11,16 @@ range, adds the counts up, and gives up a pair once the ranges that are left can
 Two linked sets also share a known number of indexed n-grams, so pairs that share fewer are never verified.
 
 Links are found in two steps, so that a group of near copies never gives all its pairs. In rounds, every class is
-compared with one centre of each n-gram it shares, which is one pair for a class and an n-gram, until a round finds no
-link. Then only classes that are not yet in one component, but share enough indexed n-grams, are compared. Any link between components is among these, so the
-components are exact.
+compared with one centre of each n-gram it shares, which is one pair for a class and an n-gram, while the rest would give
+many more pairs than that and rounds still find links. Then only classes that are not yet in one component, but share
+enough indexed n-grams, are compared. Any link between components is among these, so the components are exact however
+many rounds went before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,11 @@ CELLS, PIECES = 1 << 20, 64
 FRAGMENTS = 16
 #: Ids, at most, that are sent to every task (8 bytes each); more are joined by key.
 BROADCAST_IDS = 2_000_000
+#: Mean numbers of texts, and of their bytes, in a bucket whose pairs with another bucket one cell verifies.
+BUCKET_TEXTS, BUCKET_BYTES = 1_000, 4 << 20
+#: Rounds end when comparing the rest takes at most so many join rows for each row of the index, or when a round finds
+#: less than this share of all links. Both only weigh two exact ways against each other.
+ROWS_EACH, FEW_LINKS = 8, 0.2
 
 
 def _shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,29 +50,33 @@ def _shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cell_counts(width: int):
-    schema = pa.schema([("piece", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("piece", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
         for batch in in_blocks(batches, 0):
             hashes, _ = _shingles(batch.column(0), width)
             counts += np.bincount((hashes >> np.uint64(44)).astype(np.int64), minlength=CELLS)
-        yield rows_batch(schema, range(PIECES), [x.tobytes() for x in counts.reshape(PIECES, -1)])
+        used = [np.flatnonzero(x) for x in counts.reshape(PIECES, -1)]
+        held = [x[at] for x, at in zip(counts.reshape(PIECES, -1), used, strict=True)]
+        yield rows_batch(schema, range(PIECES), [at.astype("<u2").tobytes() for at in used], [x.tobytes() for x in held])
     return run
 
 
 def _add_cells(frames):
     import pandas as pd
-    total = sum(np.frombuffer(x, np.int64) for x in frames["counts"])
+    total = np.zeros(CELLS // PIECES, np.int64)
+    for at, n in zip(frames["cells"], frames["counts"], strict=True):
+        total[np.frombuffer(at, "<u2")] += np.frombuffer(n, np.int64)
     return pd.DataFrame({"piece": frames["piece"].iloc[:1], "counts": [total.tobytes()]})
 
 
 def crowded_cells(texts: DataFrame, width: int) -> np.ndarray:
     """One bit for each cell: whether it holds far more n-grams than chance puts into a cell.
 
-    All texts are counted; each task sends one table, and the tables are added piece by piece.
+    All texts are counted; each task sends the cells it has met, and these are added piece by piece.
     """
-    rows = (texts.select("text").mapInArrow(_cell_counts(width), "piece int, counts binary")
+    rows = (texts.select("text").mapInArrow(_cell_counts(width), "piece int, cells binary, counts binary")
             .groupBy("piece").applyInPandas(_add_cells, "piece int, counts binary").collect())
     counts = np.zeros((PIECES, CELLS // PIECES), np.int64)
     for r in rows:
@@ -99,7 +110,10 @@ def _prefixes(width: int, p: int, q: int, crowded: np.ndarray):
 
 
 def _verified(width: int, p: int, q: int):
-    """Pairs whose sets reach the similarity; overlaps are counted fragment by fragment."""
+    """Pairs whose sets reach the similarity; overlaps are counted fragment by fragment.
+
+    Rows are (cell, a, null, text) for the texts of a cell, then (cell, a, b, null) for its pairs, sorted.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     borders = (np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(60)) if FRAGMENTS == 16 else None
 
@@ -123,15 +137,17 @@ def _verified(width: int, p: int, q: int):
         return most >= needed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_blocks(batches, 2, 3):
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            dictionary = {}  # a text stands in many pairs of a batch
-            for key, column in ((a, 2), (b, 3)):
-                new = [i for i, k in enumerate(key) if k not in dictionary and not dictionary.setdefault(k, 0)]
-                if new:
-                    dictionary |= zip([key[i] for i in new], sets(batch.column(column).take(pa.array(new))), strict=True)
-            good = [(i, j) for i, j in zip(a, b, strict=True) if reaches(dictionary[i], dictionary[j])]
-            yield rows_batch(schema, [i for i, _ in good], [j for _, j in good])
+        current, held = None, {}
+        for batch in in_blocks(batches, 3):
+            new, good = iter(sets(batch.column(3).filter(batch.column(2).is_null()))), []
+            for cell, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if cell != current:
+                    current, held = cell, {}
+                if b is None:
+                    held.setdefault(a, []).append(next(new))
+                elif any(reaches(x, y) for x in held[a] for y in held[b]):
+                    good.append((a, b))
+            yield rows_batch(schema, [a for a, _ in good], [b for _, b in good])
     return run
 
 
@@ -142,12 +158,22 @@ def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _check(pairs: DataFrame, texts: DataFrame, width: int, p: int, q: int) -> DataFrame:
-    """The pairs (a, b) that are links. Joins carry only texts of classes that stand in some pair."""
+    """The pairs (a, b) that are links.
+
+    Classes that stand in some pair are dealt to buckets of bounded size, and the pairs of two buckets are a cell. A text
+    goes to a cell once, however many of the cell's pairs it stands in.
+    """
     pairs = stored(pairs, "pairs")
     both = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = stored(_texts_of(texts, both), "texts")
-    x, y = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b"))
-    return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b")
+    n, size = texts.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    buckets = max(1, -(-n // BUCKET_TEXTS), -(-(size or 0) // BUCKET_BYTES))
+    x, y = (F.pmod(F.xxhash64(k), F.lit(buckets)) for k in ("a", "b"))
+    cells = pairs.select((F.least(x, y) * F.lit(buckets) + F.greatest(x, y)).alias("cell"), "a", "b")
+    held = cells.select("cell", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    rows = held.join(texts, "doc_id").select("cell", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text").union(
+        cells.select("cell", "a", "b", F.lit(None).cast("string").alias("text")))
+    return stored(rows.repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first())
                   .mapInArrow(_verified(width, p, q), "a long, b long"), "verified")
 
 
@@ -161,6 +187,13 @@ def _fewest_shared(n: str, m: str, p: int, q: int) -> Column:
     return F.least(*(shared + 1 - F.ceil(p * F.col(k) / F.lit(q)) for k in (n, m)))
 
 
+def _join_rows(index: DataFrame) -> float:
+    """Pairs of rows with the same n-gram and different components."""
+    each = index.groupBy("gram", "part").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    pairs = each.groupBy("gram").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
+    return pairs.agg(F.sum("pairs")).first()[0] or 0.0
+
+
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, p: int = 85,
                     q: int = 100) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest document with the same set), component_id, for each document.
@@ -186,30 +219,34 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     near = F.least("n", "m") * q >= F.greatest("n", "m") * p
     # These rounds only have to find most links of a group, so pairs that share too few n-grams wait for the last step.
     # Each round has its own centres: of the classes with an n-gram that several components still share, the first by hash.
-    links, open_index, round_no = None, shared.withColumn("part", F.col("doc_id")), 0
+    found_links, n_links, few = [], 0, False
+    open_index, round_no = shared.withColumn("part", F.col("doc_id")), 0
     while True:
         centre = open_index.groupBy("gram").agg(F.min(F.xxhash64("doc_id", F.lit(round_no))).alias("h"),
                                                 F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
         open_index = stored(open_index.join(centre.select("gram", "h"), "gram"), "open")
+        if few or _join_rows(open_index) <= ROWS_EACH * open_index.count():
+            break
         centres = open_index.where(F.xxhash64("doc_id", F.lit(round_no)) == F.col("h")).select(
             "gram", F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("part").alias("part_a"))
         stars = (open_index.join(centres, "gram").where("part <> part_a").groupBy("a", F.col("doc_id").alias("b"))
                  .agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("m").alias("m")).where(near)
                  .where(2 * F.col("c") >= _fewest_shared("n", "m", p, q)).select("a", "b"))
-        found = _check(stars, known, width, p, q)
-        links, round_no = found if links is None else links.union(found), round_no + 1
-        if found.isEmpty():
-            break
-        open_index = (open_index.select("gram", "doc_id", "n").join(components(links), F.col("doc_id") == F.col("node"), "left")
-                      .select("gram", "doc_id", "n", F.coalesce("component", "doc_id").alias("part")))
+        found_links.append(_check(stars, known, width, p, q))
+        new, round_no = found_links[-1].count(), round_no + 1
+        n_links, few = n_links + new, new <= FEW_LINKS * (n_links + new)
+        if new:
+            parts = components(reduce(DataFrame.union, found_links))
+            open_index = (open_index.select("gram", "doc_id", "n").join(parts, F.col("doc_id") == F.col("node"), "left")
+                          .select("gram", "doc_id", "n", F.coalesce("component", "doc_id").alias("part")))
     left, right = open_index.alias("x"), open_index.select("gram", "doc_id", F.col("n").alias("m"), "part").alias("y")
     across = (left.join(right, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") < F.col("y.part")) & near)
               .groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
               .agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
               .where(F.col("c") >= _fewest_shared("n", "m", p, q)).select("a", "b"))
-    more = _check(across, known, width, p, q)
+    found_links.append(_check(across, known, width, p, q))
     copies = members.where("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
-    whole = components(links.union(more).union(copies))
+    whole = components(reduce(DataFrame.union, found_links, copies))
     named = (sets.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
              .join(members.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "doc_id", "left")
              .join(whole, F.col("doc_id") == F.col("node"), "left")
