@@ -56,15 +56,11 @@ def token_ids(raw: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> tuple[
 
 def windows(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each token the tokens around it, those beyond its text's ends being OUTSIDE."""
-    text = np.repeat(np.arange(len(counts)), counts)
-    place = np.arange(len(ids))
-    out = np.full((len(ids), 2 * SIDE), OUTSIDE, np.int64)
-    for k, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        there = place + step
-        inside = (there >= 0) & (there < len(ids))
-        inside[inside] = text[there[inside]] == text[place[inside]]
-        out[inside, k] = ids[there[inside]]
-    return out
+    # Texts stand SIDE places apart, with OUTSIDE between them.
+    place = np.arange(len(ids)) + SIDE * np.repeat(np.arange(1, len(counts) + 1), counts)
+    spaced = np.full(len(ids) + SIDE * (len(counts) + 1), OUTSIDE, np.int64)
+    spaced[place] = ids
+    return np.stack([spaced[place + step] for step in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1)
 
 
 class Network:
@@ -108,19 +104,20 @@ class Network:
         """One gradient step on the mean negative log-likelihood of the batch."""
         tables, bias, out, out_bias = self.parts
         hidden, p = self._forward(around)
+        n = len(ids)
         np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(ids)), ids] -= 1
-        p /= np.float32(len(ids))
+        p *= np.float32(rate / n) / p.sum(1, keepdims=True)
+        p[np.arange(n), ids] -= np.float32(rate / n)
         back = (p @ out.T) * (hidden > 0)
-        out -= rate * (hidden.T @ p)
-        out_bias -= rate * p.sum(0)
-        bias -= rate * back.sum(0)
-        for k in range(2 * SIDE):
-            order = np.argsort(around[:, k], kind="stable")
-            rows = around[order, k]
-            first = np.flatnonzero(np.diff(rows, prepend=-1))
-            tables[k][rows[first]] -= rate * np.add.reduceat(back[order], first, axis=0)
+        out -= hidden.T @ p
+        out_bias -= p.sum(0)
+        bias -= back.sum(0)
+        # All tables are one: a row for each window place and token; sums over the rows that are met.
+        rows = (around + VOCABULARY * np.arange(2 * SIDE)).T.reshape(-1).astype(np.uint16)
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        tables.reshape(-1, HIDDEN)[rows[first]] -= np.add.reduceat(back[order % n], first, axis=0)
 
 
 def _train(words: np.ndarray, start: bytes, rate: float, batch_tokens: int):
