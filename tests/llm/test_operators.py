@@ -308,6 +308,23 @@ def test_template_extraction(spark):
     assert any("nav" in t for t in template) and not any("body text" in t for t in template)
 
 
+def test_text_that_repeats_on_a_host_stays(spark):
+    """Headings and lines of all pages of a host, of copies and of repeated rows; by host size, nothing changes."""
+    rows = [(k, "http://large.example/x", page(k, f"body {k}")) for k in range(20)]
+    rows += [(100 + k, "http://small.example/x", page(k, f"body {k}")) for k in range(7)]
+    rows += [(200 + k % 10, "http://copies.example/x", page(0, "Summary<p>long " + "text " * 60)) for k in range(20)]
+    rows += [(300 + k, "http://bare.example/x", f"<div><p>Summary<p>text {k}</div>") for k in range(20)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.text) for r in html.main_texts(frame).collect())
+    want = [(k, f"Head & {k} body {k} second line") for k in range(20)]
+    want += [(100 + k, f"Head & {k} body {k} second line") for k in range(7)]
+    want += [(200 + k // 2, "Head & 0 Summary long " + "text " * 60 + "second line") for k in range(20)]
+    want += [(300 + k, f"Summary text {k}") for k in range(20)]
+    assert got == want
+    template = html.deduce_templates(frame.selectExpr("page_id as page", "url", "html"))
+    assert {r.host for r in template.select("host").distinct().collect()} == {"large.example", "bare.example"}
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 16))
