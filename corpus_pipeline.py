@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabprep.llm import jaccard, packing, quality, suffix
+from tabprep.llm.arrow import plain
+from tabprep.llm.rows import numbered_rows, unused
 from tabprep.sources.storage import stored
 
 
@@ -22,14 +24,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard.keep_smallest(docs, width=5, p=80, q=100)
 
 
+def whole_characters(kept: bytes, spans: list[list[int]]) -> str:
+    """Text of the kept bytes without the characters that a removed span's ends break."""
+    parts, at, removed = [], 0, 0
+    for low, high in spans:
+        parts.append(kept[at:low - removed])
+        at, removed = low - removed, removed + high - low
+    return "".join(part.decode("utf-8", "ignore") for part in [*parts, kept[at:]])
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of earlier passages; characters that a cut breaks go, n_chars follows, empty texts go."""
-    kept = suffix.remove_repeats(docs).select(F.col("doc_id").alias("_id"), F.col("kept"), F.col("n_removed"))
-    # A cut can only break characters of more than one byte, and leaves bytes that stand for none.
-    text = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\uFFFD", "")
-    joined = docs.join(kept, F.col("doc_id") == F.col("_id"))
-    text = F.when(F.col("n_removed") > 0, text).otherwise(F.col("text"))
-    return joined.withColumn("text", text).where("text <> ''").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Documents without the bytes of earlier passages; characters that a cut breaks go, n_chars follows, empty texts go.
+
+    Rows with a null id come first of all and keep it; rows that repeat an id are documents of their own.
+    """
+    row, cut_row, cut_text = (unused(name, docs) for name in ("row", "cut_row", "cut_text"))
+    numbered = numbered_rows(docs, row)
+    cut = suffix.remove_repeats(numbered, row).where("n_removed > 0").select(
+        F.col("doc_id").alias(cut_row), F.udf(whole_characters, "string")("kept", "spans").alias(cut_text))
+    joined = numbered.join(cut, F.col(row) == F.col(cut_row), "left")
+    text = F.when(F.col(cut_row).isNotNull(), F.col(cut_text)).otherwise(F.col("text"))
+    return (joined.withColumn("text", text).where("text <> ''").withColumn("n_chars", F.length("text").cast("long"))
+            .select(*map(plain, docs.columns)))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

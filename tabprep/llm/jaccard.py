@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.arrow import id_and_text, in_blocks, rows_batch, text_bytes
+from tabprep.llm.arrow import id_and_text, in_blocks, plain, rows_batch, text_bytes
 from tabprep.llm.components import components
 from tabprep.llm.hashing import distinct_by_text, mix, shingle_hashes, word_hashes
+from tabprep.llm.rows import numbered_rows, unused
 from tabprep.sources.storage import stored
 
 #: Cells of the count table that orders n-grams, and the number of pieces it is summed in: 4 MB for any corpus.
@@ -257,7 +258,12 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 
 def keep_smallest(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, p: int = 80, q: int = 100) -> DataFrame:
-    """The rows of ``docs`` but for those whose component has a smaller document; rows with a null id stay."""
-    found = join_components(docs, key, text, width, p, q).where("component_id < doc_id").select(
-        F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(found, F.col(f"`{key}`") == F.col("_dropped"), "left_anti")
+    """The rows of ``docs`` but for those whose component has a smaller document; rows with a null id stay.
+
+    Rows that repeat an id are documents of their own, the smaller text first, so of equal rows one stays.
+    """
+    row, dropped = unused("row", docs), unused("dropped", docs)
+    numbered = numbered_rows(docs, row, key, text)
+    known = numbered.where(plain(key).cast("long").isNotNull())
+    found = join_components(known, row, text, width, p, q).where("component_id < doc_id").select(F.col("doc_id").alias(dropped))
+    return numbered.join(found, F.col(row) == F.col(dropped), "left_anti").drop(row)

@@ -399,3 +399,40 @@ def test_pipeline_stages(spark, tmp_path):
         if text := bytes(x for x, m in zip(raw, mark) if not m).decode():
             left[k] = text
     check_packing(corpus_pipeline.run(spark, str(tmp_path)).collect(), left, 2048)
+
+
+def test_pipeline_keeps_null_ids_and_repeated_rows(spark, tmp_path):
+    """Null ids, repeated ids and rows, genuine U+FFFD, characters broken at a cut, and columns with the stages' own names."""
+    rng = np.random.default_rng(10)
+    own = lambda n=90: " ".join(f"v{x}" for x in rng.integers(0, 900, n))
+    first, second, third, fourth = own(), own(), own(), own()
+    # Letters of two bytes around the passage that share a byte: the repeated bytes begin and end inside them.
+    shared = [f"{own(60)} é{PASSAGE}é {own(60)} \ufffd", f"{own(60)} ĩ{PASSAGE}í {own(60)} \ufffd"]
+    rows = [(None, first), (None, second + " " + PASSAGE), (1, third), (1, third), (2, fourth), (2, own(70) + " " + PASSAGE),
+            (3, shared[0]), (4, shared[1])]
+    frame = spark.createDataFrame([(k, t, "kept", 1, k, "s", k, k, 0) for k, t in rows],
+                                  "doc_id long, text string, kept string, n_removed int, _id long, row string, cut_row long, _dropped long, n_chars long")
+    frame.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, found, str(tmp_path))
+        assert found.columns == frame.columns
+    got = sorted(((r.doc_id, r.text) for r in found.collect()), key=lambda r: (r[0] or 0, r[1]))
+    want = sorted([(None, first), (None, second + " " + PASSAGE), (1, third), (2, fourth)], key=lambda r: (r[0] or 0, r[1]))
+    assert [r for r in got if r[1] in {t for _, t in want}] == want
+    rest = {r[0]: r[1] for r in got if r not in want}
+    assert len(got) == 7 and set(rest) == {2, 3, 4} and not any("passage30" in t for t in rest.values())
+    assert all(rest[k].count("\ufffd") == 1 and rest[k].endswith("\ufffd") for k in (3, 4))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in packed if r.doc_id is not None) == [(False, k) for k in (1, 2, 2, 3, 4)]
+    assert sum(r.doc_id is None for r in packed) == 2
+
+
+def test_characters_broken_at_a_cut():
+    raw = "aé中\ufffdb".encode()
+    for low in range(len(raw) + 1):
+        for high in range(low, len(raw) + 1):
+            kept, spans = raw[:low] + raw[high:], [[low, high]]
+            want = "".join(c for i, c in enumerate("aé中\ufffdb") if (e := len("aé中\ufffdb"[:i + 1].encode())) <= low or e - len(c.encode()) >= high)
+            assert corpus_pipeline.whole_characters(kept, spans) == want
+    assert corpus_pipeline.whole_characters("ab".encode() + "é".encode()[:1] + "中".encode()[1:], [[3, 9]]) == "ab"
