@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from tabprep.llm.arrow import id_and_text, in_blocks, rows_batch, text_bytes
 
-#: Fragments that one worker keeps; all are dropped when the number is reached. A memory setting, without effect on ids.
+#: Fragments that one worker keeps; all but the added tokens are dropped when the number is reached. A memory setting, without effect on ids.
 KEPT_FRAGMENTS = 500_000
 
 #: Fixed value: the word pattern of byte-level vocabularies.
@@ -106,11 +106,19 @@ class Codec:
         self.written: dict[bytes, bytes] = {}
         self.decoded: dict[bytes, bytes] = {}
         self.words: dict[str, list[int]] = {}
+        self._keep_added()
+
+    def _keep_added(self) -> None:
+        """Added tokens are no ordinary text, so the store always has them."""
+        for token, i in self.vocabulary.added.items():
+            self.written[token.encode()] = str(i).encode()
+            self.decoded[token.encode()] = self.vocabulary.bytes_of[i]
 
     def _learn(self, fragments: set[bytes]) -> None:
         if len(self.written) + len(fragments) > KEPT_FRAGMENTS:
             self.written.clear()
             self.decoded.clear()
+            self._keep_added()
         if len(self.words) > KEPT_FRAGMENTS:
             self.words.clear()
         for x in fragments:
@@ -157,10 +165,7 @@ class Codec:
                 raw = np.frombuffer(between, np.uint8)
                 out += self.fragments(raw, np.array([0, len(raw)]))[0]
             if m:
-                token = m.group()
-                self.written[token.encode()] = str(self.vocabulary.added[token]).encode()
-                self.decoded[token.encode()] = self.vocabulary.bytes_of[self.vocabulary.added[token]]
-                out.append(token.encode())
+                out.append(m.group().encode())
                 at = m.end()
         return out
 

@@ -436,3 +436,12 @@ def test_characters_broken_at_a_cut():
             want = "".join(c for i, c in enumerate("aé中\ufffdb") if (e := len("aé中\ufffdb"[:i + 1].encode())) <= low or e - len(c.encode()) >= high)
             assert corpus_pipeline.whole_characters(kept, spans) == want
     assert corpus_pipeline.whole_characters("ab".encode() + "é".encode()[:1] + "中".encode()[1:], [[3, 9]]) == "ab"
+
+
+def test_full_fragment_store_keeps_added_tokens(monkeypatch):
+    monkeypatch.setattr(forced_bpe, "KEPT_FRAGMENTS", 3)
+    texts = [f"some{k} words; (and) more<|endoftext|>then {k}" + "<|endoftext|>" * (k % 3) for k in range(300)]
+    want = [e.ids for e in Tokenizer.from_file(BYTES).encode_batch(texts, add_special_tokens=False)]
+    got = list(forced_bpe.Codec(BYTES).encode(*text_bytes(pa.array(texts))))
+    assert [[int(i) for i in ids.split(b",")] for ids, _ in got] == want
+    assert [back.decode() for _, back in got] == texts
