@@ -1,13 +1,17 @@
 """Document scores by masked pseudo-likelihood.
 
-A small network predicts each token from the tokens on both sides of it: every place of the window has its own table of
-weights from the token there to the hidden units, a rectified layer follows, and a softmax over the vocabulary gives the
-token's conditional probability. A document's score is the sum of the logarithms over all its tokens.
-
-The vocabulary is the most frequent words, then classes for the other words by their last letters. All words of all
-documents are counted. Training goes over all documents as well: in each round every task takes gradient steps over its
-own documents, starting from the same weights, and the tasks' weights are averaged by their numbers of tokens. The size
-of the weights does not depend on the corpus; the averages are made in groups, then over the groups.
+A small network predicts the class of each token from the classes on both sides of it: every place of the window has its
+own table of weights from the class there to the hidden units, a rectified layer follows, and a softmax over the classes
+gives the class's conditional probability. A word's probability is that of its class times the word's share of all
+tokens of the class. A document's score is the sum of the logarithms over all its tokens.
+
+The vocabulary is every word of every document. Its counts are a table that grows with the corpus: the most frequent
+words are classes of one word each, the others fall into classes by their hash, where counts tell them apart. Counts of
+frequent words are sent to every task, those of all others are joined by word, so no task holds the vocabulary.
+
+Training goes over all documents as well: in each round every task takes gradient steps over its own documents, starting
+from the same weights, and the tasks' weights are averaged by their numbers of tokens. The size of the network does not
+depend on the corpus; the averages are made in groups, then over the groups.
 """
 
 from __future__ import annotations
@@ -26,10 +30,12 @@ from tabprep.llm.arrow import id_and_text, in_blocks, rows_batch, text_bytes
 from tabprep.llm.hashing import mix, word_hashes
 from tabprep.sources.storage import stored
 
-#: Frequent words with a token of their own, classes for all other words, tokens on each side, hidden units.
+#: Frequent words that are classes of their own, classes of all other words, tokens on each side, hidden units.
 WORDS, CLASSES, SIDE, HIDDEN = 191, 64, 2, 32
 VOCABULARY = WORDS + CLASSES + 1  # the last: beyond the document's ends
 OUTSIDE = VOCABULARY - 1
+#: Words whose counts are sent to every task (16 bytes each). A memory setting, without effect on scores.
+SENT_WORDS = 200_000
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,19 +45,50 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows_batch(schema, words.view(np.int64), n)
 
 
-def frequent_words(texts: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words, sorted; every word of every text is counted."""
-    rows = (texts.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "word").limit(WORDS).collect())
-    return np.sort(np.array([r.word for r in rows], np.int64).view(np.uint64))
+def word_table(texts: DataFrame) -> DataFrame:
+    """(word, n): hash and number of every different word of every text, stored."""
+    return stored(texts.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def frequent_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and numbers of so many most frequent words, the most frequent first, ties by hash."""
+    rows = counts.orderBy(F.desc("n"), "word").limit(most).toArrow()
+    return rows["word"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(np.int64)
+
+
+def class_of(hashes: np.ndarray) -> np.ndarray:
+    """Class, from 0, of words that are no class of their own."""
+    return (mix(hashes) % np.uint64(CLASSES)).astype(np.int64)
+
+
+def class_totals(counts: DataFrame, words: np.ndarray) -> np.ndarray:
+    """Tokens of each class of several words."""
+    schema = pa.schema([("class", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES, np.int64)
+        for batch in batches:
+            hashes = batch.column(0).to_numpy().view(np.uint64)
+            rest = ~np.isin(hashes, words)
+            np.add.at(total, class_of(hashes[rest]), batch.column(1).to_numpy()[rest])
+        yield rows_batch(schema, range(CLASSES), total)
+
+    totals = np.zeros(CLASSES, np.int64)
+    for r in counts.mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        totals[r["class"]] = r.n
+    return totals
 
 
 def token_ids(raw: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of all texts and their numbers: a frequent word's place in the list, or else a class of its hash."""
+    """Classes of all tokens and the texts' numbers of tokens: a frequent word's place in the list, or else a class of its hash."""
     hashes, counts = word_hashes(raw, offsets)
+    return class_ids(hashes, words), counts
+
+
+def class_ids(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
     known = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
-    return np.where(known, at, WORDS + (mix(hashes) % np.uint64(CLASSES)).astype(np.int64)).astype(np.int64), counts
+    return np.where(known, at, WORDS + class_of(hashes)).astype(np.int64)
 
 
 def windows(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -168,24 +205,48 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     Null and repeated ids keep their rows; an empty table stays empty; other columns are not read.
     """
     texts = id_and_text(docs, key, text)
-    words = frequent_words(texts)
+    counts = word_table(texts)
+    sent, n_sent = frequent_words(counts, SENT_WORDS)
+    words = np.sort(sent[:WORDS] if len(sent) >= WORDS else frequent_words(counts, WORDS)[0])
+    with np.errstate(divide="ignore"):
+        log_totals = np.log(class_totals(counts, words))
+    order = np.argsort(sent)
+    sent, log_sent = sent[order], np.log(n_sent[order])
     weights = train(texts, words, rounds)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64()), ("mean", pa.float64())])
+    all_sent = counts.count() <= len(sent)
+    # A row's number lasts only as the table is stored below; ``rest`` are its tokens whose counts are not sent.
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64()),
+                        ("rest", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network = Network.read(weights)
+        network, row = Network.read(weights), TaskContext.get().partitionId() << 33
         for batch in in_blocks(batches, 1):
-            ids, counts = token_ids(*text_bytes(batch.column(1)), words)
+            hashes, counts = word_hashes(*text_bytes(batch.column(1)))
+            ids = class_ids(hashes, words)
             around, each = windows(ids, counts), np.zeros(len(ids) + 1)
             for at in range(0, len(ids), 4096):
                 each[at:at + 4096][:len(ids) - at] = network.log_probabilities(around[at:at + 4096], ids[at:at + 4096])
+            shared = np.flatnonzero(ids >= WORDS)
+            found = np.minimum(np.searchsorted(sent, hashes[shared]), max(len(sent) - 1, 0))
+            known = sent[found] == hashes[shared] if len(sent) else np.zeros(len(shared), bool)
+            each[shared] -= log_totals[ids[shared] - WORDS]
+            each[shared[known]] += log_sent[found[known]]
             sums = np.concatenate([[0.0], np.cumsum(each[:-1])])
             ends = np.cumsum(counts)
-            total = sums[ends] - sums[ends - counts]
-            mean = [t / n if n else None for t, n in zip(total.tolist(), counts.tolist(), strict=True)]
-            yield rows_batch(schema, batch.column(0), counts, total, mean)
-
-    return texts.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean double")
+            rest = shared[~known]
+            lists = pa.ListArray.from_arrays(np.searchsorted(rest, np.append(0, ends)).astype(np.int32), hashes[rest].view(np.int64))
+            yield rows_batch(schema, np.arange(row, row + len(counts)), batch.column(0), counts, sums[ends] - sums[ends - counts], lists)
+            row += len(counts)
+
+    scored = texts.mapInArrow(run, "row long, doc_id long, n_tokens long, log_likelihood double, rest array<long>")
+    if not all_sent:
+        scored = stored(scored, "scored")
+        more = (scored.select("row", F.explode("rest").alias("word")).join(counts, "word").groupBy("row")
+                .agg(F.sum(F.log(F.col("n").cast("double"))).alias("more")))
+        scored = scored.drop("rest").join(more, "row", "left").withColumn(
+            "log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
+    return scored.select("doc_id", "n_tokens", "log_likelihood",
+                         F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean"))
 
 
 def vocabulary_settings() -> str:

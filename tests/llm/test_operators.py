@@ -445,3 +445,31 @@ def test_full_fragment_store_keeps_added_tokens(monkeypatch):
     got = list(forced_bpe.Codec(BYTES).encode(*text_bytes(pa.array(texts))))
     assert [[int(i) for i in ids.split(b",")] for ids, _ in got] == want
     assert [back.decode() for _, back in got] == texts
+
+
+def test_pseudo_likelihood_tells_all_words_apart(spark, monkeypatch):
+    """Words of one class cost what their counts say, by whichever way counts reach the tokens."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 400) % 5000) for _ in range(40)]
+    texts += [None, "", texts[0], "  "]
+    frame = spark.createDataFrame([(k % 42 or None, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3).cache()
+    counts = {r.word: r.n for r in pseudo_lm.word_table(frame).collect()}
+    assert len(counts) == len({w for t in texts for w in (t or "").split()}) > pseudo_lm.WORDS + 500
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    words = np.sort(np.array(ranked[:pseudo_lm.WORDS]).view(np.uint64))
+    totals = pseudo_lm.class_totals(pseudo_lm.word_table(frame), words)
+    assert totals.sum() == sum(counts[w] for w in ranked[pseudo_lm.WORDS:])
+    network = pseudo_lm.Network.read(pseudo_lm.train(frame, words))
+    want = []
+    for t in texts:
+        raw = text_bytes(pa.array([t], pa.string()))
+        ids, n = pseudo_lm.token_ids(*raw, words)
+        logs = network.log_probabilities(pseudo_lm.windows(ids, n), ids).sum() if len(ids) else 0.0
+        for i, h in zip(ids, pseudo_lm.word_hashes(*raw)[0].view(np.int64).tolist()):
+            logs += np.log(counts[h] / totals[i - pseudo_lm.WORDS]) if i >= pseudo_lm.WORDS else 0
+        want.append((len(ids), logs))
+    for sent in (200_000, 300, 0):
+        monkeypatch.setattr(pseudo_lm, "SENT_WORDS", sent)
+        got = sorted((r.n_tokens, r.log_likelihood) for r in pseudo_lm.score(frame).collect())
+        assert [n for n, _ in got] == [n for n, _ in sorted(want)]
+        assert [x for _, x in got] == pytest.approx([x for _, x in sorted(want)], rel=1e-4)
