@@ -11,9 +11,10 @@ first 8 bytes, then doubling, where only groups that are not yet told apart are
 told apart), and takes common prefixes of neighbours by Kasai's walk. Neighbours that share the wanted length form a
 class; its earliest place stays, the others are removed.
 
-Merging. A shard of a spread anchor also sends its classes' strings in sorted order, each with its earliest place. The
-sorted lists of an anchor meet by ranges of strings, every list is searched for the other lists' strings by bisection,
-and places that another shard has earlier are removed too.
+Merging. A shard of a spread anchor also sends its classes' strings, each with its earliest place, in sorted lists cut by
+ranges of the strings' hashes. An anchor has as many ranges as shards, so the lists of one range together hold about as
+many strings as one shard, however often the anchor occurs. The lists of an anchor's range are merged, and places that
+another shard has earlier are removed too.
 """
 
 from __future__ import annotations
@@ -183,15 +184,16 @@ def _stretches(length: int):
 
 def _cut(length: int):
     """Bytes of the stretches that may repeat: of each text's list (shard, part, anchor, start, windows)."""
-    schema = pa.schema([("doc", pa.int64()), ("anchor", pa.int64()), ("part", pa.int32()), ("start", pa.int32()), ("bytes", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("anchor", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("start", pa.int32()),
+                        ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_blocks(batches, 1):
             rows = []
             for doc, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = text.encode()
-                rows += [(doc, x["anchor"], x["part"], x["start"], raw[x["start"]:x["start"] + x["windows"] + length - 1]) for x in found]
-            yield rows_batch(schema, *(zip(*rows, strict=True) if rows else [[]] * 5))
+                rows += [(doc, x["anchor"], x["part"], x["parts"], x["start"], raw[x["start"]:x["start"] + x["windows"] + length - 1]) for x in found]
+            yield rows_batch(schema, *(zip(*rows, strict=True) if rows else [[]] * 6))
     return run
 
 
@@ -234,43 +236,49 @@ def _shard(length: int):
         copies, frame = frame[again], frame[~again]
         low = copies["start"].to_numpy().astype(np.int64)
         out = [pd.DataFrame({"doc": copies["doc"], "low": low, "high": low + copies["bytes"].str.len().to_numpy().astype(np.int64),
-                             "strings": None, "places": None})] if len(copies) else []
+                             "piece": None, "strings": None, "places": None})] if len(copies) else []
         docs, places, new, at, text = _classes(frame["doc"].to_numpy(), frame["start"].to_numpy().astype(np.int64), list(frame["bytes"]), length)
         if not len(docs):
-            return pd.DataFrame({"doc": [], "low": [], "high": [], "strings": [], "places": []})
+            return pd.DataFrame({"doc": [], "low": [], "high": [], "piece": [], "strings": [], "places": []})
         group = np.cumsum(new) - 1
         order = np.lexsort((places, docs, group))
         earliest = order[np.flatnonzero(new)]
         later = np.ones(len(docs), bool)
         later[earliest] = False
         d, a, b = _runs(docs[later], places[later], length)
-        out.append(pd.DataFrame({"doc": d, "low": a, "high": b, "strings": None, "places": None}))
+        out.append(pd.DataFrame({"doc": d, "low": a, "high": b, "piece": None, "strings": None, "places": None}))
         if frame["spread"].iloc[0]:
-            strings = b"".join(text[i:i + length].tobytes() for i in at[np.flatnonzero(new)])
-            stay = np.stack([docs[earliest], places[earliest]], 1).astype("<i8").tobytes()
-            out.append(pd.DataFrame({"doc": [-1], "low": [frame["anchor"].iloc[0]], "high": [len(earliest)],
-                                     "strings": [strings], "places": [stay]}))
+            strings = np.lib.stride_tricks.sliding_window_view(text, length)[at[np.flatnonzero(new)]]
+            stay = np.stack([docs[earliest], places[earliest]], 1).astype("<i8")
+            piece = string_ranges(strings, int(frame["parts"].iloc[0]))
+            lists = [np.flatnonzero(piece == k) for k in np.unique(piece)]
+            out.append(pd.DataFrame({"doc": -1, "low": frame["anchor"].iloc[0], "high": [len(x) for x in lists], "piece": np.unique(piece),
+                                     "strings": [strings[x].tobytes() for x in lists], "places": [stay[x].tobytes() for x in lists]}))
         return pd.concat(out, ignore_index=True)
     return run
 
 
+def string_ranges(strings: np.ndarray, n: int) -> np.ndarray:
+    """Which of n ranges of the hash each string (a row of bytes) falls into."""
+    weights = powers(strings.shape[1])
+    sums = np.zeros(len(strings), np.uint64)
+    for k in range(strings.shape[1]):
+        sums += _BYTE_TABLE[strings[:, k]] * weights[k]
+    return (mix(sums) % np.uint64(n)).astype(np.int64)
+
+
 def _merge(length: int):
-    """Of the sorted lists of one anchor: places for which another list has an earlier one."""
+    """Of the sorted lists of one range of an anchor: places for which another list has an earlier one."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        lists = [(np.frombuffer(s, f"S{length}"), np.frombuffer(p, "<i8").reshape(-1, 2))
-                 for s, p in zip(frame["strings"], frame["places"], strict=True)]
-        docs, starts = [], []
-        for k, (strings, places) in enumerate(lists):
-            beaten = np.zeros(len(strings), bool)
-            for j, (others, earlier) in enumerate(lists):
-                if j == k:
-                    continue
-                at = np.minimum(np.searchsorted(others, strings), len(others) - 1)
-                same = others[at] == strings
-                beaten |= same & ((earlier[at, 0] < places[:, 0]) | (earlier[at, 0] == places[:, 0]) & (earlier[at, 1] < places[:, 1]))
-            docs.append(places[beaten, 0])
-            starts.append(places[beaten, 1])
-        d, a, b = _runs(np.concatenate(docs), np.concatenate(starts), length)
+        strings = np.frombuffer(b"".join(frame["strings"]), f"S{length}")
+        places = np.frombuffer(b"".join(frame["places"]), "<i8").reshape(-1, 2)
+        docs, starts = places[:, 0], places[:, 1]
+        order = np.argsort(strings, kind="stable")  # merges the lists
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(np.concatenate([[0], strings[order][1:] != strings[order][:-1]]))
+        order = np.lexsort((starts, docs, group))
+        beaten = order[np.flatnonzero(np.diff(group[order], prepend=-1) == 0)]
+        d, a, b = _runs(docs[beaten], starts[beaten], length)
         return pd.DataFrame({"doc": d, "low": a, "high": b})
     return run
 
@@ -312,18 +320,18 @@ def repeated_ranges(texts: DataFrame, length: int = 100) -> DataFrame:
              .select("anchor", F.ceil(F.col("n") / ANCHOR_STRETCHES).cast("int").alias("parts")))
     repeated = found.join(often, "anchor").select(
         "doc", F.struct("anchor", "start", "windows", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc", "start"), F.col("parts")))
-                        .otherwise(-1).cast("int").alias("part")).alias("x"))
+                        .otherwise(-1).cast("int").alias("part"), "parts").alias("x"))
     lists = repeated.groupBy("doc").agg(F.collect_list("x").alias("found"))  # no longer than the text
     pieces = (texts.join(lists, "doc").select("doc", "text", "found")
-              .mapInArrow(_cut(length), "doc long, anchor long, part int, start int, bytes binary"))
+              .mapInArrow(_cut(length), "doc long, anchor long, part int, parts int, start int, bytes binary"))
     pieces = stored(pieces, "pieces")
     total = pieces.agg(F.sum(F.length("bytes"))).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, -(-total // SHARD_BYTES))
     shard = (F.when(F.col("part") >= 0, F.xxhash64("anchor", "part")).otherwise(F.pmod(F.col("anchor"), F.lit(shards))))
     dealt = pieces.withColumn("shard", shard).withColumn("spread", F.col("part") >= 0)
     local = stored(dealt.groupBy("shard", "spread").applyInPandas(
-        _shard(length), "doc long, low long, high long, strings binary, places binary"), "local")
-    across = (local.where("strings is not null").groupBy("low")
+        _shard(length), "doc long, low long, high long, piece long, strings binary, places binary"), "local")
+    across = (local.where("strings is not null").groupBy("low", "piece")
               .applyInPandas(_merge(length), "doc long, low long, high long"))
     return local.where("strings is null").select("doc", "low", "high").union(across)
 

@@ -246,6 +246,30 @@ def test_suffix_dedup(spark, docs, empty, monkeypatch, stretches):
     assert suffix.remove_repeats(empty).count() == 0
 
 
+def test_lists_of_a_spread_anchor_meet_in_ranges(spark, monkeypatch):
+    """One passage with different surroundings in all documents: no group of lists grows with their number."""
+    monkeypatch.setattr(suffix, "ANCHOR_STRETCHES", 10)
+    merge, sizes = suffix._merge, spark.sparkContext.accumulator(0)
+
+    def counted(length):
+        run = merge(length)
+
+        def counting(frame):
+            sizes.add(1)
+            assert sum(map(len, frame["strings"])) <= 100 * 1000
+            return run(frame)
+        return counting
+
+    monkeypatch.setattr(suffix, "_merge", counted)
+    texts = {k: f"{k * 7919 % 100003:06d} " * 12 + PASSAGE[:40] + f" {k * 104729 % 1000003:07d}" * 12 for k in range(200)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(frame).collect()}
+    assert got == brute_removed(texts, 100) and sizes.value >= 10
+    strings = np.random.default_rng(0).integers(0, 256, (5000, 100)).astype(np.uint8)
+    piece = suffix.string_ranges(strings, 20)
+    assert np.bincount(piece, minlength=20).max() < 400 and (suffix.string_ranges(strings[:50], 20) == piece[:50]).all()
+
+
 def test_suffix_dedup_repeated_rows(docs):
     rows = suffix.remove_repeats(docs.where("doc_id = 5").union(docs.where("doc_id = 5"))).collect()
     assert sorted(r.n_removed for r in rows) == [0, len(PASSAGE)]
