@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tabprep.llm import binary_ids, forced_bpe, forest, html, jaccard, licenses, packing, pseudo_lm, quality, suffix
+from tabprep.llm import (active_codes, binary_ids, forced_bpe, forest, grouping, heap_centroids, html, jaccard, licenses,
+                         packing, pseudo_lm, quality, suffix)
 from tabprep.queries.registry import table
 from tabprep.sources.storage import fresh_path
 
@@ -55,7 +56,21 @@ def op10_tree_forest(spark: SparkSession, folder: str) -> DataFrame:
     return forest.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op11_linear_grouping(spark: SparkSession, folder: str) -> DataFrame:
+    return grouping.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+def op12_active_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return active_codes.compress(table(spark, folder, "embeddings")).drop("label")
+
+
+def op13_heap_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return heap_centroids.cluster_vectors(table(spark, folder, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op2_quality_cascade, op3_template_extraction, op4_suffix_dedup, op5_license_scan, op6_ngram_jaccard,
-    op7_forced_bpe, op8_packing, op9_pseudo_likelihood, op10_tree_forest)} | {"pipeline": corpus_pipeline.run}
-SQL: dict[str, str] = {"op2_quality_cascade": quality.QUALITY_SQL}
+    op7_forced_bpe, op8_packing, op9_pseudo_likelihood, op10_tree_forest,
+    op11_linear_grouping, op12_active_codes, op13_heap_centroids)} | {"pipeline": corpus_pipeline.run}
+SQL: dict[str, str] = {"op2_quality_cascade": quality.QUALITY_SQL, "op12_active_codes": active_codes.CODES_SQL,
+                       "op13_heap_centroids": heap_centroids.CLUSTERS_SQL}
