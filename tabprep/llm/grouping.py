@@ -30,8 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprep.llm.arrow import id_and_text, rows_batch, texts_of
-from tabprep.llm.tokens import encoder, id_width
+from tabprep.llm.arrow import id_and_text, in_blocks, rows_batch, texts_of
+from tabprep.llm.tokens import id_width
+from tabprep.llm.word_ids import word_encoder
 from tabprep.sources.storage import stored
 
 #: What is tried: (pieces longer than this share of the window are large, number of groups). The plan with the fewest
@@ -226,11 +227,11 @@ def _cut(path: str, end_id: int, window: int, with_ids: bool, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), [0] * (window + 1)
         end = np.array([end_id], f"<u{width}").tobytes()
-        for batch in batches:
+        encode = word_encoder(path, width).encode
+        for batch in in_blocks(batches, 1):
             rows = []
-            encoded = encoder(path, width).encode(texts_of(batch.column(1)))
-            for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                ids = np.frombuffer(ids + end, f"<u{width}").astype("<u4")
+            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                ids = np.frombuffer(encode(text) + end, f"<u{width}").astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), window)):
                     some = ids[start:start + window]
                     n = len(some)

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tabprep.llm import grouping
+from tabprep.llm import grouping, word_ids
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -104,6 +104,19 @@ def test_best_configuration_against_all_choices():
         assert abs(value - want) < 1e-9 and abs(prices @ use - want) < 1e-9 and sizes @ use <= 40
 
 
+def test_word_ids_equal_the_library(monkeypatch):
+    monkeypatch.setattr(word_ids, "KEPT_WORDS", 40)
+    rng = np.random.default_rng(8)
+    bits = ["a", "B", " ", "  ", "\n", "\t", "'s", "'", "é", "É", "\u0301", "中", "\u00a0", "1", "23", "!", "<|endoftext|>", "Ÿ", "ŉ",
+            "<|startoftext|>", "\x1c", "İ", "ß", "Σ", "½", "\u3000", "the", "'ll", "<|", "|>", "🙂", "\x85", "\r\n", "_", "ž", "×"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 30))) for _ in range(3000)] + ["", "a" * 5000]
+    library, own = Tokenizer.from_file(WORDS), word_ids.WordEncoder(WORDS, 2)
+    want = [np.array(e.ids, "<u2").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [own.encode(t) for t in texts] == want
+    with pytest.raises(ValueError):
+        word_ids.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
 def test_pack_rows(spark):
     texts = [None, "", "one", "Two words " * 700, "the quick brown fox " * 1500, "é中 🙂" * 40, "x", "x"] \
         + [f"word {k} " * (k % 90) for k in range(120)]
