@@ -57,6 +57,16 @@ def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """The column with NaN as NULL: in every count, fill and flag both are missing."""
+    return nan_to_null(col(name)) if is_fractional(df.schema[name].dataType) else col(name)
+
+
+def number(name: str) -> Column:
+    """The column as a double, NaN as NULL."""
+    return nan_to_null(as_double(name))
+
+
 def any_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 

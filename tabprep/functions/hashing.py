@@ -24,6 +24,11 @@ def hash_number(key: Column, seed: int | str, digits: int = _DIGITS) -> Column:
     return F.conv(F.substring(hash_text(key, seed), 1, digits), 16, 10).cast("double")
 
 
+def spread_number(number: Column, seed: int) -> Column:
+    """A number from 0 up to 1 for a 64-bit number, for bounded samples; not for results."""
+    return F.pmod(F.xxhash64(number, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
 def lowest_by_hash(df: DataFrame, key: str, seed: int | str, quota: Callable[[object, int], int],
                    by: str | None = None) -> Column:
     """Condition that holds for exactly ``quota(group, n)`` rows of each group: those with the

@@ -11,16 +11,21 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tabprep.base import Fitted, Step
+from tabprep.base import Fitted, Step, read_side_table, write_side_table
 from tabprep.functions.columns import (
     as_double, col, lookup, non_numeric_columns, replace_columns, small_table)
 from tabprep.functions.order_stats import quantiles
-from tabprep.sources.storage import fresh_path, stored
+from tabprep.sources.storage import stored
 
-#: category tables up to this many rows are held as parameters and broadcast
+#: category tables up to this many rows and bytes are held as parameters and broadcast
 MAX_PARAMETER_ROWS = 200_000
+MAX_PARAMETER_BYTES = 8 << 20
+MAX_KEY_BYTES = 256
+#: copies of each category in a joined table
+CATEGORY_SALTS = 16
 #: one-hot output columns per source column
 MAX_ONE_HOT = 1_000
 HIGH_CARDINALITY = ("frequency", "clustering", "target", "none")
@@ -76,30 +81,34 @@ def numbered(categories: DataFrame) -> DataFrame:
 
 @dataclass
 class CategoryMap:
-    """Category -> number, as parameters if few, else as a table in the shared folder."""
+    """Category -> number, as parameters if few and short, else as a side table that is saved with the step."""
 
     values: dict = field(default_factory=dict)
-    path: str | None = None
+    table: str | None = None
 
     @staticmethod
     def learn(table: DataFrame) -> CategoryMap:
         """From a ``key, value`` DataFrame."""
         rows = table.select("key", F.col("value").cast("double").alias("value"))
-        few = rows.limit(MAX_PARAMETER_ROWS + 1).toArrow()
-        if few.num_rows <= MAX_PARAMETER_ROWS:
+        # a long key comes as NULL, so what reaches the driver is bounded in bytes as well
+        few = rows.select(F.when(F.octet_length("key") <= MAX_KEY_BYTES, F.col("key")).alias("key"), "value") \
+            .limit(MAX_PARAMETER_ROWS + 1).toArrow()
+        if few.num_rows <= MAX_PARAMETER_ROWS and not few["key"].null_count and few.nbytes <= MAX_PARAMETER_BYTES:
             return CategoryMap(dict(zip(few["key"].to_pylist(), few["value"].to_pylist(), strict=True)))
-        path = fresh_path(table.sparkSession, "categories")
-        rows.write.parquet(path)
-        return CategoryMap(path=path)
+        return CategoryMap(table=write_side_table(rows, "categories"))
 
     def add(self, df: DataFrame, source: Column, out: str) -> DataFrame:
-        if self.path is None:
+        if self.table is None:
             return lookup(df, source, self.values, out)
-        table = df.sparkSession.read.parquet(self.path) \
-            .select(F.col("key").alias("__key"), F.col("value").alias(out))
-        keyed = df.withColumn("__lookup", source)
-        # no hint: the join runs by key and the runtime splits partitions with a hot category
-        return keyed.join(table, F.col("__lookup") == F.col("__key"), "left").drop("__lookup", "__key")
+        table = read_side_table(df.sparkSession, self.table)
+        # every category stands in the table once for each salt, so the rows of a hot one are dealt over many tasks
+        salted = table.select(F.col("key").alias("__key"), F.col("value").alias(out),
+                              F.explode(F.sequence(F.lit(0), F.lit(CATEGORY_SALTS - 1))).alias("__copy"))
+        whole = [col(f.name) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        salt = F.pmod(F.xxhash64(*whole), F.lit(CATEGORY_SALTS)).cast("int")
+        keyed = df.withColumn("__lookup", source).withColumn("__salt", salt)
+        same = (F.col("__lookup") == F.col("__key")) & (F.col("__salt") == F.col("__copy"))
+        return keyed.join(salted, same, "left").drop("__lookup", "__key", "__salt", "__copy")
 
 
 def category_codes(df: DataFrame, c: str, out: str) -> DataFrame:

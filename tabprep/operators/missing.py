@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tabprep.base import Fitted, Step
+from tabprep.base import Fitted, Step, read_side_table, write_side_table
 from tabprep.functions.columns import (
-    any_of, as_double, col, numeric_columns, replace_columns, text_columns)
+    any_of, as_double, col, free_name, number, numeric_columns, present, replace_columns, text_columns)
 from tabprep.functions.moments import correlation, profile
 from tabprep.functions.neighbours import nearest
 from tabprep.functions.order_stats import quantiles
@@ -26,7 +26,7 @@ def missing_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """Per column: count and share of missing values, and the band the share falls in."""
     names = df.columns if columns is None else list(columns)
     row = df.agg(F.count("*").alias("n"),
-                 *[F.count_if(col(c).isNull()).alias(f"m{i}") for i, c in enumerate(names)])
+                 *[F.count_if(present(df, c).isNull()).alias(f"m{i}") for i, c in enumerate(names)])
     n = F.col("n")
     items = []
     for i, c in enumerate(names):
@@ -43,11 +43,11 @@ def missing_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 def missing_row_flag(df: DataFrame, columns: Sequence[str] | None = None,
                      name: str = "Missing_Flag") -> DataFrame:
     names = df.columns if columns is None else columns
-    return df.withColumn(name, any_of([col(c).isNull() for c in names]).cast("int"))
+    return df.withColumn(name, any_of([present(df, c).isNull() for c in names]).cast("int"))
 
 
 def null_counts(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, int]]:
-    row = df.agg(F.count("*"), *[F.count(col(c)) for c in columns]).first()
+    row = df.agg(F.count("*"), *[F.count(present(df, c)) for c in columns]).first()
     return row[0], {c: row[0] - row[i + 1] for i, c in enumerate(columns)}
 
 
@@ -63,13 +63,85 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
         by_type.setdefault(df.schema[c].dataType, []).append(c)
     for names in by_type.values():
         long = df.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("c"), col(c).alias("v")) for c in names])))
+            F.struct(F.lit(c).alias("c"), present(df, c).alias("v")) for c in names])))
         best = (long.where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count("*").alias("n"))
                 .groupBy("c").agg(F.min(F.struct(-F.col("n"), F.col("v"))).alias("best")))
         found.update({r["c"]: r["best"]["v"] for r in best.collect()})
     return found
 
 
+@dataclass
+class FittedKnn(Fitted):
+    """Donors of a table as a side table, and the column means for rows that no donor compares with."""
+
+    columns: list
+    features: list
+    k: int
+    donors: str
+    means: dict
+    plan: str = "auto"
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Fill every missing value of the columns; they become doubles.
+
+        Rows with equal features get equal fills, so each combination of features that has a gap is searched once.
+        """
+        names = [c for c in self.columns if c in df.columns]
+        seen = [c for c in self.features if c in df.columns]
+        if not names or not seen:
+            return df
+        spark = df.sparkSession
+        f = {c: f"f{i}" for i, c in enumerate(self.features)}
+        marks = [F.coalesce(number(c).cast("string"), F.lit("")) for c in seen]
+        gap = any_of([number(c).isNull() for c in names])
+        key = free_name("__knn_key", df.columns)
+        # rows without a gap get keys that match nothing and lie in no single partition
+        spread = F.concat(F.lit("-"), F.pmod(F.xxhash64(*[number(c) for c in seen]), F.lit(4_096)).cast("string"))
+        keyed = df.withColumn(key, F.when(gap, F.concat_ws(",", *marks)).otherwise(spread))
+        lacking = F.filter(F.array(*[F.when(number(c).isNull(), F.lit(self.columns.index(c))) for c in names]),
+                           lambda i: i.isNotNull())
+        asked = (keyed.where(gap).select(
+            F.col(key).alias("id"), lacking.alias("lacks"),
+            *[(number(c) if c in seen else F.lit(None).cast("double")).alias(f[c]) for c in self.features])
+            .groupBy("id", *f.values()).agg(F.array_distinct(F.flatten(F.collect_set("lacks"))).alias("lacks"))
+            .select("id", F.explode("lacks").alias("want"), *f.values()))
+        payloads = [f.get(c, f"p{i}") for i, c in enumerate(self.columns)]
+        pairs = nearest(asked, read_side_table(spark, self.donors), list(f.values()), self.k, payloads, self.plan)
+        fills = (pairs.groupBy("id", "want").agg(F.avg("payload").alias("fill")).groupBy("id").agg(*[
+            F.max(F.when(F.col("want") == i, F.col("fill"))).alias(f"__fill{i}") for i in range(len(self.columns))])
+            .withColumnRenamed("id", "__filled"))
+        new = {c: F.coalesce(number(c), F.col(f"__fill{self.columns.index(c)}"), F.lit(self.means.get(c)).cast("double"))
+               for c in names}
+        return (keyed.join(fills, col(key) == F.col("__filled"), "left")
+                .select(*[new[c].alias(c) if c in new else col(c) for c in df.columns]))
+
+
+@dataclass
+class KnnImputer(Step):
+    """Mean of the ``k`` nearest rows that have the value (nan-euclidean over the features) per missing value.
+
+    ``key`` settles equal distances, by the smaller key; without it an arbitrary but fixed order does. The donors are all
+    rows of the fitted table that have any of the columns. Rows of any table are filled: a value that is missing is never
+    its own donor. A row without any comparable donor gets the column mean. ``plan`` is that of ``neighbours.nearest``.
+    """
+
+    columns: Sequence[str] | None = None
+    features: Sequence[str] | None = None
+    k: int = 5
+    key: str | None = None
+    plan: str = "auto"
+
+    def fit(self, df: DataFrame, target: str | None = None) -> FittedKnn:
+        features = list(self.features) if self.features is not None else numeric_columns(df, [self.key, target])
+        columns = list(self.columns) if self.columns is not None else features
+        means = {c: m["mean"] for c, m in profile(df, columns, ["mean"]).items()}
+        extra = [number(c).alias(f"p{i}") for i, c in enumerate(columns) if c not in features]
+        own = F.monotonically_increasing_id() if self.key is None else col(self.key)
+        some = any_of([number(c).isNotNull() for c in columns])
+        donors = df.where(some).select(own.alias("id"), *[number(c).alias(f"f{i}") for i, c in enumerate(features)], *extra)
+        return FittedKnn(columns, features, self.k, write_side_table(donors, "donors"), means, self.plan)
+
+
 @dataclass
 class FittedImputer(Fitted):
     """Fill values, dropped columns and flag columns learned from a table."""
@@ -81,26 +153,36 @@ class FittedImputer(Fitted):
     methods: dict = field(default_factory=dict)
     rows: int = 0
     nulls: dict = field(default_factory=dict)
+    knn: FittedKnn | None = None
+
+    @classmethod
+    def restore(cls, params: dict) -> FittedImputer:
+        return cls(**{**params, "knn": FittedKnn(**params["knn"]) if params.get("knn") else None})
 
-    def _filled(self, c: str) -> Column:
-        value = as_double(c) if c in self.fractional else col(c)
+    def _filled(self, df: DataFrame, c: str) -> Column:
+        value = number(c) if c in self.fractional else present(df, c)
         fill = self.fills.get(c)
         return value if fill is None else F.coalesce(value, F.lit(fill))
 
     def transform(self, df: DataFrame) -> DataFrame:
         have = set(df.columns)
-        out = [self._filled(c).alias(c) for c in df.columns if c not in self.dropped]
-        for c in self.flags:
-            if c in have and f"{c}_Missing_Flag" not in have:
-                out.append(col(c).isNull().cast("int").alias(f"{c}_Missing_Flag"))
-        return df.select(*out)
+        kept = [c for c in df.columns if c not in self.dropped]
+        flags = {c: f"{c}_Missing_Flag" for c in self.flags if c in have and f"{c}_Missing_Flag" not in have}
+        marked = df.select(*[col(c) for c in kept],
+                           *[present(df, c).isNull().cast("int").alias(f) for c, f in flags.items()])
+        if self.knn is not None:
+            marked = self.knn.transform(marked)
+        return marked.select(*[self._filled(marked, c).alias(c) for c in kept], *[col(f) for f in flags.values()])
 
     def report(self, df: DataFrame) -> DataFrame:
-        """Method per column with null counts before and after, from one pass over the data."""
+        """Method per column with counts of missing values before and after, from one pass over the data."""
         names = list(self.nulls)
-        row = df.agg(*[F.count_if(col(c).isNull()).alias(f"b{i}") for i, c in enumerate(names)],
-                     *[F.count_if(self._filled(c).isNull()).alias(f"a{i}")
-                       for i, c in enumerate(names)])
+        was = {c: free_name(f"__was_{c}", df.columns) for c in names}
+        both = df.select(*[col(c) for c in df.columns], *[present(df, c).isNull().alias(w) for c, w in was.items()])
+        if self.knn is not None:
+            both = self.knn.transform(both)
+        row = both.agg(*[F.count_if(col(was[c])).alias(f"b{i}") for i, c in enumerate(names)],
+                       *[F.count_if(self._filled(both, c).isNull()).alias(f"a{i}") for i, c in enumerate(names)])
         items = [F.struct(
             F.lit(c).alias("column"),
             F.lit("dropped" if c in self.dropped else self.methods.get(c, "none")).alias("method"),
@@ -112,7 +194,11 @@ class FittedImputer(Fitted):
 
 @dataclass
 class MissingValueHandler(Step):
-    """Learn fills per column: mean, median, most_frequent or constant; drop sparse columns."""
+    """Learn fills per column: mean, median, most_frequent, constant or knn; drop sparse columns.
+
+    NULL and NaN are both missing. ``knn`` fills the numeric columns that have gaps from the nearest rows over these same
+    columns; ``key`` then names rows, see ``KnnImputer``, and is neither filled nor compared.
+    """
 
     numeric_strategy: str = "median"
     categorical_strategy: str = "most_frequent"
@@ -121,9 +207,11 @@ class MissingValueHandler(Step):
     strictly_above: bool = False
     numeric_fill: float = 0.0
     text_fill: str = "missing_value"
+    knn_neighbors: int = 5
+    key: str | None = None
 
     def __post_init__(self):
-        if self.numeric_strategy not in ("mean", "median", "most_frequent", "constant"):
+        if self.numeric_strategy not in ("mean", "median", "most_frequent", "constant", "knn"):
             raise ValueError(f"unknown numeric strategy {self.numeric_strategy!r}")
         if self.categorical_strategy not in ("most_frequent", "constant"):
             raise ValueError(f"unknown categorical strategy {self.categorical_strategy!r}")
@@ -136,7 +224,7 @@ class MissingValueHandler(Step):
         return ratio == 1 or (ratio > limit if self.strictly_above else ratio >= limit)
 
     def fit(self, df: DataFrame, target: str | None = None) -> FittedImputer:
-        names = [c for c in df.columns if c != target]
+        names = [c for c in df.columns if c not in (target, self.key)]
         rows, nulls = null_counts(df, names)
         dropped = [c for c in names if rows and self._sparse(nulls[c], rows)]
         kept = [c for c in names if c not in dropped]
@@ -156,43 +244,32 @@ class MissingValueHandler(Step):
         by_mode += [c for c in texts if self.categorical_strategy == "most_frequent"]
         if by_mode:
             fills |= modes(df, by_mode)
+        gaps, knn = [c for c in numbers if nulls[c]], None
+        if self.numeric_strategy == "knn" and gaps:
+            knn = KnnImputer(gaps, gaps, self.knn_neighbors, self.key).fit(df)
         methods = {c: self.numeric_strategy for c in numbers if nulls[c]}
         methods |= {c: self.categorical_strategy for c in texts if nulls[c]}
         return FittedImputer(
             fills=fills, dropped=dropped, methods=methods, rows=rows, nulls=nulls,
             fractional=[c for c in numbers if self.numeric_strategy in ("mean", "median", "constant")],
-            flags=[c for c in kept if nulls[c]] if self.add_missing_flag else [])
+            flags=[c for c in kept if nulls[c]] if self.add_missing_flag else [], knn=knn)
 
 
 def impute_knn(df: DataFrame, key: str, columns: Sequence[str] | None = None,
-               features: Sequence[str] | None = None, k: int = 5) -> DataFrame:
-    """Mean of the ``k`` nearest donors (nan-euclidean over all numeric columns) per null value.
+               features: Sequence[str] | None = None, k: int = 5, plan: str = "auto") -> DataFrame:
+    """Mean of the ``k`` nearest donors (nan-euclidean over all numeric columns) per missing value of this table.
 
     ``key`` identifies a row and settles equal distances. A row without any comparable donor gets
-    the column mean. The search is exact; see ``functions.neighbours``.
+    the column mean. One exact search serves all columns; see ``KnnImputer``.
     """
     features = list(features) if features is not None else numeric_columns(df, [key])
-    columns = list(columns) if columns is not None else features
-    rows, nulls = null_counts(df, columns)
-    means = profile(df, columns, ["mean"])
-    out = df
-    for c in [c for c in columns if 0 < nulls[c] < rows]:
-        base = df.select(col(key).alias("id"), *[as_double(f).alias(f"f{i}")
-                                                 for i, f in enumerate(features)],
-                         as_double(c).alias("payload"))
-        pairs = nearest(base.where(F.col("payload").isNull()).drop("payload"),
-                        base.where(F.col("payload").isNotNull()),
-                        [f"f{i}" for i in range(len(features))], k)
-        filled = pairs.groupBy("id").agg(F.avg("payload").alias("__knn")) \
-            .withColumnRenamed("id", "__id")
-        value = F.coalesce(as_double(c), F.col("__knn"), F.lit(means[c]["mean"]))
-        out = (out.join(filled, col(key) == F.col("__id"), "left")
-               .select(*[value.alias(x) if x == c else col(x) for x in out.columns]))
-    return out
+    rows, nulls = null_counts(df, list(columns) if columns is not None else features)
+    gaps = [c for c, n in nulls.items() if 0 < n < rows]
+    return KnnImputer(gaps, features, k, key, plan).fit_transform(df) if gaps else df
 
 
 def impute_knn_text(df: DataFrame, key: str, column: str, features: Sequence[str],
-                    k: int = 5) -> DataFrame:
+                    k: int = 5, plan: str = "auto") -> DataFrame:
     """Majority vote of the ``k`` nearest donors; features are numeric or text columns, the latter
     placed by the rank of the value among the sorted distinct values. Smallest value on ties."""
     from tabprep.operators.encoding import category_codes
@@ -200,14 +277,14 @@ def impute_knn_text(df: DataFrame, key: str, column: str, features: Sequence[str
     spots: list[Column] = []
     for i, f in enumerate(features):
         if f in numeric_columns(df):
-            spots.append(as_double(f).alias(f"f{i}"))
+            spots.append(number(f).alias(f"f{i}"))
         else:
             coded = category_codes(coded, f, f"__code{i}")
             spots.append(F.col(f"__code{i}").cast("double").alias(f"f{i}"))
     base = coded.select(col(key).alias("id"), *spots, col(column).alias("payload"))
     pairs = nearest(base.where(F.col("payload").isNull()).drop("payload"),
                     base.where(F.col("payload").isNotNull()),
-                    [f"f{i}" for i in range(len(features))], k)
+                    [f"f{i}" for i in range(len(features))], k, plan=plan)
     votes = (pairs.groupBy("id", "payload").agg(F.count("*").alias("n"))
              .groupBy(F.col("id").alias("__id"))
              .agg(F.min(F.struct(-F.col("n"), F.col("payload"))).alias("__best")))
@@ -227,6 +304,7 @@ def fill_in_time(df: DataFrame, time_col: str, tie_col: str, columns: Sequence[s
     columns = [c for c in (columns if columns is not None else df.columns)
                if c not in (time_col, tie_col, *partition_by)]
     parts = list(partition_by)
+    df = replace_columns(df, {c: present(df, c) for c in columns})
     spread, order = bucketed(df, [time_col, tie_col])
     by = [*parts, "__bucket"]
     before = (Window.partitionBy(*[col(c) for c in by]).orderBy(*order)
@@ -270,42 +348,48 @@ class FittedRegression(Fitted):
     intercept: float
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if not self.predictors:
+            return df
         guess = F.lit(self.intercept)
         for c, b in zip(self.predictors, self.coefficients, strict=True):
-            guess = guess + F.lit(b) * as_double(c)
-        return replace_columns(df, {self.column: F.coalesce(as_double(self.column), guess)})
+            guess = guess + F.lit(b) * number(c)
+        return replace_columns(df, {self.column: F.coalesce(number(self.column), guess)})
 
 
 @dataclass
 class RegressionImputer(Step):
-    """Least squares on the numeric columns whose absolute correlation exceeds the threshold."""
+    """Least squares on the numeric columns whose absolute correlation exceeds the threshold.
+
+    Without such a column, or without a row that has all values, the fitted step has no predictors and changes nothing.
+    """
 
     column: str
     corr_threshold: float = 0.5
     candidates: Sequence[str] | None = None
 
-    def fit(self, df: DataFrame, target: str | None = None) -> FittedRegression | None:
+    def fit(self, df: DataFrame, target: str | None = None) -> FittedRegression:
         names = [c for c in (self.candidates or numeric_columns(df)) if c not in (self.column, target)]
+        nothing = FittedRegression(self.column, [], [], 0.0)
         if not names:
-            return None
-        row = df.agg(*[correlation(as_double(self.column), as_double(c)) for c in names]).first()
+            return nothing
+        row = df.agg(*[correlation(number(self.column), number(c)) for c in names]).first()
         strong = [c for c, r in zip(names, row, strict=True)
                   if r is not None and abs(r) > self.corr_threshold]
         if not strong:
-            return None
+            return nothing
         return self._solve(df, strong)
 
-    def _solve(self, df: DataFrame, strong: list[str]) -> FittedRegression | None:
-        known = df.where(~any_of([col(c).isNull() for c in [self.column, *strong]]))
-        y = as_double(self.column)
-        xs = [as_double(c) for c in strong]
+    def _solve(self, df: DataFrame, strong: list[str]) -> FittedRegression:
+        known = df.where(~any_of([number(c).isNull() for c in [self.column, *strong]]))
+        y = number(self.column)
+        xs = [number(c) for c in strong]
         d = len(xs)
         # centred sums: covariances are stable where raw sums of squares are not
         aggs = [F.avg(y), *[F.avg(x) for x in xs], *[F.covar_pop(x, y) for x in xs],
                 *[F.covar_pop(xs[i], xs[j]) for i in range(d) for j in range(i, d)]]
         row = known.agg(*aggs).first()
         if row[0] is None:
-            return None
+            return FittedRegression(self.column, [], [], 0.0)
         gram = np.zeros((d, d))
         upper = iter(row[1 + 2 * d:])
         for i in range(d):

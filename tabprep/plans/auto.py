@@ -91,7 +91,7 @@ def _fill_or_drop(df: DataFrame, c: str, numbers: Sequence[str], critical: Seque
     if c in numbers:
         others = [x for x in numbers if x != c and x in df.columns]
         fitted = RegressionImputer(c, threshold, others).fit(df)
-        if fitted is not None:
+        if fitted.predictors:
             return fitted.transform(df), f"regression on {', '.join(fitted.predictors)}"
     return df.drop(c), "dropped (>30% missing, not correlated)"
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tabprep.base import Fitted, Step
+from tabprep.base import Fitted, Step, load_fitted, save_fitted
 from tabprep.operators.schema import align_raw, finalize_output
 
 
@@ -54,14 +53,12 @@ class FittedChain(Fitted):
         return cls(**{**params, "steps": steps})
 
     def save(self, df: DataFrame, path: str) -> None:
-        """Write the parameters as one line of JSON text through Spark, so any file system works."""
-        spark = df.sparkSession
-        spark.createDataFrame([(json.dumps(self.to_dict()),)], "value string").coalesce(1) \
-            .write.text(path)
+        """Write the parameters and the tables that belong to them; see ``base.save_fitted``."""
+        save_fitted(self, df.sparkSession, path)
 
     @staticmethod
     def load(spark, path: str) -> FittedChain:
-        return Fitted.from_dict(json.loads(spark.read.text(path).first()["value"]))
+        return load_fitted(spark, path)
 
 
 @dataclass

@@ -184,6 +184,93 @@ def impute_knn(spark, sf):
     return rounded(M.impute_knn(frame, "id", ["v"]), 6, ["v"])
 
 
+@query("impute_knn_cells", _KNN)
+def impute_knn_cells(spark, sf):
+    """The same search through the cell tree, as it runs where donors are too many for every task."""
+    frame = table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), null_when(F.col("event_id") % 10 == 0, "value").alias("v"),
+        as_double("user_id").alias("a"),
+        F.when(F.col("event_id") % 7 != 0, F.hour("ts").cast("double")).alias("b"),
+        F.minute("ts").cast("double").alias("c"))
+    return rounded(M.impute_knn(frame, "id", ["v"], plan="cells"), 6, ["v"])
+
+
+# twelve columns, each with gaps of its own: (multiplier, modulus, gap multiplier); a value is missing in 3 of 10 rows
+_GAPS = [(17, 23, 3), (29, 31, 7), (41, 19, 11), (53, 37, 13), (67, 29, 17), (71, 41, 19), (83, 17, 23), (97, 43, 29),
+         (101, 13, 31), (113, 47, 37), (127, 11, 41), (139, 53, 43)]
+_GAP_COLUMNS = ", ".join(
+    f"CASE WHEN (event_id * {g} + event_id // {k + 3}) % 10 >= 3 THEN (event_id * {m} // 7 % {q})::DOUBLE END AS x{k}"
+    for k, (m, q, g) in enumerate(_GAPS))
+_GAP_SUM = " + ".join(f"coalesce((q.x{k} - d.x{k}) ** 2, 0)" for k in range(12))
+_GAP_USED = " + ".join(f"(q.x{k} IS NOT NULL AND d.x{k} IS NOT NULL)::INT" for k in range(12))
+
+
+@query("impute_knn_gaps", f"""
+WITH g AS (SELECT event_id AS id, {_GAP_COLUMNS} FROM events),
+     p AS (SELECT q.id, d.x0 AS v0, d.x5 AS v5, q.x0 IS NULL AS n0, q.x5 IS NULL AS n5, d.id AS donor,
+                  ({_GAP_SUM}) * 12 / ({_GAP_USED}) AS far
+           FROM g q, g d WHERE (q.x0 IS NULL OR q.x5 IS NULL) AND {_GAP_USED} > 0),
+     a AS (SELECT id, v0, row_number() OVER (PARTITION BY id ORDER BY far, donor) AS r FROM p WHERE n0 AND v0 IS NOT NULL),
+     b AS (SELECT id, v5, row_number() OVER (PARTITION BY id ORDER BY far, donor) AS r FROM p WHERE n5 AND v5 IS NOT NULL)
+SELECT g.id, round(coalesce(x0, (SELECT avg(v0) FROM a WHERE a.id = g.id AND r <= 5), (SELECT avg(x0) FROM g)), 6) AS x0,
+       round(coalesce(x5, (SELECT avg(v5) FROM b WHERE b.id = g.id AND r <= 5), (SELECT avg(x5) FROM g)), 6) AS x5 FROM g""")
+def impute_knn_gaps(spark, sf):
+    """Two of twelve columns with independent gaps, so that nearly every row lacks a combination of its own."""
+    k = F.col("event_id")
+    frame = table(spark, sf, "events").select(k.alias("id"), *[
+        F.when((k * g + F.expr(f"event_id div {i + 3}")) % 10 >= 3,
+               (F.expr(f"event_id * {m} div 7") % q).cast("double")).alias(f"x{i}")
+        for i, (m, q, g) in enumerate(_GAPS)])
+    filled = M.impute_knn(frame, "id", ["x0", "x5"], plan="cells")
+    return rounded(filled.select("id", "x0", "x5"), 6, ["x0", "x5"])
+
+
+@query("impute_knn_fitted", """
+WITH g AS (SELECT event_id AS id, CASE WHEN event_id % 9 <> 0 THEN (user_id % 50)::DOUBLE END AS a,
+                  CASE WHEN event_id % 7 > 1 THEN hour(ts)::DOUBLE END AS b,
+                  CASE WHEN event_id % 11 <> 0 THEN minute(ts)::DOUBLE END AS c, event_type FROM events),
+     q AS (SELECT *, a IS NULL AS na, b IS NULL AS nb, c IS NULL AS nc FROM g WHERE id % 4 = 0),
+     d AS (SELECT * FROM g WHERE id % 4 <> 0),
+     p AS (SELECT q.id, d.id AS donor, d.a, d.b, d.c, na, nb, nc,
+                  (coalesce((q.a - d.a) ** 2, 0) + coalesce((q.b - d.b) ** 2, 0) + coalesce((q.c - d.c) ** 2, 0)) * 3
+                  / nullif((q.a IS NOT NULL AND d.a IS NOT NULL)::INT + (q.b IS NOT NULL AND d.b IS NOT NULL)::INT
+                           + (q.c IS NOT NULL AND d.c IS NOT NULL)::INT, 0) AS far
+           FROM q, d WHERE na OR nb OR nc),
+     ra AS (SELECT id, a, row_number() OVER (PARTITION BY id ORDER BY far, donor) AS r FROM p WHERE na AND a IS NOT NULL AND far IS NOT NULL),
+     rb AS (SELECT id, b, row_number() OVER (PARTITION BY id ORDER BY far, donor) AS r FROM p WHERE nb AND b IS NOT NULL AND far IS NOT NULL),
+     rc AS (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY far, donor) AS r FROM p WHERE nc AND c IS NOT NULL AND far IS NOT NULL)
+SELECT id, event_type,
+       round(coalesce(a, (SELECT avg(ra.a) FROM ra WHERE ra.id = q.id AND r <= 4), (SELECT avg(a) FROM d)), 6) AS a,
+       round(coalesce(b, (SELECT avg(rb.b) FROM rb WHERE rb.id = q.id AND r <= 4), (SELECT avg(b) FROM d)), 6) AS b,
+       round(coalesce(c, (SELECT avg(rc.c) FROM rc WHERE rc.id = q.id AND r <= 4), (SELECT avg(c) FROM d)), 6) AS c,
+       na::INTEGER AS "a_Missing_Flag", nb::INTEGER AS "b_Missing_Flag", nc::INTEGER AS "c_Missing_Flag" FROM q""")
+def impute_knn_fitted(spark, sf):
+    """The neighbour strategy of the handler, fitted on three quarters of the rows and applied to the others."""
+    k = F.col("event_id")
+    frame = table(spark, sf, "events").select(
+        k.alias("id"), F.when(k % 9 != 0, (F.col("user_id") % 50).cast("double")).alias("a"),
+        F.when(k % 7 > 1, F.hour("ts").cast("double")).alias("b"),
+        F.when(k % 11 != 0, F.minute("ts").cast("double")).alias("c"), "event_type")
+    handler = M.MissingValueHandler("knn", knn_neighbors=4, key="id")
+    fitted = handler.fit(frame.where("id % 4 <> 0"))
+    return rounded(fitted.transform(frame.where("id % 4 = 0")))
+
+
+@query("impute_nan", """
+WITH g AS (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN NULL ELSE value END AS value, value IS NULL AS x FROM events)
+SELECT event_id, round(coalesce(value, (SELECT avg(value) FROM g)), 6) AS value,
+       (value IS NULL)::INTEGER AS "value_Missing_Flag",
+       (SELECT count(*) - count(value) FROM g) AS missing FROM g""")
+def impute_nan(spark, sf):
+    """NaN counts, is flagged and is filled like NULL."""
+    k = F.col("event_id")
+    frame = table(spark, sf, "events").select("event_id", F.when(k % 12 == 0, F.lit(float("nan")))
+                                              .when(k % 6 == 0, F.lit(None)).otherwise(F.col("value")).alias("value"))
+    profile = M.missing_profile(frame, ["value"]).select(F.col("missing_count").alias("missing"))
+    filled = M.MissingValueHandler("mean", key="event_id").fit(frame).transform(frame)
+    return rounded(filled.join(F.broadcast(profile)), 6, ["value"])
+
+
 @query("impute_knn_categorical", """
 WITH w AS (SELECT event_id AS id, CASE WHEN event_id % 10 <> 0 THEN event_type END AS kind,
                   user_id::DOUBLE AS a, minute(ts)::DOUBLE AS b, (event_id % 3)::VARCHAR AS third,

@@ -150,7 +150,7 @@ def test_category_table_beyond_the_parameter_limit(spark, monkeypatch):
     monkeypatch.setattr(EN, "MAX_PARAMETER_ROWS", 10)
     frame = spark.range(300).select((F.col("id") % 30).cast("string").alias("c"))
     fitted = EN.fit_frequency(frame, "c")
-    assert fitted.shares.path is not None
+    assert fitted.shares.table is not None
     assert {r["c"] for r in fitted.transform(frame).collect()} == {10 / 300}
     codes = EN.category_codes(frame, "c", "code").distinct().toPandas().sort_values("c")
     assert codes["code"].tolist() == list(range(30))

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tabprep.functions import cells
 from tabprep.functions import neighbours as N
 from tabprep.functions import order_stats as O
 from tabprep.functions import pairs
@@ -100,8 +101,8 @@ def brute_force(q, d, features, k):
 def test_nearest_equals_brute_force(spark, monkeypatch, shared):
     monkeypatch.setattr(N, "SHARED_DONORS", shared)
     monkeypatch.setattr(N, "MORE_DONORS", shared)
-    monkeypatch.setattr(N, "ROWS_PER_CELL", 20)
-    monkeypatch.setattr(N, "QUERIES_PER_CHUNK", 5)
+    monkeypatch.setattr(cells, "ROWS_PER_CELL", 20)
+    monkeypatch.setattr(cells, "ROWS_PER_CHUNK", 5)
     rng = np.random.default_rng(3)
     d = pd.DataFrame({"id": np.arange(160), "f0": rng.integers(0, 12, 160).astype(float),
                       "f1": rng.integers(0, 30, 160).astype(float)})
