@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.functions.columns import col
-from tabprep.functions.order_stats import order_statistics
+from tabprep.functions.joins import salted_join
+from tabprep.functions.selection import lowest_keys, rank_key
 
 #: 13 hex digits are 52 bits, exact in a double
 _DIGITS = 13
-MAX_TIES = 100_000
 
 
 def hash_text(key: Column, seed: int | str) -> Column:
@@ -29,45 +29,21 @@ def spread_number(number: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(number, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def lowest_by_hash(df: DataFrame, key: str, seed: int | str, quota: Callable[[object, int], int],
-                   by: str | None = None) -> Column:
-    """Condition that holds for exactly ``quota(group, n)`` rows of each group: those with the
-    smallest hash of the (unique) key. The cut is an exact order statistic, so a group of any size
-    is decided by one comparison per row instead of a sort."""
-    number = hash_number(col(key), seed)
-    source = df if by is not None else df.withColumn("__all", F.lit(0))
-    group = by if by is not None else "__all"
-    sizes: dict[object, int] = {}
+def mark_lowest(df: DataFrame, key: str, seed: int | str, quota: Callable, name: str,
+                by: str | None = None) -> DataFrame:
+    """Add the flag ``name`` for exactly ``quota(n)`` rows of each group of n: those with the smallest hash of the key.
 
-    def ranks(which, n):
-        sizes[which[1]] = n
-        q = max(0, min(n, quota(which[1], n)))
-        return [q - 1] if q else []
-
-    cuts = order_statistics(source, {"h": number}, ranks, by=group)
-    text = hash_text(col(key), seed)
-    chosen = F.lit(False)
-    limits = {k[1]: next(iter(v.values()), None) for k, v in cuts.items()}
-    at_cut = [(g, h) for g, h in limits.items() if h is not None]
-    if not at_cut:
-        return chosen
-    where = F.lit(False)
-    for g, h in at_cut:
-        here = (col(by) == g) if by is not None else F.lit(True)
-        where = where | (here & (number <= h))
-    # rows up to the cut per group, and the hashes that share the cut itself (normally one)
-    counts = {r["g"]: r["n"] for r in source.where(where).groupBy(col(group).alias("g"))
-              .agg(F.count("*").alias("n")).collect()}
-    for g, h in at_cut:
-        here = (col(by) == g) if by is not None else F.lit(True)
-        extra = counts[g] - max(0, min(sizes[g], quota(g, sizes[g])))
-        if extra == 0:
-            chosen = chosen | (here & (number <= h))
-            continue
-        ties = [r[0] for r in source.where(here & (number == h)).select(text.alias("t"))
-                .orderBy("t").limit(MAX_TIES + 1).collect()]
-        if len(ties) > MAX_TIES or len(set(ties)) < len(ties):
+    ``quota`` is given a number, or with ``by`` the Column of the groups' sizes. The key identifies rows. The cut of a group is an exact order statistic of the whole hash, found for all groups at
+    once, and joined; so a group of any size is decided by one comparison per row, and there may be any number of groups.
+    Rows whose group is NULL are not chosen.
+    """
+    if by is None:
+        cut = rank_key(df.select(hash_text(col(key), seed).alias("k")), lambda n: min(n, quota(n)) - 1)
+        if cut is not None and cut[2] > 1:
             raise ValueError(f"column {key!r} must identify rows")
-        last = ties[len(ties) - extra - 1]
-        chosen = chosen | (here & ((number < h) | ((number == h) & (text <= last))))
-    return chosen
+        chosen = F.lit(False) if cut is None else F.coalesce(hash_text(col(key), seed) <= F.lit(cut[0]), F.lit(False))
+        return df.withColumn(name, chosen)
+    cuts = lowest_keys(df.where(col(by).isNotNull()).select(col(by).alias("g"), hash_text(col(key), seed).alias("k")), quota)
+    table = cuts.select(F.col("g").alias("__g"), F.col("k").alias("__cut"))
+    chosen = F.coalesce(hash_text(col(key), seed) <= F.col("__cut"), F.lit(False))
+    return salted_join(df, table, [by], ["__g"]).withColumn(name, chosen).drop("__cut")

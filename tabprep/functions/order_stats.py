@@ -19,10 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.functions.columns import col, small_table
+from tabprep.functions.columns import small_table
 from tabprep.functions.moments import expressions
 
-MAX_GROUPS = 10_000
 MAX_BINS = 4_096
 TOTAL_BINS = 1 << 18
 FINISH_ROWS = 200_000
@@ -31,20 +30,11 @@ _HUGE = 1e15
 Key = tuple[str, object]
 
 
-def summary(df: DataFrame, columns: Sequence[str] | Mapping[str, Column],
-            by: str | None = None) -> dict[Key, tuple[int, float, float]]:
-    """``{(column, group): (non-null count, min, max)}``; group is None without ``by``."""
+def summary(df: DataFrame, columns: Sequence[str] | Mapping[str, Column]) -> dict[Key, tuple[int, float, float]]:
+    """``{(column, None): (non-null count, min, max)}``."""
     exprs = expressions(df, columns)
-    aggs = [f(e) for e in exprs.values() for f in (F.count, F.min, F.max)]
-    if by is None:
-        rows = [(None, *df.agg(*aggs).first())]
-    else:
-        grouped = df.where(col(by).isNotNull()).groupBy(col(by)).agg(*aggs)
-        rows = [tuple(r) for r in grouped.limit(MAX_GROUPS + 1).collect()]
-        if len(rows) > MAX_GROUPS:
-            raise ValueError(f"column {by!r} has more than {MAX_GROUPS} groups")
-    return {(c, r[0]): tuple(r[1 + 3 * i: 4 + 3 * i])
-            for r in rows for i, c in enumerate(exprs)}
+    row = df.agg(*[f(e) for e in exprs.values() for f in (F.count, F.min, F.max)]).first()
+    return {(c, None): tuple(row[3 * i: 3 + 3 * i]) for i, c in enumerate(exprs)}
 
 
 def _position(v: Column, log_scale: Column) -> Column:
@@ -72,13 +62,16 @@ class _Series:
 
 
 def order_statistics(df: DataFrame, columns: Sequence[str] | Mapping[str, Column],
-                     wanted: Callable[[Key, int], Sequence[int]], by: str | None = None,
+                     wanted: Callable[[Key, int], Sequence[int]],
                      known: Mapping[Key, tuple[int, float, float]] | None = None,
                      finish_rows: int | None = None) -> dict[Key, dict[int, float]]:
-    """Values at the 0-based ranks ``wanted(key, n)`` of every column (and group)."""
+    """Values at the 0-based ranks ``wanted(key, n)`` of every column, as doubles.
+
+    ``functions.selection`` finds them in any number of groups and without a detour over doubles.
+    """
     finish_rows = FINISH_ROWS if finish_rows is None else finish_rows
     exprs = expressions(df, columns)
-    known = dict(known) if known is not None else summary(df, exprs, by)
+    known = dict(known) if known is not None else summary(df, exprs)
     found: dict[Key, dict[int, float]] = {k: {} for k in known}
     series: list[_Series] = []
     start: list[Key] = []
@@ -98,24 +91,13 @@ def order_statistics(df: DataFrame, columns: Sequence[str] | Mapping[str, Column
         return found
 
     spark = df.sparkSession
-    names = list(exprs)
     bins = _bins_for(series)
     params = [s.params(bins) for s in series]
-    if by is None:
-        # parameters as literals: no join in the first pass over the source
-        binned = df.select(F.inline(F.array(*[
-            F.struct(_bin(exprs[key[0]].cast("double"), i, bins, *map(F.lit, params[i])).alias("b"),
-                     exprs[key[0]].cast("double").alias("v"))
-            for i, key in enumerate(start)]))).where(F.col("v").isNotNull())
-    else:
-        used = sorted({names.index(k[0]) for k in start})
-        long = df.select(col(by).alias("g"), F.inline(F.array(*[
-            F.struct(F.lit(i).alias("c"), exprs[names[i]].cast("double").alias("v"))
-            for i in used]))).where(F.col("v").isNotNull())
-        ids = {"c": pa.array([names.index(k[0]) for k in start], pa.int32()),
-               "g": pa.array([k[1] for k in start])}
-        table = small_table(spark, {**ids, **_columns(params)})
-        binned = _binned(long.join(F.broadcast(table), ["c", "g"]), bins)
+    # parameters as literals: no join in the first pass over the source
+    binned = df.select(F.inline(F.array(*[
+        F.struct(_bin(exprs[key[0]].cast("double"), i, bins, *map(F.lit, params[i])).alias("b"),
+                 exprs[key[0]].cast("double").alias("v"))
+        for i, key in enumerate(start)]))).where(F.col("v").isNotNull())
 
     while True:
         counts = (binned.groupBy("b")
@@ -219,11 +201,3 @@ def quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column],
     return {c: [_interpolate(seen[c, None][0], p, at[c, None]) if seen[c, None][0] else None
                 for p in probs] for c in exprs}
 
-
-def grouped_quantiles(df: DataFrame, column: str, by: str,
-                      probs: Sequence[float]) -> dict[object, tuple[int, float, float, list[float]]]:
-    """``{group: (n, min, max, [quantile, ...])}`` for at most MAX_GROUPS groups."""
-    seen = summary(df, [column], by)
-    at = order_statistics(df, [column], lambda key, n: _ranks(n, probs), by=by, known=seen)
-    return {key[1]: (n, lo, hi, [_interpolate(n, p, at[key]) for p in probs])
-            for key, (n, lo, hi) in seen.items() if n}

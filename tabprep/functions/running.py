@@ -1,8 +1,8 @@
 """Ordered work over a whole table without a single-partition window.
 
-``bucketed`` numbers rows by range buckets of bounded size, monotone in the order columns. A value
-so frequent that it would overfill a bucket gets a bucket of its own, which the next order column
-splits further. Windows then run per bucket and small per-bucket totals carry over the borders.
+``bucketed`` numbers rows by range buckets of bounded size, monotone in the order columns, which are compared in their own
+types: numbers, times and text alike. A value so frequent that it would overfill a bucket is split by the next order
+column. Windows then run per bucket and small per-bucket totals carry over the borders.
 """
 
 from __future__ import annotations
@@ -12,86 +12,30 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabprep.functions.columns import col, small_table
-from tabprep.functions.order_stats import order_statistics
+from tabprep.sources.storage import stored
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4_096
-
-
-def sortable(name: str, dtype: T.DataType) -> Column:
-    """A double that never decreases along the column's own order."""
-    c = col(name)
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(dtype, T.TimestampNTZType):
-        seconds = F.hour(c) * 3600 + F.minute(c) * 60 + F.date_part(F.lit("SECOND"), c)
-        return F.unix_date(c.cast("date")).cast("double") * 86400 + seconds.cast("double")
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("double")
-    return c.cast("double")
-
-
-def _splits(values: Sequence[float]) -> list[float]:
-    """Bucket borders from equally spaced order statistics; a repeated one is closed off alone."""
-    out: list[float] = []
-    for i, v in enumerate(values):
-        if not out or v > out[-1]:
-            out.append(v)
-        repeated = i + 1 < len(values) and values[i + 1] == v
-        if repeated and math.nextafter(v, math.inf) not in out[-1:]:
-            out.append(math.nextafter(v, math.inf))
-    return [v for i, v in enumerate(out) if i == 0 or v > out[i - 1]]
-
-
-def _cut_ranks(n: int, per: int) -> list[int]:
-    pieces = max(1, math.ceil(n / per))
-    return sorted({(i * n) // pieces for i in range(1, pieces)} | ({0} if pieces > 1 else set()))
 
 
 def bucketed(df: DataFrame, order_columns: Sequence[str], rows_per_bucket: int | None = None,
-             max_buckets: int = MAX_BUCKETS, rows: int | None = None) -> tuple[DataFrame, list[Column]]:
-    """``df`` with ``__bucket`` (bigint) and the ascending sort order to use inside a bucket."""
+             rows: int | None = None) -> tuple[DataFrame, list[Column]]:
+    """``df`` with ``__bucket`` (bigint) and the sort order to use inside a bucket, NULLs last.
+
+    Buckets are the partitions of a range repartitioning, so they are about even in size. Their numbers are written down
+    with the rows: a task that runs again, with other borders, cannot mix two numberings.
+    """
     order = [col(c).asc_nulls_last() for c in order_columns]
-    limit = ROWS_PER_BUCKET if rows_per_bucket is None else rows_per_bucket
     n = df.count() if rows is None else rows
-    if n <= limit:
-        return df.withColumn("__bucket", F.lit(0).cast("bigint")), [col(c) for c in order_columns]
-    per = max(limit, math.ceil(n / max_buckets))
-    types = {f.name: f.dataType for f in df.schema}
-    keys = [F.coalesce(sortable(c, types[c]), F.lit(math.inf)) for c in order_columns]
-
-    at = order_statistics(df, {"k": keys[0]}, lambda key, m: _cut_ranks(m, per))["k", None]
-    splits = [v for v in _splits([at[r] for r in sorted(at)]) if math.isfinite(v)]
-    out = df.withColumn("__k", keys[0])
-    cut = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol="__k", outputCol="__b",
-                     handleInvalid="keep")
-    out = cut.transform(out).withColumn("__bucket", F.col("__b").cast("bigint")).drop("__b", "__k")
-    for key in keys[1:]:
-        sizes = out.groupBy("__bucket").agg(F.count("*").alias("n")).where(F.col("n") > 2 * per)
-        heavy = {r["__bucket"]: r["n"] for r in sizes.collect()}
-        if not heavy:
-            break
-        crowded = out.where(F.col("__bucket").isin(list(heavy)))
-        parts = order_statistics(crowded, {"k": key}, lambda _, m: _cut_ranks(m, per), by="__bucket")
-        table = small_table(out.sparkSession, {
-            "__hot": pa.array([k[1] for k in parts], pa.int64()),
-            "__edges": pa.array([_splits([a[r] for r in sorted(a)]) for a in parts.values()],
-                                pa.list_(pa.float64())),
-        })
-        joined = out.withColumn("__k", key).join(
-            F.broadcast(table), F.col("__bucket") == F.col("__hot"), "left")
-        sub = F.size(F.filter(F.coalesce(F.col("__edges"), F.array().cast("array<double>")),
-                              lambda e: e <= F.col("__k")))
-        out = joined.withColumn("__bucket", F.col("__bucket") * (2 * max_buckets) + sub) \
-            .drop("__k", "__hot", "__edges")
-    return out, [col(c) for c in order_columns]
+    pieces = math.ceil(n / (ROWS_PER_BUCKET if rows_per_bucket is None else rows_per_bucket))
+    if pieces <= 1:
+        return df.withColumn("__bucket", F.lit(0).cast("bigint")), order
+    spread = df.repartitionByRange(pieces, *order).withColumn("__bucket", F.spark_partition_id().cast("bigint"))
+    return stored(spread, "buckets"), order
 
 
 def running_totals(df: DataFrame, order_column: str, sums: Mapping[str, str], descending: bool = True,

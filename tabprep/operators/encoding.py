@@ -11,12 +11,12 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabprep.base import Fitted, Step, read_side_table, write_side_table
 from tabprep.functions.columns import (
     as_double, col, lookup, non_numeric_columns, replace_columns, small_table)
+from tabprep.functions.joins import salted_join
 from tabprep.functions.order_stats import quantiles
 from tabprep.sources.storage import stored
 
@@ -24,8 +24,6 @@ from tabprep.sources.storage import stored
 MAX_PARAMETER_ROWS = 200_000
 MAX_PARAMETER_BYTES = 8 << 20
 MAX_KEY_BYTES = 256
-#: copies of each category in a joined table
-CATEGORY_SALTS = 16
 #: one-hot output columns per source column
 MAX_ONE_HOT = 1_000
 HIGH_CARDINALITY = ("frequency", "clustering", "target", "none")
@@ -101,14 +99,7 @@ class CategoryMap:
         if self.table is None:
             return lookup(df, source, self.values, out)
         table = read_side_table(df.sparkSession, self.table)
-        # every category stands in the table once for each salt, so the rows of a hot one are dealt over many tasks
-        salted = table.select(F.col("key").alias("__key"), F.col("value").alias(out),
-                              F.explode(F.sequence(F.lit(0), F.lit(CATEGORY_SALTS - 1))).alias("__copy"))
-        whole = [col(f.name) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-        salt = F.pmod(F.xxhash64(*whole), F.lit(CATEGORY_SALTS)).cast("int")
-        keyed = df.withColumn("__lookup", source).withColumn("__salt", salt)
-        same = (F.col("__lookup") == F.col("__key")) & (F.col("__salt") == F.col("__copy"))
-        return keyed.join(salted, same, "left").drop("__lookup", "__key", "__salt", "__copy")
+        return salted_join(df, table.select(F.col("key").alias("__key"), F.col("value").alias(out)), [source], ["__key"])
 
 
 def category_codes(df: DataFrame, c: str, out: str) -> DataFrame:

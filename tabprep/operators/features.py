@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from tabprep.base import Fitted, Step
 from tabprep.functions.columns import (
-    add_all, any_of, as_double, col, nan_to_null, numeric_columns, replace_columns, small_table)
+    add_all, any_of, as_double, col, nan_to_null, number, numeric_columns, replace_columns, small_table)
 from tabprep.functions.moments import correlation, profile
 from tabprep.functions.order_stats import quantiles
 from tabprep.functions.pairs import covariance
+from tabprep.sources.storage import stored
 
-MAX_CLASSES = 10_000
 Rule = Callable[[list[Column]], Column]
 
 
@@ -182,18 +182,22 @@ class FittedSelector(Fitted):
 
 
 def anova_f(df: DataFrame, columns: Sequence[str], target: str) -> dict[str, float | None]:
-    """F statistic of each column over the classes of the target, from one grouped aggregation."""
-    rows = (df.where(col(target).isNotNull()).groupBy(col(target))
-            .agg(*[f(as_double(c)) for c in columns for f in (F.count, F.avg, F.var_pop)])
-            .limit(MAX_CLASSES + 1).collect())
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"target {target!r} has more than {MAX_CLASSES} classes")
+    """F statistic of each column over the classes of the target: one row per class, stored, then sums over the classes.
+
+    There may be any number of classes; the driver sees a few sums per column.
+    """
+    classes = stored(df.where(col(target).isNotNull()).groupBy(col(target).alias("c")).agg(
+        *[f(number(c)).alias(f"{m}{i}") for i, c in enumerate(columns)
+          for m, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))]).drop("c"), "classes")
+    sums = classes.agg(*[x for i in range(len(columns)) for x in (
+        F.sum(f"n{i}"), F.count_if(F.col(f"n{i}") > 0), F.sum(F.col(f"n{i}") * F.col(f"m{i}")),
+        F.sum(F.col(f"n{i}") * F.col(f"v{i}")))]).first()
+    whole = [(float(sums[4 * i] or 0), sums[4 * i + 1], sums[4 * i + 2], sums[4 * i + 3] or 0.0) for i in range(len(columns))]
+    spread = classes.agg(*[F.sum(F.col(f"n{i}") * F.pow(F.col(f"m{i}") - F.lit((t or 0.0) / n if n else 0.0), 2))
+                           for i, (n, _, t, _) in enumerate(whole)]).first()
     out: dict[str, float | None] = {}
     for i, c in enumerate(columns):
-        n, mean, var = (np.array([r[1 + 3 * i + j] or 0 for r in rows], dtype=float) for j in range(3))
-        total, k = n.sum(), int((n > 0).sum())
-        between = float((n * (mean - (n * mean).sum() / total) ** 2).sum())
-        within = float((n * var).sum())
+        (total, k, _, within), between = whole[i], spread[i]
         out[c] = (between / (k - 1)) / (within / (total - k)) if k > 1 and within > 0 else None
     return out
 

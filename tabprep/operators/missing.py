@@ -309,7 +309,7 @@ def fill_in_time(df: DataFrame, time_col: str, tie_col: str, columns: Sequence[s
     by = [*parts, "__bucket"]
     before = (Window.partitionBy(*[col(c) for c in by]).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    place = F.struct(*order)
+    place = F.struct(*[x for c in (time_col, tie_col) for x in (col(c).isNull(), col(c))])  # NULLs last here as well
     ends = spread.groupBy(*[col(c) for c in by]).agg(*[
         f(col(c), F.when(col(c).isNotNull(), place)).alias(f"__{n}{i}")
         for i, c in enumerate(columns) for n, f in (("last", F.max_by), ("first", F.min_by))])

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.functions.columns import (
-    as_double, col, is_numeric, numeric_columns, small_table, text_columns)
+    as_double, col, is_numeric, number, numeric_columns, small_table, text_columns)
+from tabprep.functions.joins import salted_join
 from tabprep.functions.moments import correlation, profile
-from tabprep.functions.order_stats import grouped_quantiles, quantiles
+from tabprep.functions.order_stats import quantiles
+from tabprep.functions.selection import quantile_table
 
 QUARTILES = (0.25, 0.5, 0.75)
 MAX_PIVOT = 1_000
@@ -89,33 +91,31 @@ def histogram(df: DataFrame, c: str, bins: int = 10) -> DataFrame:
 
 
 def box_stats(df: DataFrame, c: str, by: str | None = None) -> DataFrame:
-    """Quartiles, whiskers (the farthest values within 1.5 interquartile ranges) and outlier count,
-    over the table or per category. Categories may be of any size: quartiles come from the
-    distributed search, whiskers from a combinable aggregate."""
+    """Quartiles, whiskers (the farthest values within 1.5 interquartile ranges) and outlier count, over the table or per
+    category. There may be any number of categories of any size: quartiles come from the distributed search as a table,
+    which is joined with salted keys, and whiskers from a combinable aggregate."""
+    group = F.lit("all") if by is None else col(by)
+    source = df if by is None else df.where(col(by).isNotNull())
     if by is None:
-        source, group = df.withColumn("__all", F.lit("all")), "__all"
+        seen = profile(df, [c], ["n", "min", "max"])
+        quarts = quantiles(df, [c], QUARTILES, seen)[c]
+        found = df.sparkSession.range(1 if seen[c]["n"] else 0).select(
+            F.struct(group.alias("category")).alias("g"), F.lit(seen[c]["n"]).cast("bigint").alias("n"),
+            *[F.lit(q).cast("double").alias(f"q{i}") for i, q in enumerate(quarts)])
     else:
-        source, group = df, by
-    found = grouped_quantiles(source, c, group, QUARTILES)
-    kind = source.schema[group].dataType
-    keys = list(found)
-    reach = {g: 1.5 * (q[2] - q[0]) for g, (_, _, _, q) in found.items()}
-    fences = small_table(df.sparkSession, {
-        "__group": pa.array(keys), "n": pa.array([found[g][0] for g in keys], pa.int64()),
-        **{name: pa.array([found[g][3][i] for g in keys], pa.float64())
-           for i, name in enumerate(("q1", "median", "q3"))},
-        "lo": pa.array([found[g][3][0] - reach[g] for g in keys], pa.float64()),
-        "hi": pa.array([found[g][3][2] + reach[g] for g in keys], pa.float64())})
-    fences = fences.withColumn("__group", F.col("__group").cast(kind))
-    # at most order_stats.MAX_GROUPS rows
-    joined = source.select(col(group).alias("__group"), as_double(c).alias("x")) \
-        .where(F.col("x").isNotNull()).join(F.broadcast(fences), "__group")
-    inside = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
-    ends = joined.groupBy("__group", "n", "q1", "median", "q3").agg(
+        found = quantile_table(source, c, [group.alias("category")], QUARTILES)
+    reach = (F.col("q2") - F.col("q0")) * 1.5
+    fences = found.select(
+        F.col("g.category").alias("__group"), F.col("n").alias("__n"), F.col("q0").alias("__q1"), F.col("q1").alias("__q2"),
+        F.col("q2").alias("__q3"), (F.col("q0") - reach).alias("__lo"), (F.col("q2") + reach).alias("__hi"))
+    rows = source.select(group.alias("category"), number(c).alias("x")).where(F.col("x").isNotNull())
+    joined = salted_join(rows, fences, ["category"], ["__group"], "inner")
+    inside = (F.col("x") >= F.col("__lo")) & (F.col("x") <= F.col("__hi"))
+    return joined.groupBy("category", F.col("__n").alias("n"), F.col("__q1").alias("q1"), F.col("__q2").alias("median"),
+                          F.col("__q3").alias("q3")).agg(
         F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
         F.count_if(~inside).alias("fliers"))
-    return ends.withColumnRenamed("__group", "category")
 
 
 def pair_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -123,8 +123,13 @@ def pair_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(F.round(correlation(as_double(a), as_double(b)), 3).alias("corr"))
 
 
+def crosstab_counts(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Counts by ``a`` and ``b`` in long form, for any number of values on both sides."""
+    return df.where(col(a).isNotNull() & col(b).isNotNull()).groupBy(col(a), col(b)).agg(F.count("*").alias("count"))
+
+
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Counts by ``a`` (rows) and ``b`` (one column per value)."""
+    """Counts by ``a`` (rows) and ``b`` (one column per value, MAX_PIVOT of them; see ``crosstab_counts`` for more)."""
     found = df.where(col(b).isNotNull()).select(col(b)).distinct().limit(MAX_PIVOT + 1).collect()
     if len(found) > MAX_PIVOT:
         raise ValueError(f"column {b!r} has more than {MAX_PIVOT} values")

@@ -2,79 +2,75 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.functions.columns import as_double, col, numeric_columns, small_table
-from tabprep.functions.hashing import hash_number, hash_text, lowest_by_hash
+from tabprep.functions.columns import as_double, col, free_name, numeric_columns, present
+from tabprep.functions.hashing import hash_number, mark_lowest
+from tabprep.functions.joins import salted_join
 from tabprep.functions.neighbours import nearest
-from tabprep.functions.order_stats import order_statistics
-from tabprep.functions.running import sortable
+from tabprep.functions.selection import order_text, value_at
+from tabprep.sources.storage import stored
 
-MAX_CLASSES = 10_000
+#: synthetic rows that one task makes at a time from one row
+COPIES_PER_BLOCK = 10_000
 
 
 def stratified_split(df: DataFrame, target: str, key: str, test_size: float = 0.2, seed: int = 42,
                      name: str = "split") -> DataFrame:
     """Add ``split`` = test / train with the rounded share of every class in test.
 
-    Rows of a class are taken in the order of the seeded hash of the key. The cut per class is an
-    exact order statistic, so no class is ever sorted in one task.
+    Rows of a class are taken in the order of the seeded hash of the key. The cuts of all classes are one table, joined
+    with salted keys, so neither the number of classes nor the size of one has a limit. Rows without a class are train.
     """
-    in_test = lowest_by_hash(df, key, seed, lambda _, n: math.floor(n * test_size + 0.5), by=target)
-    return df.withColumn(name, F.when(in_test, "test").otherwise("train"))
+    mark = free_name("__test", df.columns)
+    marked = mark_lowest(df, key, seed, lambda n: F.floor(n * F.lit(test_size) + 0.5), mark, target)
+    return marked.select(*[col(c) for c in df.columns], F.when(col(mark), "test").otherwise("train").alias(name))
 
 
 def split_head(df: DataFrame, cutoff: int, order: str, tie: str | None = None,
                name: str = "split") -> DataFrame:
     """Add ``split`` = head for the first ``cutoff`` rows in the given order, else tail.
 
-    ``tie`` must be unique among rows of equal ``order``.
+    ``tie`` must be unique among rows of equal ``order``; without it all rows that equal the last one are head. Values are
+    compared in their own type, whatever it is. Rows with a missing ``order`` are tail.
     """
-    types = {f.name: f.dataType for f in df.schema}
-    first = sortable(order, types[order])
     if cutoff <= 0:
         return df.withColumn(name, F.lit("tail"))
-    at = order_statistics(df, {"k": first}, lambda _, n: [cutoff - 1] if cutoff <= n else [])["k", None]
-    if not at:
-        return df.withColumn(name, F.lit("head"))
-    cut = F.lit(at[cutoff - 1])
-    head = first <= cut
-    if tie is not None:
-        second = sortable(tie, types[tie])
-        left = cutoff - df.where(first < cut).count()
-        last = order_statistics(df.where(first == cut), {"k": second}, lambda _, n: [left - 1])
-        head = (first < cut) | ((first == cut) & (second <= F.lit(last["k", None][left - 1])))
-    return df.withColumn(name, F.when(head, "head").otherwise("tail"))
+    cut = value_at(df, order, cutoff - 1)
+    if cut is None:
+        return df.withColumn(name, F.when(present(df, order).isNotNull(), "head").otherwise("tail"))
+    k = free_name("__order", df.columns)
+    keyed = df.withColumn(k, order_text(df, order))
+    head = col(k) <= F.lit(cut[0])
+    if tie is not None and cut[1] + 1 < cut[2]:
+        t = free_name("__tie", keyed.columns)
+        keyed = keyed.withColumn(t, order_text(df, tie))
+        last = value_at(df.withColumn(k, order_text(df, order)).where(col(k) == F.lit(cut[0])), tie, cut[1])
+        head = (col(k) < F.lit(cut[0])) | ((col(k) == F.lit(cut[0])) & (col(t) <= F.lit(last[0])))
+    return keyed.select(*[col(c) for c in df.columns], F.when(head, "head").otherwise("tail").alias(name))
 
 
 def sample_rows(df: DataFrame, key: str, n: int = 1000, seed: int = 42) -> DataFrame:
-    """``n`` rows in the order of the seeded hash of the key (a distributed top-n)."""
-    return df.orderBy(hash_text(col(key), seed), col(key)).limit(n)
+    """``n`` rows, those with the smallest seeded hash of the key; one comparison per row, whatever n is."""
+    mark = free_name("__sampled", df.columns)
+    return mark_lowest(df, key, seed, lambda _: n, mark).where(col(mark)).drop(mark)
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
-    """``class, n, weight`` with weight = rows / (classes * rows of the class)."""
-    rows = (df.where(col(target).isNotNull()).groupBy(col(target).alias("class"))
-            .agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect())
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"target {target!r} has more than {MAX_CLASSES} classes")
-    total = sum(r["n"] for r in rows)
-    return small_table(df.sparkSession, {
-        "class": pa.array([r["class"] for r in rows]),
-        "n": pa.array([r["n"] for r in rows], pa.int64()),
-        "weight": pa.array([total / (len(rows) * r["n"]) for r in rows], pa.float64())})
+    """``class, n, weight`` with weight = rows / (classes * rows of the class), for any number of classes."""
+    counts = df.where(col(target).isNotNull()).groupBy(col(target).alias("class")).agg(F.count("*").alias("n"))
+    whole = counts.agg(F.sum("n"), F.count("*")).first()
+    weight = F.lit(float(whole[0] or 0)) / (F.lit(float(whole[1])) * F.col("n"))
+    return counts.withColumn("weight", weight)
 
 
 def with_class_weights(df: DataFrame, target: str, name: str = "weight") -> DataFrame:
-    """Attach the balanced weight of each row's class (at most MAX_CLASSES classes, broadcast)."""
-    weights = class_weights(df, target).select(F.col("class").alias("__class"),
-                                               F.col("weight").alias(name))
-    return df.join(F.broadcast(weights), col(target) == F.col("__class"), "left").drop("__class")
+    """Attach the balanced weight of each row's class; rows without a class get none."""
+    weights = class_weights(df, target).select(F.col("class").alias("__class"), F.col("weight").alias(name))
+    return salted_join(df, weights, [target], ["__class"])
 
 
 def smote(df: DataFrame, target: str, minority, key: str, features: Sequence[str] | None = None,
@@ -96,10 +92,10 @@ def smote(df: DataFrame, target: str, minority, key: str, features: Sequence[str
         return real
     each, extra = divmod(most - few, few)
     own = df.where(col(target) == minority)
-    more = lowest_by_hash(own, key, seed, lambda _, n: extra)
-    points = own.select(
+    more = free_name("__more", own.columns)
+    points = stored(mark_lowest(own, key, seed, lambda _: extra, more).select(
         col(key).alias("id"), *[as_double(c).alias(f"f{i}") for i, c in enumerate(names)],
-        (F.lit(each) + more.cast("int")).alias("copies"))
+        (F.lit(each) + col(more).cast("int")).alias("copies")), "minority")
     fs = [f"f{i}" for i in range(len(names))]
     used = min(k, few - 1)
     pairs = nearest(points.select("id", *fs),
@@ -110,12 +106,16 @@ def smote(df: DataFrame, target: str, minority, key: str, features: Sequence[str
     copy = F.concat_ws("#", F.col("id").cast("string"), F.col("copy").cast("string"))
     choice = (hash_number(copy, f"{seed}n") % F.lit(float(used))).cast("int") + 1
     gap = hash_number(copy, f"{seed}g") / F.lit(float(16 ** 13))
-    drawn = (points.join(others, "id")
-             .where(F.col("copies") > 0)
-             .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    # copies in blocks that are dealt over all tasks, so a row with very many copies is no single task's work
+    last = F.col("copies") - 1
+    blocks = (points.join(others, "id").where(F.col("copies") > 0)
+              .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(copies - 1) div {COPIES_PER_BLOCK}")))))
+    first = F.col("block") * COPIES_PER_BLOCK
+    drawn = (blocks.repartition("id", "block")
+             .withColumn("copy", F.explode(F.sequence(first, F.least(last, first + (COPIES_PER_BLOCK - 1)))))
              .select(*fs, gap.alias("u"), F.element_at("near", choice)["donor"].alias("donor")))
-    ends = points.select(F.col("id").alias("donor"), *[F.col(f).alias(f"{f}_to") for f in fs])
-    made = drawn.join(ends, "donor").select(
+    ends = points.select(F.col("id").alias("__donor"), *[F.col(f).alias(f"{f}_to") for f in fs])
+    made = salted_join(drawn, ends, ["donor"], ["__donor"], "inner").select(
         *[(F.col(f) + F.col("u") * (F.col(f"{f}_to") - F.col(f))).alias(c)
           for f, c in zip(fs, names, strict=True)],
         F.lit(minority).cast(df.schema[target].dataType).alias(target), F.lit(1).alias("synthetic"))

@@ -101,6 +101,23 @@ def crosstab(spark, sf):
     return P.crosstab(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus")
 
 
+@query("crosstab_counts", "SELECT l_partkey, l_suppkey, count(*) AS \"count\" FROM lineitem GROUP BY ALL")
+def crosstab_counts(spark, sf):
+    return P.crosstab_counts(table(spark, sf, "lineitem"), "l_partkey", "l_suppkey")
+
+
+@query("box_stats_many_groups", """
+WITH q AS (SELECT l_partkey AS category, count(*) AS n, quantile_cont(l_extendedprice, 0.25) AS q1,
+                  median(l_extendedprice) AS median, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1)
+SELECT category, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+       min(l_extendedprice) FILTER (l_extendedprice >= q1 - 1.5 * (q3 - q1) AND l_extendedprice <= q3 + 1.5 * (q3 - q1)) AS whisker_low,
+       max(l_extendedprice) FILTER (l_extendedprice >= q1 - 1.5 * (q3 - q1) AND l_extendedprice <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
+       count(*) FILTER (l_extendedprice < q1 - 1.5 * (q3 - q1) OR l_extendedprice > q3 + 1.5 * (q3 - q1)) AS fliers
+FROM lineitem JOIN q ON q.category = l_partkey GROUP BY category, n, q1, median, q3""")
+def box_stats_many_groups(spark, sf):
+    return rounded(P.box_stats(table(spark, sf, "lineitem"), "l_extendedprice", "l_partkey"), 6, ["q1", "median", "q3"])
+
+
 @query("scatter_sample", """SELECT value, user_id FROM events ORDER BY md5(event_id::VARCHAR || '42'), event_id LIMIT 1000""")
 def scatter_sample(spark, sf):
     return sample_rows(table(spark, sf, "events"), "event_id", 1000).select("value", "user_id")

@@ -1,5 +1,7 @@
 """Splits, samples, weights, synthetic rows."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from tabprep.operators import sampling as S
@@ -22,6 +24,33 @@ def split_head(spark, sf):
     return S.split_head(frame, 777, "o_orderdate", "o_orderkey")
 
 
+@query("split_stratified_many", """
+WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY md5(o_orderkey::VARCHAR || '42')) AS k,
+                  count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT o_orderkey, o_custkey, CASE WHEN k <= floor(n * 0.4 + 0.5) THEN 'test' ELSE 'train' END AS split FROM r""")
+def split_stratified_many(spark, sf):
+    """A class for each customer: as many cuts as customers, all found at once."""
+    return S.stratified_split(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "o_orderkey", 0.4)
+
+
+@query("split_head_large_keys", """
+WITH k AS (SELECT o_orderkey, 9007199254740992 + o_orderkey // 3 AS big, o_orderstatus || o_orderkey AS name,
+                  (o_orderkey % 100 - 50)::DECIMAL(10,0) * 0.00000001::DECIMAL(9,8) + 1234567890123456789012345::DECIMAL(33,8) AS wide FROM orders)
+SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY big, o_orderkey) <= 1234 THEN 'head' ELSE 'tail' END AS by_key,
+       CASE WHEN row_number() OVER (ORDER BY wide, o_orderkey) <= 1234 THEN 'head' ELSE 'tail' END AS by_decimal,
+       CASE WHEN row_number() OVER (ORDER BY name) <= 1234 THEN 'head' ELSE 'tail' END AS by_text FROM k""")
+def split_head_large_keys(spark, sf):
+    """Keys that a double cannot tell apart, decimals of 33 digits, and text, each in its own order."""
+    small = (F.col("o_orderkey") % 100 - 50).cast("decimal(10,0)") * F.lit(Decimal("0.00000001"))
+    out = table(spark, sf, "orders").select(
+        "o_orderkey", (F.lit(1 << 53) + F.expr("o_orderkey div 3")).alias("big"),
+        F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("name"),
+        (small + F.lit(Decimal("1234567890123456789012345.00000000"))).cast("decimal(38,8)").alias("wide"))
+    out = S.split_head(out, 1234, "big", "o_orderkey", "by_key")
+    out = S.split_head(out, 1234, "wide", "o_orderkey", "by_decimal")
+    return S.split_head(out, 1234, "name", None, "by_text").select("o_orderkey", "by_key", "by_decimal", "by_text")
+
+
 @query("sample_n", """SELECT * FROM orders ORDER BY md5(o_orderkey::VARCHAR || '42'), o_orderkey LIMIT 1000""")
 def sample_n(spark, sf):
     return S.sample_rows(table(spark, sf, "orders"), "o_orderkey", 1000)

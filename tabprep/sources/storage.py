@@ -25,11 +25,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tabprep/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write the table to the shared folder and read it back, which cuts its lineage."""
+def stored_at(df: DataFrame, label: str = "table") -> tuple[DataFrame, str]:
+    """Write the table to the shared folder and read it back, which cuts its lineage; also the path, to discard it."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, label: str = "table") -> DataFrame:
+    return stored_at(df, label)[0]
 
 
 def discard(spark: SparkSession, path: str) -> None:

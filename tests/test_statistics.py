@@ -13,7 +13,7 @@ from tabprep.functions import neighbours as N
 from tabprep.functions import order_stats as O
 from tabprep.functions import pairs
 from tabprep.functions import running as R
-from tabprep.functions.hashing import lowest_by_hash
+from tabprep.functions.hashing import mark_lowest
 from tabprep.functions.math import chi_square_quantile, normal_quantile, normality_p
 from tabprep.operators.distribution import fit_lambdas
 
@@ -43,17 +43,6 @@ def test_order_statistics_every_rank_and_nulls(spark):
     assert [got[i] for i in range(7)] == sorted(v for v in values if v is not None)
 
 
-def test_grouped_quantiles_with_a_hot_group(spark, monkeypatch):
-    monkeypatch.setattr(O, "FINISH_ROWS", 20)
-    x = skewed_values(900)[:900]
-    pdf = pd.DataFrame({"x": x, "g": np.where(np.arange(900) < 600, "hot", np.arange(900).astype(str))})
-    got = O.grouped_quantiles(spark.createDataFrame(pdf), "x", "g", [0.25, 0.5])
-    want = pdf.groupby("g")["x"].quantile([0.25, 0.5]).unstack()
-    for g, (n, lo, hi, q) in got.items():
-        assert n == (pdf["g"] == g).sum()
-        assert np.allclose(q, want.loc[g])
-
-
 def test_statistics_of_the_small_fixture(spark):
     from tabprep.functions.moments import profile
     df = spark.createDataFrame([(float(v),) for v in (10, 20, 40, 50, 100, 10000, 2, 3, 15, 7)], "x double")
@@ -71,6 +60,9 @@ def test_buckets_are_bounded_and_ordered(spark):
     got = out.toPandas().sort_values(["t", "k"])
     assert got["__bucket"].is_monotonic_increasing
     assert got["__bucket"].value_counts().max() <= 300
+    words = out.select(F.concat(F.lit("w"), F.lpad(F.col("t").cast("string"), 3, "0")).alias("w"), "k")
+    got = R.bucketed(words, ["w", "k"], rows_per_bucket=100)[0].toPandas().sort_values(["w", "k"])
+    assert got["__bucket"].is_monotonic_increasing and got["__bucket"].nunique() > 10
     assert got["__bucket"].nunique() > 10
 
 
@@ -142,7 +134,7 @@ def test_wide_pair_sums_equal_narrow(spark, monkeypatch):
 def test_lowest_by_hash_is_exact_on_ties(spark):
     df = spark.range(500).withColumn("g", F.when(F.col("id") < 300, "a").otherwise("b"))
     for digits_quota in (0, 1, 7, 10_000):
-        chosen = df.where(lowest_by_hash(df, "id", 42, lambda g, n: digits_quota, by="g"))
+        chosen = mark_lowest(df, "id", 42, lambda n: F.lit(digits_quota), "m", "g").where("m")
         got = {r["g"]: r["count"] for r in chosen.groupBy("g").count().collect()}
         assert got == {g: min(n, digits_quota) for g, n in (("a", 300), ("b", 200)) if digits_quota}
 
