@@ -203,7 +203,7 @@ class Boxes:
         self.n = table["n"].to_numpy(float)
         self.counts, self.low, self.high = (table[[f"{kind}_{f}" for f in features]].to_numpy(float) for kind in ("c", "lo", "hi"))
 
-    def bounds(self, q: np.ndarray) -> np.ndarray:
+    def bounds(self, q: np.ndarray, metric: str = "euclidean") -> np.ndarray:
         """A value not above the squared nan-euclidean distance from each query to each point; inf if none compares.
 
         A feature that only some points of a cell have may or may not count, so the mean over the features they all have
@@ -212,22 +212,29 @@ class Boxes:
         out = np.empty((len(q), len(self.n)))
         step = max(1, 2_000_000 // max(1, self.counts.size))
         for at in range(0, len(q), step):
-            out[at:at + step] = self._bounds(q[at:at + step])
+            out[at:at + step] = self._bounds(q[at:at + step], metric)
         return out
 
-    def _bounds(self, q: np.ndarray) -> np.ndarray:
+    def _bounds(self, q: np.ndarray, metric: str) -> np.ndarray:
         every = q.shape[1]
         total, used = np.zeros((len(q), len(self.n))), np.zeros((len(q), len(self.n)))
+        largest, compares = np.zeros_like(total), np.zeros(total.shape, bool)
         loose = []
         for j in range(every):
             with np.errstate(invalid="ignore"):
                 gap = np.maximum(np.maximum(self.low[None, :, j] - q[:, j, None], q[:, j, None] - self.high[None, :, j]), 0) ** 2
             there = ~np.isnan(q[:, j, None]) & (self.counts[:, j] > 0)[None, :]
             always = there & (self.counts[:, j] == self.n)[None, :]
+            if metric == "max":
+                np.maximum(largest, np.where(always, np.sqrt(gap), 0), out=largest)
+                compares |= there
+                continue
             total += np.where(always, gap, 0)
             used += always
             if (some := there & ~always).any():
                 loose.append(np.where(some, gap, np.inf))
+        if metric == "max":
+            return np.where(compares, largest, np.inf) * (1 - 1e-12)
         with np.errstate(divide="ignore", invalid="ignore"):
             best = np.where(used > 0, total * every / used, np.inf)
             if loose:

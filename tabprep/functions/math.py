@@ -117,3 +117,24 @@ def chi_square_quantile(p: float, dof: int) -> float:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if cdf(mid) < p else (lo, mid)
     return (lo + hi) / 2
+
+
+#: steps by which an argument is raised before the series of the digamma function, which then is exact to 1e-11
+_RAISE = 8
+
+
+def _digamma_series(x, log):
+    return log(x) - 1 / (2 * x) - 1 / (12 * x ** 2) + 1 / (120 * x ** 4) - 1 / (252 * x ** 6) + 1 / (240 * x ** 8)
+
+
+def digamma_value(x: float) -> float:
+    return _digamma_series(x + _RAISE, math.log) - sum(1 / (x + i) for i in range(_RAISE))
+
+
+def digamma(c: Column) -> Column:
+    """Derivative of the logarithm of the gamma function, for positive numbers."""
+    x = c.cast("double")
+    out = _digamma_series(x + F.lit(float(_RAISE)), F.log)
+    for i in range(_RAISE):
+        out = out - 1 / (x + F.lit(float(i)))
+    return out

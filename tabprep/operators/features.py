@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tabprep.base import Fitted, Step
 from tabprep.functions.columns import (
-    add_all, any_of, as_double, col, nan_to_null, number, numeric_columns, replace_columns, small_table)
+    add_all, any_of, as_double, col, is_fractional, nan_to_null, number, numeric_columns, replace_columns, small_table)
+from tabprep.functions.entropy import mutual_information_with_classes, mutual_information_with_numbers
 from tabprep.functions.moments import correlation, profile
 from tabprep.functions.order_stats import quantiles
 from tabprep.functions.pairs import covariance
@@ -202,27 +203,32 @@ def anova_f(df: DataFrame, columns: Sequence[str], target: str) -> dict[str, flo
     return out
 
 
-def mutual_information(df: DataFrame, columns: Sequence[str], target: str,
-                       bins: int = 10) -> dict[str, float]:
-    """Mutual information (nats) between each column, cut into quantile bins, and the target."""
+def mutual_information(df: DataFrame, columns: Sequence[str], target: str, k: int = 3) -> dict[str, float]:
+    """Mutual information (nats) by nearest neighbours; a fractional target is continuous, any other holds classes."""
+    if is_fractional(df.schema[target].dataType):
+        return mutual_information_with_numbers(df, columns, target, k)
+    return mutual_information_with_classes(df, columns, target, k)
+
+
+def binned_mutual_information(df: DataFrame, columns: Sequence[str], target: str, bins: int = 10) -> dict[str, float]:
+    """Mutual information (nats) between each column, cut into quantile bins, and the values of the target."""
     edges = quantiles(df, columns, [i / bins for i in range(1, bins)])
     cells = []
-    for c in columns:
+    for i, c in enumerate(columns):
         above = F.lit(0)
         for e in sorted(set(edges[c])):
-            above = above + (as_double(c) > F.lit(e)).cast("int")
-        cells.append(F.struct(F.lit(c).alias("f"), above.alias("b")))
-    counts = (df.select(col(target).alias("y"), F.inline(F.array(*cells)))
-              .where(F.col("b").isNotNull() & F.col("y").isNotNull())
-              .groupBy("f", "b", "y").agg(F.count("*").alias("n")).toArrow().to_pandas())
-    out = {}
-    for c in columns:
-        part = counts[counts["f"] == c]
-        n = part["n"].sum()
-        by_bin = part.groupby("b")["n"].transform("sum")
-        by_class = part.groupby("y")["n"].transform("sum")
-        out[c] = float((part["n"] / n * np.log(part["n"] * n / (by_bin * by_class))).sum())
-    return out
+            above = above + (number(c) > F.lit(e)).cast("int")
+        cells.append(F.struct(F.lit(i).alias("f"), above.alias("b")))
+    counts = stored(df.select(col(target).alias("y"), F.inline(F.array(*cells)))
+                    .where(F.col("b").isNotNull() & F.col("y").isNotNull())
+                    .groupBy("f", "b", "y").agg(F.count("*").alias("n")), "joint-counts")
+    by_bin = counts.groupBy("f", "b").agg(F.sum("n").alias("nb"))  # columns x bins rows
+    by_value = counts.groupBy("f", "y").agg(F.sum("n").alias("ny"))
+    total = counts.groupBy("f").agg(F.sum("n").alias("t"))
+    joined = counts.join(by_value, ["f", "y"]).join(F.broadcast(by_bin), ["f", "b"]).join(F.broadcast(total), "f")
+    part = F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("nb") * F.col("ny")))
+    found = {r["f"]: r["mi"] for r in joined.groupBy("f").agg(F.sum(part).alias("mi")).collect()}
+    return {c: float(found.get(i, 0.0)) for i, c in enumerate(columns)}
 
 
 ScoreFunction = Callable[[DataFrame, Sequence[str], str], Mapping[str, float | None]]

@@ -134,14 +134,57 @@ def _mi(c, edges):
     WITH s AS (SELECT {c} AS c, event_type AS y FROM events) SELECT {cut} AS b, y, count(*) AS n FROM s GROUP BY 1, 2))"""
 
 
-@query("select_mutual_info", f"""SELECT feature, score, 1::INTEGER AS selected FROM (
+@query("select_mutual_info_binned", f"""SELECT feature, score, 1::INTEGER AS selected FROM (
     {_mi('value', 'value')} UNION ALL {_mi('user_id', 'user_id')})""")
+def select_mutual_info_binned(spark, sf):
+    frame = table(spark, sf, "events").select("value", "user_id", "event_type")
+    selector = FE.FeatureSelector("univariate", score_func=FE.binned_mutual_information)
+    return rounded(selector.fit(frame, "event_type").report(frame))
+
+
+def _psi(n):
+    """The digamma function of a whole number, raised by 8 before its series."""
+    raised = f"({n} + 8.0::DOUBLE)"
+    low = " - ".join(f"1.0 / ({n} + {i}.0::DOUBLE)" for i in range(8))
+    return (f"(ln{raised} - 1 / (2 * {raised}) - 1 / (12 * {raised} ** 2) + 1 / (120 * {raised} ** 4) - 1 / (252 * {raised} ** 6)"
+            f" + 1 / (240 * {raised} ** 8) - {low})")
+
+
+def _neighbour_mi(c):
+    """Every pair inside a class, and every pair of the column."""
+    return f"""
+SELECT '{c}' AS feature, greatest(0, {_psi('max(n)')} + avg({_psi('least(3, size - 1)')}) - avg({_psi('size')}) - avg({_psi('m')})) AS score
+FROM (SELECT p.id, p.size, p.n, (SELECT count(*) FROM e WHERE abs(e.{c} - p.x) <= p.r * (1 - 1e-9)) AS m FROM (
+  SELECT a.event_id AS id, a.{c} AS x, count(*) AS size, (SELECT count(*) FROM e) AS n,
+         list_sort(list(abs(a.{c} - b.{c})))[least(4, count(*))] AS r
+  FROM e a JOIN e b ON a.event_type = b.event_type GROUP BY a.event_id, a.{c}) p)"""
+
+
+@query("select_mutual_info", f"""
+WITH e AS (SELECT event_id, event_type, value, user_id::DOUBLE AS user_id FROM events)
+SELECT feature, round(score, 6) AS score, 1::INTEGER AS selected FROM ({_neighbour_mi('value')} UNION ALL {_neighbour_mi('user_id')})""")
 def select_mutual_info(spark, sf):
     frame = table(spark, sf, "events").select("value", "user_id", "event_type")
     selector = FE.FeatureSelector("univariate", score_func=FE.mutual_information)
     return rounded(selector.fit(frame, "event_type").report(frame))
 
 
+@query("select_mutual_info_continuous", f"""
+WITH q AS (SELECT c_custkey AS id, c_acctbal AS x, (c_acctbal * c_acctbal / 1000 + c_custkey % 97 * 30)::DOUBLE AS y FROM customer),
+     e AS (SELECT id, x / (SELECT stddev_pop(x) FROM q) AS x, y / (SELECT stddev_pop(y) FROM q) AS y FROM q),
+     r AS (SELECT a.id, a.x, a.y, list_sort(list(greatest(abs(a.x - b.x), abs(a.y - b.y))))[4] * (1 - 1e-9) AS s
+           FROM e a, e b GROUP BY a.id, a.x, a.y),
+     m AS (SELECT r.id, count(*) FILTER (abs(e.x - r.x) <= s) AS a, count(*) FILTER (abs(e.y - r.y) <= s) AS b
+           FROM r, e GROUP BY r.id)
+SELECT 'x' AS feature, round(greatest(0, (SELECT {_psi('count(*)')} FROM e) + {_psi('3')} - avg({_psi('a')}) - avg({_psi('b')})), 6) AS score,
+       1::INTEGER AS selected FROM m""")
+def select_mutual_info_continuous(spark, sf):
+    x = F.col("c_acctbal")
+    frame = table(spark, sf, "customer").select(
+        x.alias("x"), (x * x / 1000 + F.col("c_custkey") % 97 * 30).cast("double").alias("y"))
+    return rounded(FE.FeatureSelector("univariate", score_func=FE.mutual_information).fit(frame, "y").report(frame))
+
+
 @query("select_correlation", """
 WITH r AS (SELECT 'l_quantity' AS feature, abs(corr(l_quantity, 3 * l_quantity + 100 * l_discount)) AS c FROM lineitem
            UNION ALL SELECT 'l_discount', abs(corr(l_discount, 3 * l_quantity + 100 * l_discount)) FROM lineitem
