@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tabprep.base import Fitted, Step
 from tabprep.functions.columns import (
     as_double, col, nan_to_null, numeric_columns, replace_columns, small_table)
+from tabprep.functions.likelihood import fit_lambdas
 from tabprep.functions.math import (
     box_cox, box_cox_inverse, clip, normal_quantile, yeo_johnson, yeo_johnson_inverse)
 from tabprep.functions.moments import adjusted_skew, profile
@@ -84,71 +85,6 @@ def skew_improvement(before: DataFrame, after: DataFrame, columns: Sequence[str]
     return old.join(F.broadcast(new), "column").withColumn("improvement_pct", gain)
 
 
-def fit_lambdas(df: DataFrame, wanted: Mapping[str, tuple[str, Column]]) -> dict[str, float]:
-    """Maximum-likelihood lambda per column for ``(family, expression)``.
-
-    A grid of lambdas is scored for all columns in one aggregation. A parabola through the best point
-    and its neighbours centres the next, much finer grid; a best point on the rim moves the grid.
-    """
-    if not wanted:
-        return {}
-    base = df.agg(*[a for kind, x in wanted.values() for a in (
-        F.count(x), F.avg(F.log(x)) if kind == "box_cox"
-        else F.avg(F.signum(x) * F.log1p(F.abs(x))))]).first()
-    facts = {c: (base[2 * i], base[2 * i + 1]) for i, c in enumerate(wanted)}
-    todo = [c for c in wanted if facts[c][0] and facts[c][1] is not None]
-    centre = dict.fromkeys(todo, 0.0)
-    for step, half in ((0.5, 8), (0.02, 4), (5e-4, 4)):
-        moving = list(todo)
-        for _ in range(8):
-            if not moving:
-                break
-            grids = {c: [centre[c] + i * step for i in range(-half, half + 1)] for c in moving}
-            scores = _likelihoods(df, {c: wanted[c] for c in moving}, grids, facts)
-            still = []
-            for c in moving:
-                top = int(np.argmax(scores[c]))
-                centre[c] = grids[c][top]
-                if 0 < top < 2 * half:
-                    centre[c] += step * _vertex(*scores[c][top - 1:top + 2])
-                elif math.isfinite(scores[c][top]) and abs(centre[c]) < 32:
-                    still.append(c)
-            moving = still
-    return {c: float(v) for c, v in centre.items()}
-
-
-def _vertex(left: float, top: float, right: float) -> float:
-    """Position of the highest point of the parabola through -1, 0 and 1."""
-    bend = left - 2 * top + right
-    if not math.isfinite(bend) or bend >= 0:
-        return 0.0
-    return 0.5 * (left - right) / bend
-
-
-def _likelihoods(df: DataFrame, wanted: Mapping[str, tuple[str, Column]],
-                 grids: Mapping[str, Sequence[float]],
-                 facts: Mapping[str, tuple[int, float]]) -> dict[str, list[float]]:
-    aggs = []
-    for c, (kind, x) in wanted.items():
-        # dividing by the geometric mean keeps the powers small
-        scaled = x / F.lit(math.exp(facts[c][1])) if kind == "box_cox" else x
-        shape = box_cox if kind == "box_cox" else yeo_johnson
-        aggs += [F.var_pop(shape(scaled, g)) for g in grids[c]]
-    found = iter(df.agg(*aggs).first())
-    out = {}
-    for c, (kind, _) in wanted.items():
-        mean_log = facts[c][1]
-        out[c] = []
-        for g in grids[c]:
-            var = next(found)
-            if var is None or not math.isfinite(var) or var <= 0:
-                out[c].append(-math.inf)
-                continue
-            log_var = math.log(var) + (2 * g * mean_log if kind == "box_cox" else 0.0)
-            out[c].append((g - 1) * mean_log - log_var / 2)
-    return out
-
-
 @dataclass
 class FittedDistribution(Fitted):
     """Learned numbers per column for one transform, applied in place. NULL stays NULL."""
@@ -301,16 +237,21 @@ class DistributionTransformer(Step):
         return {c: {"edges": sorted(set(q))} for c, q in quantiles(df, names, probs, seen).items()}
 
     def _fit_quantile(self, df, names, seen) -> dict:
+        marks = {c: min(LANDMARKS, seen[c]["n"]) for c in names}
+        probs = {c: [i / (m - 1) for i in range(m)] if m > 1 else [0.5] for c, m in marks.items()}
+        # columns with equally many landmarks, which are nearly always all, share one search
+        found = {}
+        for m in sorted(set(marks.values())):
+            some = [c for c in names if marks[c] == m]
+            found |= quantiles(df, some, probs[some[0]], {c: seen[c] for c in some})
         params = {}
         for c in names:
-            marks = min(LANDMARKS, seen[c]["n"])
-            probs = [i / (marks - 1) for i in range(marks)] if marks > 1 else [0.5]
-            values = quantiles(df, [c], probs, {c: seen[c]})[c]
+            values, at = found[c], probs[c]
             distinct = sorted(set(values))
             ends = [(np.searchsorted(values, v, "left"), np.searchsorted(values, v, "right") - 1)
                     for v in distinct]
-            params[c] = {"values": distinct, "first": [probs[int(a)] for a, _ in ends],
-                         "last": [probs[int(b)] for _, b in ends]}
+            params[c] = {"values": distinct, "first": [at[int(i)] for i, _ in ends],
+                         "last": [at[int(j)] for _, j in ends]}
         return params
 
     def _fit_box_cox(self, df, names, seen) -> dict:

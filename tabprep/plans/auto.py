@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from tabprep.base import Fitted, Step
 from tabprep.functions.columns import (
     any_of, as_double, col, flag, numeric_columns, replace_columns, small_table)
+from tabprep.functions.likelihood import fit_lambdas
 from tabprep.functions.math import box_cox, clip, normality_p, outside, yeo_johnson
 from tabprep.functions.moments import profile
 from tabprep.functions.order_stats import quantiles
 from tabprep.functions.pairs import correlations, gram
 from tabprep.operators.collinear import FittedSelection, vif_from_gram
-from tabprep.operators.distribution import fit_lambdas
 from tabprep.operators.encoding import distinct_counts, encode_dummies, fit_frequency
 from tabprep.operators.features import EqualWidthBinner, date_parts, polynomial_features
 from tabprep.operators.missing import (

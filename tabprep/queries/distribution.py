@@ -115,10 +115,35 @@ def tx_zscore(spark, sf):
     return _applied(spark, sf, "z-score")
 
 
-@query("tx_boxcox")
+def _lambda_sql(kind, source):
+    """CTEs that end in ``lam(lam)``: the exponent with the highest likelihood of ``source(t)``, on ever finer grids."""
+    up = "(exp(lam * t) - 1) / lam"
+    if kind == "box_cox":
+        moved = f"CASE WHEN lam = 0 THEN t ELSE {up} END"
+    else:
+        moved = f"""CASE WHEN t >= 0 AND lam = 0 THEN t WHEN t >= 0 THEN {up} WHEN lam = 2 THEN t
+                    ELSE -(exp((2 - lam) * -t) - 1) / (2 - lam) END"""
+    best = f"GROUP BY lam ORDER BY (lam - 1) * avg(t) - ln(var_pop({moved})) / 2 DESC LIMIT 1"
+    levels = [f"x AS ({source})", f"l0 AS (SELECT lam FROM (SELECT i / 4.0::DOUBLE AS lam FROM range(-16, 17) r(i)), x {best})"]
+    for k in range(1, 7):
+        levels.append(f"l{k} AS (SELECT lam FROM (SELECT lam + i * {0.25 / 10 ** k}::DOUBLE AS lam FROM l{k - 1}, range(-10, 11) r(i)), x {best})")
+    return ", ".join(levels) + ", lam AS (SELECT lam FROM l6)"
+
+
+@query("tx_boxcox", f"""
+WITH {_lambda_sql('box_cox', 'SELECT ln(value + 1) AS t FROM events')}, r AS (SELECT round(lam, 4) AS lam FROM lam)
+SELECT event_id, round(((value + 1) ** lam - 1) / lam, 6) AS value FROM events, r""")
 def tx_boxcox(spark, sf):
     frame = table(spark, sf, "events").select("event_id", "value")
-    return rounded(D.DistributionTransformer("box-cox", ["value"]).fit(frame).transform(frame))
+    model = D.DistributionTransformer("box-cox", ["value"]).fit(frame)
+    return rounded(_with_short_lambdas(model, model.params).transform(frame))
+
+
+def _with_short_lambdas(model, params):
+    """The exponents with four digits, so that two searches end in the same one."""
+    for p in params.values():
+        p["lambda"] = round(p["lambda"], 4)
+    return model
 
 
 @query("tx_boxcox_fixed", """SELECT event_id, round(((value + 1) ** 0.25 - 1) / 0.25, 6) AS value FROM events""")
@@ -127,10 +152,15 @@ def tx_boxcox_fixed(spark, sf):
     return rounded(model.transform(table(spark, sf, "events").select("event_id", "value")))
 
 
-@query("tx_yeojohnson")
+@query("tx_yeojohnson", f"""
+WITH {_lambda_sql('yeo_johnson', 'SELECT sign(c_acctbal) * ln(1 + abs(c_acctbal)) AS t FROM customer')},
+     r AS (SELECT round(lam, 4) AS lam FROM lam)
+SELECT c_custkey, round(CASE WHEN c_acctbal >= 0 THEN ((c_acctbal + 1) ** lam - 1) / lam
+                             ELSE -((1 - c_acctbal) ** (2 - lam) - 1) / (2 - lam) END, 6) AS c_acctbal FROM customer, r""")
 def tx_yeojohnson(spark, sf):
     frame = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
-    return rounded(D.DistributionTransformer("yeo-johnson", ["c_acctbal"]).fit(frame).transform(frame))
+    model = D.DistributionTransformer("yeo-johnson", ["c_acctbal"]).fit(frame)
+    return rounded(_with_short_lambdas(model, model.params).transform(frame))
 
 
 @query("tx_yeojohnson_fixed", """
@@ -198,13 +228,26 @@ def skew_improvement(spark, sf):
     return rounded(D.skew_improvement(frame, after, ["value"]))
 
 
-@query("tx_auto")
+@query("tx_auto", f"""
+WITH {_lambda_sql('box_cox', 'SELECT ln(n_chars) AS t FROM documents')}, r AS (SELECT round(lam, 4) AS lam FROM lam)
+SELECT doc_id, round((n_chars ** lam - 1) / lam, 6) AS n_chars FROM documents, r""")
 def tx_auto(spark, sf):
     frame = table(spark, sf, "documents").select("doc_id", "n_chars")
-    return rounded(AutoTransform(["n_chars"]).fit(frame).transform(frame))
+    model = AutoTransform(["n_chars"]).fit(frame)
+    return rounded(_with_short_lambdas(model, model.methods).transform(frame))
+
+
+def _population_skewness(x, source):
+    return f"(SELECT avg(({x} - m) ** 3) / max(d) ** 3 FROM {source}, (SELECT avg({x}) AS m, stddev_pop({x}) AS d FROM {source}))"
 
 
-@query("tx_auto_report")
+@query("tx_auto_report", f"""
+WITH {_lambda_sql('box_cox', 'SELECT ln(value) AS t FROM events')},
+     y AS (SELECT (value ** lam - 1) / lam AS y FROM events, lam)
+SELECT 'user_id' AS feature, round({_population_skewness('user_id', 'events')}, 3) AS skew_before, 'No' AS transformed, '-' AS method,
+       round({_population_skewness('user_id', 'events')}, 3) AS skew_after
+UNION ALL SELECT 'value', round({_population_skewness('value', 'events')}, 3), 'Yes', 'Box-Cox',
+       round({_population_skewness('y', 'y')}, 3)""")
 def tx_auto_report(spark, sf):
     frame = table(spark, sf, "events").select("user_id", "value")
     return AutoTransform().fit(frame).report(frame)

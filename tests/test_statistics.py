@@ -14,8 +14,8 @@ from tabprep.functions import order_stats as O
 from tabprep.functions import pairs
 from tabprep.functions import running as R
 from tabprep.functions.hashing import mark_lowest
+from tabprep.functions.likelihood import fit_lambdas
 from tabprep.functions.math import chi_square_quantile, normal_quantile, normality_p
-from tabprep.operators.distribution import fit_lambdas
 
 
 def skewed_values(n=4000, seed=0):
