@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,13 +11,15 @@ import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tabprep.base import Fitted, Step
+from tabprep.base import Fitted, Step, read_side_table, write_side_table
 from tabprep.functions.columns import (
-    any_of, as_double, col, flag, free_name, numeric_columns, replace_columns)
+    any_of, as_double, col, flag, free_name, number, numeric_columns, replace_columns)
 from tabprep.functions.math import chi_square_quantile, clip, outside
 from tabprep.functions.moments import profile
 from tabprep.functions.order_stats import quantiles
+from tabprep.sources.storage import stored
 
 METHODS = ("iqr", "zscore", "mahalanobis")
 HANDLING = ("flag", "flag_columns", "remove", "clip", "winsorize")
@@ -200,6 +202,7 @@ class FittedForest(Fitted):
     column: str
     borders: list
     first_is_outlier: bool
+    trees: str | None = None
 
     def flagged(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` with 0/1 column ``name``. Flags alternate between the sorted borders."""
@@ -226,13 +229,52 @@ def _path_correction(n: int) -> float:
     return 2 * (math.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
 
+def tree_samples(known: DataFrame, rows: int, trees: int, sample: int, seed: int) -> DataFrame:
+    """``tree, v``: for each tree its own ``sample`` of the ``rows`` values (v, key), or all if there are fewer.
+
+    One scan. A row enters each tree with the same small chance, independently: hashes of its key give the gaps between the
+    trees it enters, which are geometrically distributed, so most rows are done after one hash. The chance is a little
+    higher than needed, and of the rows of a tree those with the smallest hashes for this tree stay. Should a tree get too
+    few, which is next to impossible, the chance is doubled.
+    """
+    def uniform(*parts) -> Column:
+        return (F.pmod(F.xxhash64("key", F.lit(seed), *parts), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+
+    wanted = min(sample, rows)
+    chance = (sample + 8 * math.sqrt(sample) + 32) / max(rows, 1)
+    while True:
+        if chance >= 1:
+            entries = known.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        else:
+            def gap(j: Column | int) -> Column:
+                return F.floor(F.log(uniform(F.lit(j) if isinstance(j, int) else j)) / F.lit(math.log1p(-chance)))
+
+            none = F.array().cast("array<int>")
+            # the trees a row enters: each time the number of trees passed over, and the one after them
+            walk = F.aggregate(
+                F.sequence(F.lit(1), F.lit(trees)),
+                F.struct(none.alias("found"), F.lit(-1).cast("bigint").alias("at")),
+                lambda acc, j: F.when(acc["at"] >= trees, acc).otherwise(F.struct(
+                    F.when(acc["at"] + 1 + gap(j) < trees, F.concat(acc["found"], F.array((acc["at"] + 1 + gap(j)).cast("int"))))
+                    .otherwise(acc["found"]).alias("found"),
+                    (acc["at"] + 1 + gap(j)).cast("bigint").alias("at"))),
+                lambda acc: acc["found"])
+            entries = known.where(gap(1) < trees).withColumn("tree", F.explode(walk))
+        place = F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64("key", "tree", F.lit(seed + 1)), "key"))
+        drawn = stored(entries.withColumn("r", place).where(F.col("r") <= wanted).select("tree", "v"), "tree-samples")
+        full = drawn.groupBy("tree").agg(F.count("*").alias("n")).where(F.col("n") == wanted).count()
+        if full == trees or chance >= 1:
+            return drawn
+        chance *= 2
+
+
 @dataclass
 class IsolationForest(Step):
     """Isolation forest on one column.
 
-    Each tree sees ``sample`` rows drawn from a pool of trees x sample rows with the smallest
-    seeded hashes. On one column a tree is a step function of the value and so is the forest, which
-    scores any number of rows with one binary search each.
+    Each tree sees ``sample`` rows of its own, drawn independently from the whole table. On one column a tree is a step
+    function of the value and so is the forest, which scores any number of rows with one binary search each. The fitted
+    step keeps the trees as a side table: ``tree``, ``start`` of a stretch of values, and their ``length`` of path.
     """
 
     column: str
@@ -243,53 +285,49 @@ class IsolationForest(Step):
     seed: int = 42
 
     def fit(self, df: DataFrame, target: str | None = None) -> FittedForest:
-        known = df.select(as_double(self.column).alias("v"), col(self.key).alias("key")) \
-            .where(F.col("v").isNotNull())
-        drawn = known.orderBy(F.xxhash64("key", F.lit(self.seed)), "key") \
-            .limit(self.trees * self.sample)
-        pool = np.sort(drawn.toArrow()["v"].to_numpy())
-        size = min(self.sample, len(pool))
+        known = df.select(number(self.column).alias("v"), col(self.key).alias("key")).where(F.col("v").isNotNull())
+        rows = known.count()
+        if not rows:
+            return FittedForest(self.column, [], False)
+        size, seed = min(self.sample, rows), self.seed
         depth = math.ceil(math.log2(max(size, 2)))
-        seed = self.seed
-
-        def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out: list[tuple[float, float]] = []
-                for tree in pdf["id"]:
-                    rng = np.random.default_rng([seed, int(tree)])
-                    values = np.sort(rng.choice(pool, size, replace=False))
-                    before = 0.0
-                    todo = [(0, size, 0, -math.inf)]
-                    while todo:
-                        a, b, level, start = todo.pop()
-                        lo, hi = values[a], values[b - 1]
-                        if level >= depth or b - a <= 1 or lo == hi:
-                            length = level + _path_correction(b - a)
-                            out.append((start, length - before))
-                            before = length
-                            continue
-                        cut = rng.uniform(lo, hi)
-                        m = a + int(np.searchsorted(values[a:b], cut, side="right"))
-                        m = min(max(m, a + 1), b - 1)
-                        todo.append((m, b, level + 1, math.nextafter(cut, math.inf)))
-                        todo.append((a, m, level + 1, start))
-                yield pd.DataFrame(out, columns=["start", "delta"])
-
-        steps = (df.sparkSession.range(0, self.trees, 1, min(self.trees, 8))
-                 .mapInPandas(grow, "start double, delta double").groupBy("start")
-                 .agg(F.sum("delta").alias("delta")).toArrow().to_pandas().sort_values("start"))
+
+        def grow(drawn: pd.DataFrame) -> pd.DataFrame:
+            tree = int(drawn["tree"].iloc[0])
+            rng, values = np.random.default_rng([seed, tree]), np.sort(drawn["v"].to_numpy())
+            out: list[tuple[int, float, float]] = []
+            todo = [(0, len(values), 0, -math.inf)]
+            while todo:
+                a, b, level, start = todo.pop()
+                lo, hi = values[a], values[b - 1]
+                if level >= depth or b - a <= 1 or lo == hi:
+                    out.append((tree, start, level + _path_correction(b - a)))
+                    continue
+                cut = rng.uniform(lo, hi)
+                m = a + int(np.searchsorted(values[a:b], cut, side="right"))
+                m = min(max(m, a + 1), b - 1)
+                todo.append((m, b, level + 1, math.nextafter(cut, math.inf)))
+                todo.append((a, m, level + 1, start))
+            return pd.DataFrame(out, columns=["tree", "start", "length"])
+
+        grown = (tree_samples(known, rows, self.trees, self.sample, seed).groupBy("tree")
+                 .applyInPandas(grow, "tree int, start double, length double"))
+        mark = write_side_table(grown, "trees")
+        ahead = F.lag("length", 1, 0.0).over(Window.partitionBy("tree").orderBy("start"))
+        steps = (read_side_table(df.sparkSession, mark).withColumn("delta", F.col("length") - ahead).groupBy("start")
+                 .agg(F.sum("delta").alias("delta")).toArrow().to_pandas().sort_values("start"))  # trees x sample rows
         length = steps["delta"].to_numpy().cumsum() / self.trees
         starts = steps["start"].to_numpy()
         score = np.exp2(-length / max(_path_correction(size), 1e-12))
         if len(starts) < 2:
-            return FittedForest(self.column, [], False)
+            return FittedForest(self.column, [], False, mark)
         placed = Bucketizer(splits=[*starts, math.inf], inputCol="v", outputCol="b").transform(known)
         counts = placed.groupBy("b").agg(F.count("*").alias("n")).toArrow().to_pandas()
         weight = np.zeros(len(starts))
         weight[counts["b"].astype(int)] = counts["n"]
         far = score > _weighted_quantile(score, weight, 1 - self.contamination)
         change = np.flatnonzero(far[1:] != far[:-1]) + 1
-        return FittedForest(self.column, [float(v) for v in starts[change]], bool(far[0]))
+        return FittedForest(self.column, [float(v) for v in starts[change]], bool(far[0]), mark)
 
 
 def _weighted_quantile(values: np.ndarray, counts: np.ndarray, p: float) -> float:
