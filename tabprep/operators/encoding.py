@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabprep.base import Fitted, Step, read_side_table, write_side_table
 from tabprep.functions.columns import (
-    as_double, col, lookup, non_numeric_columns, replace_columns, small_table)
+    as_double, col, free_name, lookup, non_numeric_columns, replace_columns, small_table)
 from tabprep.functions.joins import salted_join
 from tabprep.functions.order_stats import quantiles
 from tabprep.sources.storage import stored
@@ -24,7 +24,7 @@ from tabprep.sources.storage import stored
 MAX_PARAMETER_ROWS = 200_000
 MAX_PARAMETER_BYTES = 8 << 20
 MAX_KEY_BYTES = 256
-#: one-hot output columns per source column
+#: one-hot output columns per source column; more categories become one sparse vector column
 MAX_ONE_HOT = 1_000
 HIGH_CARDINALITY = ("frequency", "clustering", "target", "none")
 UNKNOWN = ("ignore", "error", "impute")
@@ -123,8 +123,47 @@ def category_summary(df: DataFrame, columns: Sequence[str] | None = None, first:
     return counts.join(F.broadcast(shown), "column")
 
 
+@dataclass
+class CategoryVector:
+    """Category -> sparse 0/1 vector, from an index table of any size that is joined by key.
+
+    ``nulls`` gives NULL the last place; otherwise, like an unseen category, it is all zeros. Places below ``first`` are
+    left out.
+    """
+
+    index: CategoryMap
+    size: int
+    nulls: bool = False
+    first: int = 0
+
+    @staticmethod
+    def learn(df: DataFrame, c: str, nulls: bool = False, first: int = 0) -> CategoryVector:
+        table = numbered(category_counts(df, c))
+        return CategoryVector(CategoryMap.learn(table), table.count() + int(nulls), nulls, first)
+
+    def add(self, df: DataFrame, c: str, out: str, check: Callable[[Column], Column] = lambda code: code) -> DataFrame:
+        """``df`` with the vector ``out``; ``check`` may raise on the place of a row (NULL if it has none)."""
+        place = free_name("__place", df.columns)
+        coded = self.index.add(df, text(c), place)
+        width = self.size - self.first
+        if self.nulls:
+            coded = coded.withColumn(place, F.when(col(c).isNull(), F.lit(float(self.size - 1))).otherwise(col(place)))
+        moved = check(col(place)) - F.lit(float(self.first))
+        # a place beyond the last is an invalid one, which the encoder keeps as zeros
+        coded = coded.withColumn(place, F.when(moved >= 0, moved).otherwise(F.lit(float(max(width, 1)))))
+        encoder = OneHotEncoder(inputCols=[place], outputCols=[out], dropLast=True, handleInvalid="keep")
+        model = encoder.fit(df.sparkSession.createDataFrame([(float(max(width, 1) - 1),)], f"{place} double"))
+        return model.transform(coded).drop(place)
+
+
 def encode_dummies(df: DataFrame, c: str, drop_first: bool = True) -> DataFrame:
-    """0/1 columns per category but the first; NULL gives zeros; appended last."""
+    """0/1 columns per category but the first; NULL gives zeros; appended last.
+
+    A column with more than MAX_ONE_HOT categories gives one sparse vector ``{c}_dummies`` instead.
+    """
+    if distinct_counts(df, [c])[c] > MAX_ONE_HOT:
+        vector = CategoryVector.learn(df, c, first=int(drop_first))
+        return vector.add(df, c, f"{c}_dummies").drop(col(c))
     found = sorted_categories(df, c, MAX_ONE_HOT)
     marks = [F.coalesce(text(c) == v, F.lit(False)).cast("int").alias(f"{c}_{v}")
              for v in found[1 if drop_first else 0:]]
@@ -198,11 +237,13 @@ class FittedEncoder(Fitted):
     unknown_value: float = -1
     cardinality: dict = field(default_factory=dict)
     one_hot_last: bool = False
+    vectors: dict = field(default_factory=dict)
 
     @classmethod
     def restore(cls, params: dict) -> FittedEncoder:
         maps = {c: CategoryMap(**m) for c, m in params["maps"].items()}
-        return cls(**{**params, "maps": maps})
+        vectors = {c: CategoryVector(**{**v, "index": CategoryMap(**v["index"])}) for c, v in params["vectors"].items()}
+        return cls(**{**params, "maps": maps, "vectors": vectors})
 
     def of_kind(self, kind: str) -> list[str]:
         return [c for c, k in self.kinds.items() if k == kind]
@@ -228,7 +269,7 @@ class FittedEncoder(Fitted):
                 new[c] = self._unknown(c, code, value, code.isNotNull(),
                                        self.handle_unknown == "impute").cast("int")
         for c in self.of_kind("ordinal"):
-            if c in have:
+            if c in have and c in self.classes:
                 out = lookup(out, text(c), self.classes[c], f"__e_{c}")
                 code = F.coalesce(col(f"__e_{c}"), F.lit(float(self.unknown_value)))
                 new[c] = F.when(col(c).isNotNull(), code)
@@ -238,9 +279,14 @@ class FittedEncoder(Fitted):
                 default = self.defaults.get(c)
                 new[c] = col(f"__e_{c}") if default is None else F.coalesce(
                     col(f"__e_{c}"), F.lit(default))
+                if self.kinds[c] == "ordinal":
+                    new[c] = F.when(col(c).isNotNull(), new[c])
         one_hot: dict[str, list[Column]] = {}
         for c in self.of_kind("onehot"):
-            if c in have:
+            if c in have and c in self.vectors:
+                out = self.vectors[c].add(out, c, f"__v_{c}", self._known_place(c))
+                one_hot[c] = [col(f"__v_{c}").alias(f"{c}_onehot")]
+            elif c in have:
                 one_hot[c] = self._one_hot(c)
         if not one_hot and not self.of_kind("ordinal"):
             return out.select(*[new.get(c, col(c)).alias(c) for c in df.columns])
@@ -254,6 +300,12 @@ class FittedEncoder(Fitted):
                           *[m for c in one_hot for m in one_hot[c]],
                           *[new.get(c, col(c)).alias(c) for c in rest])
 
+    def _known_place(self, c: str) -> Callable[[Column], Column]:
+        if self.handle_unknown == "ignore":
+            return lambda code: code
+        fault = F.raise_error(F.concat(F.lit(f"unknown category in {c}: "), F.coalesce(text(c), F.lit("NULL"))))
+        return lambda code: F.coalesce(code, fault.cast("double"))
+
     def _one_hot(self, c: str) -> list[Column]:
         classes = list(self.classes[c])
         value = F.coalesce(text(c), F.lit(NULL_CLASS)) if NULL_CLASS in classes else text(c)
@@ -279,11 +331,15 @@ class FittedEncoder(Fitted):
 @dataclass
 class CategoricalEncoder(Step):
     """Picks an encoding per non-numeric column: ordinal if a mapping is given, binary with two
-    values, high cardinality above ``max_cardinality``, else one-hot; explicit choices win."""
+    values, high cardinality above ``max_cardinality`` (None: never), else one-hot; explicit choices win.
+
+    One-hot makes a 0/1 column ``{column}_{value}`` per category up to MAX_ONE_HOT of them, and beyond that one sparse
+    vector column ``{column}_onehot`` with the same places.
+    """
 
     column_encoding_strategy: Mapping[str, str] = field(default_factory=dict)
     ordinal_features_map: Mapping[str, Sequence[str] | Mapping[str, float]] = field(default_factory=dict)
-    max_cardinality: int = 20
+    max_cardinality: int | None = 20
     high_cardinality_strategy: str = "frequency"
     handle_unknown: str = "ignore"
     unknown_value: float = -1
@@ -292,7 +348,7 @@ class CategoricalEncoder(Step):
     one_hot_last: bool = False
 
     def __post_init__(self):
-        if not isinstance(self.max_cardinality, int) or self.max_cardinality <= 0:
+        if self.max_cardinality is not None and (not isinstance(self.max_cardinality, int) or self.max_cardinality <= 0):
             raise ValueError("max_cardinality must be a positive integer")
         if self.high_cardinality_strategy not in HIGH_CARDINALITY:
             raise ValueError(f"high_cardinality_strategy must be one of {HIGH_CARDINALITY}")
@@ -315,7 +371,8 @@ class CategoricalEncoder(Step):
             return "ordinal"
         if distinct == 2 and self.two_values_are_binary:
             return "binary"
-        return "high_cardinality" if distinct > self.max_cardinality else "onehot"
+        limit = self.max_cardinality
+        return "high_cardinality" if limit is not None and distinct > limit else "onehot"
 
     def fit(self, df: DataFrame, target: str | None = None) -> FittedEncoder:
         if self.high_cardinality_strategy == "target" and target is None:
@@ -326,7 +383,14 @@ class CategoricalEncoder(Step):
         listed = [c for c, k in kinds.items() if k in ("binary", "onehot")
                   or (k == "ordinal" and c not in self.ordinal_features_map)]
         nulls = df.agg(F.lit(0), *[F.count_if(col(c).isNull()) for c in listed]).first()[1:]
+        maps, defaults, vectors = {}, {}, {}
         for c, missing in zip(listed, nulls, strict=True):
+            if found[c][1] > MAX_ONE_HOT and kinds[c] == "onehot":
+                vectors[c] = CategoryVector.learn(df, c, nulls=bool(missing))
+                continue
+            if found[c][1] > MAX_ONE_HOT:  # codes in the order of the values, as a table
+                maps[c], defaults[c] = CategoryMap.learn(numbered(category_counts(df, c))), float(self.unknown_value)
+                continue
             values = sorted_categories(df, c, MAX_ONE_HOT)
             if missing and kinds[c] == "binary":
                 values = sorted([*values, NULL_CLASS])
@@ -337,14 +401,13 @@ class CategoricalEncoder(Step):
             given = self.ordinal_features_map[c]
             classes[c] = ({str(k): float(v) for k, v in given.items()} if isinstance(given, Mapping)
                           else {str(v): float(i) for i, v in enumerate(given)})
-        maps, defaults = {}, {}
         if self.high_cardinality_strategy != "none":
             for c in [c for c, k in kinds.items() if k == "high_cardinality"]:
                 maps[c], default = self._high(df, c, target, found[c][1])
                 if default is not None:
                     defaults[c] = default
         return FittedEncoder(kinds, classes, maps, defaults, self.handle_unknown, self.unknown_value,
-                             {c: n for c, (_, n) in found.items()}, self.one_hot_last)
+                             {c: n for c, (_, n) in found.items()}, self.one_hot_last, vectors)
 
     def _high(self, df: DataFrame, c: str, target: str | None,
               distinct: int) -> tuple[CategoryMap, float | None]:

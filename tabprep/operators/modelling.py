@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tabprep.base import Fitted, Step
 from tabprep.functions.columns import add_all, as_double, col, numeric_columns
+from tabprep.functions.joins import salted_join
 from tabprep.operators.sampling import with_class_weights
 from tabprep.operators.schema import align_schema, clean_infinite
 
@@ -84,10 +85,12 @@ class LogisticTrainer(Step):
         known = df.where(col(target).isNotNull())
         weighted = (with_class_weights(known, target, "__weight") if self.balanced
                     else known.withColumn("__weight", F.lit(1.0)))
-        labels = sorted(r[0] for r in known.select(col(target)).distinct().limit(1001).collect())
-        code = F.coalesce(*[F.when(col(target) == v, F.lit(float(i))) for i, v in enumerate(labels)])
-        rows = weighted.select(*[as_double(c).alias(f"x{i}") for i, c in enumerate(names)],
-                               code.alias("label"), "__weight")
+        # one label per row of the coefficients, which sit on the driver as well
+        labels = sorted(r[0] for r in known.select(col(target)).distinct().collect())
+        kind = known.schema[target].dataType.simpleString()
+        codes = df.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(labels)], f"__label {kind}, label double")
+        rows = salted_join(weighted.select(*[as_double(c).alias(f"x{i}") for i, c in enumerate(names)],
+                                           col(target).alias("__target"), "__weight"), codes, ["__target"], ["__label"])
         vectors = VectorAssembler(inputCols=[f"x{i}" for i in range(len(names))],
                                   outputCol="features").transform(rows)
         total = rows.agg(F.sum("__weight")).first()[0]

@@ -23,7 +23,7 @@ def six_step_chain(ordinal_features_map: Mapping[str, Sequence[str]] | None = No
         simple_bounds("iqr", iqr_factor),
         LogSelector(),
         FeatureScaler("standard", in_place=True, min_std=1e-9),
-        CategoricalEncoder(ordinal_features_map=ordinal_features_map or {}, max_cardinality=1_000,
+        CategoricalEncoder(ordinal_features_map=ordinal_features_map or {}, max_cardinality=None,
                            two_values_are_binary=False, one_hot_last=True),
         MulticollinearityReducer(vif_threshold, max_iter=None, drop_constant_first=True),
     )

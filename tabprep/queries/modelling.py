@@ -1,5 +1,6 @@
 """Training, scoring, metrics, whole preparations."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabprep.operators import evaluation as E
@@ -24,7 +25,29 @@ def lines(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
 
 
-@query("train_logreg")
+def _newton_sql(step):
+    """One Newton step for two weights and an intercept: the penalised weighted gradient, and its 3 x 3 system by determinants."""
+    sums = ", ".join(f"sum(s * q * {a} * {b}) AS h{i}{j}" for i, a in enumerate(("x", "z", "1")) for j, b in enumerate(("x", "z", "1")) if i <= j)
+    h = [[f"(h{min(i, j)}{max(i, j)}" + (" + 1)" if i == j < 2 else ")") for j in range(3)] for i in range(3)]
+
+    def det(m):
+        return (f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]})"
+                f" + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))")
+
+    moves = [f"{w} - {det([[f'g{i}' if j == k else h[i][j] for j in range(3)] for i in range(3)])} / {det(h)} AS {w}"
+             for k, w in enumerate(("u", "v", "b"))]
+    return f"""
+t{step + 1} AS (SELECT {', '.join(moves)} FROM (
+  SELECT u, v, b, u + sum(s * (p - y) * x) AS g0, v + sum(s * (p - y) * z) AS g1, sum(s * (p - y)) AS g2, {sums}
+  FROM (SELECT *, p * (1 - p) AS q FROM (SELECT e.*, t.*, 1 / (1 + exp(-(u * x + v * z + b))) AS p FROM e, t{step} t)) GROUP BY u, v, b))"""
+
+
+@query("train_logreg", f"""
+WITH r AS (SELECT value / 100 AS x, user_id / 150.0::DOUBLE AS z, (event_type = 'error')::INT AS y FROM events),
+     e AS (SELECT r.*, (SELECT count(*)::DOUBLE FROM r) / (2 * n) AS s FROM r JOIN (SELECT y, count(*) AS n FROM r GROUP BY y) USING (y)),
+     t0 AS (SELECT 0.0::DOUBLE AS u, 0.0::DOUBLE AS v, 0.0::DOUBLE AS b),{','.join(_newton_sql(k) for k in range(8))}
+SELECT 'value' AS feature, round(u, 4) AS weight FROM t8 UNION ALL SELECT 'share', round(v, 4) FROM t8
+UNION ALL SELECT 'intercept', round(b, 4) FROM t8""")
 def train_logreg(spark, sf):
     frame = table(spark, sf, "events").select(
         (F.col("value") / 100).alias("value"), (F.col("user_id") / 150).alias("share"),
@@ -185,6 +208,21 @@ def six_steps(spark, sf):
     return rounded(six_step_chain().fit(frame, "y").transform(frame))
 
 
+@query("six_steps_wide", """
+WITH o AS (SELECT o_custkey, o_totalprice FROM orders),
+     k AS (SELECT 'c' || o_custkey AS name, (row_number() OVER (ORDER BY 'c' || o_custkey) - 1)::INTEGER AS place FROM (SELECT DISTINCT o_custkey FROM orders)),
+     q AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3, median(o_totalprice) AS m, avg(o_totalprice) AS a FROM o)
+SELECT place, count(*) AS n, (SELECT count(*) FROM k)::INTEGER AS size FROM o JOIN k ON k.name = 'c' || o_custkey, q GROUP BY place""")
+def six_steps_wide(spark, sf):
+    """One-hot with a category for each customer: a sparse vector. Counts how often each place of it is set."""
+    frame = table(spark, sf, "orders").select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("customer"), "o_totalprice")
+    out = six_step_chain().fit(frame).transform(frame)
+    vector = vector_to_array("customer_onehot", "float32")
+    place = F.array_position(vector, F.lit(1.0).cast("float")).cast("int") - 1
+    return out.groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.max(F.size(vector)).cast("int").alias("size"))
+
+
 @query("six_steps_subset", """
 WITH g AS (SELECT CASE WHEN event_id % 10 <> 0 THEN value END AS v, user_id / 150.0::DOUBLE AS share FROM events)
 SELECT count(*) AS n, count(DISTINCT share) AS shares FROM g""")
