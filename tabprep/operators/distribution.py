@@ -48,7 +48,7 @@ def method_name(text: str) -> str:
     for name, spellings in METHODS.items():
         if text.lower() in spellings:
             return name
-    raise ValueError(f"Method must be one of {list(METHODS)}, got {text}")
+    raise ValueError(f"no transform called {text!r}; there are {list(METHODS)}")
 
 
 def skewness_report(df: DataFrame, columns: Sequence[str] | None = None,
@@ -199,9 +199,9 @@ class DistributionTransformer(Step):
         self.method = method_name(self.method)
         self.handle_zeros = self.handle_zeros.lower()
         if self.handle_zeros not in ZEROS:
-            raise ValueError(f"handle_zeros must be one of {ZEROS}")
+            raise ValueError(f"zeros: choose from {ZEROS}")
         if self.offset < 0 or self.min_skew_threshold < 0:
-            raise ValueError("Offset and min_skew_threshold must be non-negative")
+            raise ValueError("an offset or a skewness limit below 0 has no meaning")
 
     def fit(self, df: DataFrame, target: str | None = None) -> FittedDistribution:
         numbers = numeric_columns(df, [target] if target else [])

@@ -349,11 +349,11 @@ class CategoricalEncoder(Step):
 
     def __post_init__(self):
         if self.max_cardinality is not None and (not isinstance(self.max_cardinality, int) or self.max_cardinality <= 0):
-            raise ValueError("max_cardinality must be a positive integer")
+            raise ValueError("the cardinality limit is a whole number above 0, or None")
         if self.high_cardinality_strategy not in HIGH_CARDINALITY:
-            raise ValueError(f"high_cardinality_strategy must be one of {HIGH_CARDINALITY}")
+            raise ValueError(f"many categories: choose from {HIGH_CARDINALITY}")
         if self.handle_unknown not in UNKNOWN:
-            raise ValueError(f"handle_unknown must be one of {UNKNOWN}")
+            raise ValueError(f"unknown categories: choose from {UNKNOWN}")
 
     def detect(self, df: DataFrame, target: str | None = None) -> dict[str, tuple[str, int]]:
         """``{column: (kind, distinct values)}``."""
@@ -365,7 +365,7 @@ class CategoricalEncoder(Step):
         chosen = self.column_encoding_strategy.get(c)
         if chosen:
             if chosen.lower() not in ("binary", "ordinal", "onehot", "high_cardinality"):
-                raise ValueError(f"Unknown encoding strategy {chosen!r} for column {c!r}")
+                raise ValueError(f"column {c!r} cannot be encoded as {chosen!r}")
             return chosen.lower()
         if c in self.ordinal_features_map:
             return "ordinal"

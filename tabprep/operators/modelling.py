@@ -30,7 +30,7 @@ class FittedLogistic(Fitted):
     def _checked(self, df: DataFrame) -> None:
         missing = [c for c in self.features if c not in df.columns]
         if missing:
-            raise ValueError(f"Processed data lacks expected features: {missing}")
+            raise ValueError(f"features are absent: {missing}")
 
     def _margins(self) -> list[Column]:
         return [F.lit(b) + add_all([as_double(c) * F.lit(w) for c, w in zip(self.features, ws, strict=True)])

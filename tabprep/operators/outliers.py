@@ -134,12 +134,12 @@ class OutlierDetector(Step):
     def __post_init__(self):
         self.method, self.handling = self.method.lower(), self.handling.lower()
         if self.method not in METHODS:
-            raise ValueError(f"Invalid detection method string: {self.method!r}")
+            raise ValueError(f"no detection by {self.method!r}; there are {METHODS}")
         if self.handling not in HANDLING:
-            raise ValueError(f"Invalid handling method string: {self.handling!r}")
+            raise ValueError(f"no handling called {self.handling!r}; there are {HANDLING}")
         factors = self.factor.values() if isinstance(self.factor, Mapping) else [self.factor]
         if any(f <= 0 for f in factors):
-            raise ValueError("Factor must be positive")
+            raise ValueError("bounds need a factor above 0")
 
     def _factor(self, c: str) -> float:
         return self.factor.get(c, 1.5) if isinstance(self.factor, Mapping) else self.factor

@@ -56,7 +56,7 @@ class FeatureScaler(Step):
 
     def __post_init__(self):
         if self.method not in METHODS:
-            raise ValueError(f"Unsupported scaling method: {self.method}")
+            raise ValueError(f"no scaling called {self.method!r}; there are {METHODS}")
 
     def fit(self, df: DataFrame, target: str | None = None) -> FittedScaler:
         numbers = numeric_columns(df, [target] if target else [])

@@ -3,8 +3,9 @@ and a report with the decisions."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabprep.base import Fitted, Step
 from tabprep.functions.columns import (
-    any_of, as_double, col, flag, numeric_columns, replace_columns, small_table)
+    any_of, as_double, col, flag, number, numeric_columns, replace_columns, small_table)
 from tabprep.functions.likelihood import fit_lambdas
 from tabprep.functions.math import box_cox, clip, normality_p, outside, yeo_johnson
 from tabprep.functions.moments import profile
@@ -26,6 +27,7 @@ from tabprep.operators.missing import (
     RegressionImputer, fill_in_time, impute_knn, impute_knn_text, modes, null_counts)
 from tabprep.operators.outliers import IsolationForest
 from tabprep.operators.scaling import FittedScaler
+from tabprep.sources.storage import stored
 
 
 def report(df: DataFrame, columns: Mapping[str, str], rows: Sequence[Sequence]) -> DataFrame:
@@ -41,61 +43,74 @@ def report(df: DataFrame, columns: Mapping[str, str], rows: Sequence[Sequence])
 IMPUTE_REPORT = {"column": "string", "missing_pct": "double", "method": "string"}
 
 
+class _Gap(NamedTuple):
+    """What decides how the gaps of a column are filled: percent of rows, kind, skewness, and whether it must stay."""
+
+    share: float
+    numeric: bool
+    skew: float
+    critical: bool
+
+
+#: The first row that holds names the fill. The shares 5 and 30 and the skewness 1 are the specification.
+_FILLS: tuple[tuple[str, Callable[[_Gap], bool]], ...] = (
+    ("most frequent", lambda g: g.share < 5 and not g.numeric),
+    ("mean", lambda g: g.share < 5 and abs(g.skew) < 1),
+    ("median", lambda g: g.share < 5),
+    ("neighbours", lambda g: g.share <= 30 and g.numeric),
+    ("vote of neighbours", lambda g: g.share <= 30),
+    ("regression", lambda g: g.critical and g.numeric),
+    ("dropped", lambda g: True),
+)
+
+
 def impute_auto(df: DataFrame, key: str, is_time_series: bool = False, time_col: str | None = None,
                 critical_cols: Sequence[str] = (), corr_threshold: float = 0.5, k: int = 5,
                 text_features: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Below 5% missing: mean (|skew| < 1) or median, mode for text. 5 to 30%: nearest neighbours.
-    Above: regression on correlated columns if critical, else drop the column."""
+    """Fill every column with gaps by the rule of ``_FILLS`` that its share of gaps, kind and skewness meet; the table and
+    a report. In a time series all gaps are filled forward, then backward.
+
+    Columns are handled in their order, and each sees the fills before it: neighbours fill all numeric columns at once, a
+    regression is fitted on what is filled by then. Searches are stored, so that no later step repeats them.
+    """
     names = [c for c in df.columns if c != key]
     rows, nulls = null_counts(df, names)
     share = {c: 100.0 * nulls[c] / rows if rows else 0.0 for c in names}
     gaps = [c for c in names if nulls[c]]
     if is_time_series:
-        filled = fill_in_time(df, time_col, key, gaps)
-        return filled, report(df, IMPUTE_REPORT, [(c, share[c], "forward/backward fill") for c in gaps])
+        return fill_in_time(df, time_col, key, gaps), report(df, IMPUTE_REPORT, [(c, share[c], "along time") for c in gaps])
     numbers = numeric_columns(df, [key])
-    small = [c for c in gaps if share[c] < 5]
-    seen = profile(df, [c for c in small if c in numbers], ["n", "min", "max", "mean", "skew_pop"])
-    skewed = [c for c in seen if not abs(seen[c]["skew_pop"] or 0.0) < 1]
-    middle = quantiles(df, skewed, [0.5], seen)
-    common = modes(df, [c for c in small if c not in numbers])
+    seen = profile(df, [c for c in gaps if c in numbers], ["n", "min", "max", "mean", "skew_pop"])
+    chosen = {}
+    for c in gaps:
+        gap = _Gap(share[c], c in numbers, (seen[c]["skew_pop"] or 0.0) if c in seen else 0.0, c in critical_cols)
+        chosen[c] = next(name for name, holds in _FILLS if holds(gap))
+    middle = quantiles(df, [c for c in gaps if chosen[c] == "median"], [0.5], seen)
+    common = modes(df, [c for c in gaps if chosen[c] == "most frequent"])
+    single = {"mean": lambda c: seen[c]["mean"], "median": lambda c: middle[c][0], "most frequent": lambda c: common[c]}
     out, lines = df, []
     for c in gaps:
-        if share[c] < 5:
-            if c in common:
-                value, method = common[c], "mode"
-            elif c in middle:
-                value, method = middle[c][0], "median"
-            else:
-                value, method = seen[c]["mean"], "mean"
-            now = as_double(c) if c in numbers else col(c)
-            out = replace_columns(out, {c: F.coalesce(now, F.lit(value))})
-        elif share[c] <= 30 and c in numbers:
+        how = chosen[c]
+        if how in single:
+            now = number(c) if c in numbers else col(c)
+            out = replace_columns(out, {c: F.coalesce(now, F.lit(single[how](c)))})
+        elif how == "neighbours":
             left = [x for x in numbers if x in out.columns]
-            out, method = impute_knn(out, key, left, left, k), "KNN imputation"
-        elif share[c] <= 30:
-            features = [x for x in (text_features or names) if x != c and x in out.columns
-                        and x not in numbers]
-            out = impute_knn_text(out, key, c, features, k)
-            method = "KNN imputation (categorical)"
-        else:
-            out, method = _fill_or_drop(out, c, numbers, critical_cols, corr_threshold)
-        lines.append((c, share[c], method))
+            out = stored(impute_knn(out, key, left, left, k), "imputed")
+        elif how == "vote of neighbours":
+            features = [x for x in (text_features or names) if x != c and x in out.columns and x not in numbers]
+            out = stored(impute_knn_text(out, key, c, features, k), "imputed")
+        elif how == "regression":
+            others = [x for x in numbers if x != c and x in out.columns]
+            fitted = RegressionImputer(c, corr_threshold, others).fit(out)
+            how = f"regression on {', '.join(fitted.predictors)}" if fitted.predictors else "dropped"
+            out = fitted.transform(out)
+        if how == "dropped":
+            out = out.drop(c)
+        lines.append((c, share[c], how))
     return out, report(df, IMPUTE_REPORT, lines)
 
 
-def _fill_or_drop(df: DataFrame, c: str, numbers: Sequence[str], critical: Sequence[str],
-                  threshold: float) -> tuple[DataFrame, str]:
-    if c not in critical:
-        return df.drop(c), "dropped (>30% missing, not critical)"
-    if c in numbers:
-        others = [x for x in numbers if x != c and x in df.columns]
-        fitted = RegressionImputer(c, threshold, others).fit(df)
-        if fitted.predictors:
-            return fitted.transform(df), f"regression on {', '.join(fitted.predictors)}"
-    return df.drop(c), "dropped (>30% missing, not correlated)"
-
-
 # --- outliers -------------------------------------------------------------------------------
 
 OUTLIER_REPORT = {"feature": "string", "outliers": "bigint", "pct_outliers": "double",
@@ -112,62 +127,89 @@ class AutoOutliers:
     flags: DataFrame
 
 
+class _Spread(NamedTuple):
+    """What decides about the outliers of a column."""
+
+    column: str
+    n: int
+    mean: float
+    std: float
+    skew: float
+    p1: float
+    q1: float
+    q3: float
+    p99: float
+
+    @property
+    def x(self) -> Column:
+        return as_double(self.column)
+
+    @property
+    def clipped(self) -> Column:
+        return clip(self.x, self.p1, self.p99)
+
+
+def _forest_mark(c: str) -> str:
+    return f"__forest_{c}"
+
+
+#: name: (where it applies, which rows it flags). Fixed values of the specification: 1.5 quartile ranges, 3 deviations
+#: where the skewness is below 1, and a forest from 51 values on.
+_DETECTORS: dict[str, tuple[Callable[[_Spread], bool], Callable[[_Spread], Column]]] = {
+    "quartiles": (lambda s: True, lambda s: outside(s.x, s.q1 - 1.5 * (s.q3 - s.q1), s.q3 + 1.5 * (s.q3 - s.q1))),
+    "deviations": (lambda s: abs(s.skew) < 1,
+                   lambda s: F.abs((s.x - F.lit(s.mean)) / F.lit(s.std)) > 3 if s.std else F.lit(False)),
+    "forest": (lambda s: s.n > 50, lambda s: col(_forest_mark(s.column)) == 1),
+}
+#: The first row that holds for the percentage of outliers says what happens: (name, condition, new values; None: the rows
+#: go). Fixed values of the specification: 5 and 15 percent, skewness 1.
+_TREATMENTS: tuple[tuple[str, Callable[[float, _Spread], bool], Callable[[_Spread, DataFrame], Column] | None], ...] = (
+    ("rows removed", lambda pct, s: pct < 5, None),
+    ("clipped, log1p", lambda pct, s: pct <= 15 and s.skew > 1, lambda s, kept: F.when(s.clipped > -1, F.log1p(s.clipped))),
+    ("clipped", lambda pct, s: pct <= 15, lambda s, kept: s.clipped),
+    ("scaled by quartiles", lambda pct, s: True, lambda s, kept: _by_quartiles(s, kept)),
+)
+
+
+def _by_quartiles(s: _Spread, kept: DataFrame) -> Column:
+    q1, q2, q3 = quantiles(kept, [s.column], [0.25, 0.5, 0.75])[s.column]
+    return (s.x - F.lit(q2)) / F.lit((q3 - q1) or 1.0)
+
+
 def outlier_auto(df: DataFrame, key: str, columns: Sequence[str] | None = None, forest: bool = True,
                  seed: int = 42) -> AutoOutliers:
-    """Flag by quartiles, by |z| > 3 if |skew| < 1, and by isolation forest; then per column drop the
-    rows (< 5% outliers), clip to the 1st and 99th percentile and log1p if right-skewed (to 15%),
-    or scale robustly."""
+    """Flag the values of each column by all ``_DETECTORS`` that apply to it, then treat the column by the first of
+    ``_TREATMENTS`` that its share of outliers meets. Scaling looks at the rows that the columns before it left."""
     names = list(columns) if columns is not None else numeric_columns(df, [key])
     seen = profile(df, names, ["n", "min", "max", "mean", "std_pop", "skew"])
-    names = [c for c in names if seen[c]["n"]]
-    at = quantiles(df, names, [0.01, 0.25, 0.75, 0.99], seen)
-    marked, tests, how = df, {}, {}
-    for c in names:
-        _, q1, q3, _ = at[c]
-        reach = 1.5 * (q3 - q1)
-        found = [outside(as_double(c), q1 - reach, q3 + reach)]
-        how[c] = ["IQR"]
-        if abs(seen[c]["skew"] or 0.0) < 1:
-            if seen[c]["std_pop"]:
-                z = (as_double(c) - F.lit(seen[c]["mean"])) / F.lit(seen[c]["std_pop"])
-                found.append(F.abs(z) > 3)
-            how[c].append("Z-score")
-        if forest and seen[c]["n"] > 50:
-            marked = IsolationForest(c, key, seed=seed).fit(df).flagged(marked, f"__forest_{c}")
-            found.append(col(f"__forest_{c}") == 1)
-            how[c].append("IsolationForest")
-        tests[c] = flag(any_of([F.coalesce(f, F.lit(False)) for f in found]))
-    marked = marked.select("*", *[tests[c].alias(f"__out_{c}") for c in names])
-    counts = marked.agg(F.lit(0), *[F.sum(col(f"__out_{c}")) for c in names]).first()[1:]
-    remove: list[str] = []
-    new: dict[str, Column] = {}
-    lines = []
-    for c, n in zip(names, counts, strict=True):
-        pct = 100.0 * n / seen[c]["n"]
-        if pct < 5:
-            remove.append(c)
-            handling = "Remove rows"
-        elif pct <= 15:
-            new[c] = clip(as_double(c), at[c][0], at[c][3])
-            handling = "Winsorization"
-            if (seen[c]["skew"] or 0.0) > 1:
-                new[c] = F.when(new[c] > -1, F.log1p(new[c]))
-                handling += " + Log Transform"
+    at = quantiles(df, [c for c in names if seen[c]["n"]], [0.01, 0.25, 0.75, 0.99], seen)
+    spreads = [_Spread(c, seen[c]["n"], seen[c]["mean"], seen[c]["std_pop"], seen[c]["skew"] or 0.0, *q) for c, q in at.items()]
+    used = {s.column: [d for d, (applies, _) in _DETECTORS.items() if applies(s) and (forest or d != "forest")] for s in spreads}
+    marked = df
+    for s in spreads:
+        if "forest" in used[s.column]:
+            marked = IsolationForest(s.column, key, seed=seed).fit(df).flagged(marked, _forest_mark(s.column))
+    out = {s.column: f"__out_{s.column}" for s in spreads}
+    marked = marked.select("*", *[
+        flag(any_of([F.coalesce(_DETECTORS[d][1](s), F.lit(False)) for d in used[s.column]])).alias(out[s.column]) for s in spreads])
+    counts = marked.agg(F.lit(0), *[F.sum(col(o)) for o in out.values()]).first()[1:]
+    kept, new, lines = marked, {}, []
+    for s, n in zip(spreads, counts, strict=True):
+        pct = 100.0 * n / s.n
+        name, _, values = next(t for t in _TREATMENTS if t[1](pct, s))
+        if values is None:
+            kept = kept.where(col(out[s.column]) == 0)
         else:
-            kept = marked.where(~any_of([col(f"__out_{r}") == 1 for r in remove]))
-            q1, q2, q3 = quantiles(kept, [c], [0.25, 0.5, 0.75])[c]
-            new[c] = (as_double(c) - F.lit(q2)) / F.lit((q3 - q1) or 1.0)
-            handling = "RobustScaler"
-        lines.append((c, int(n), round(pct, 2), ", ".join(how[c]), handling))
-    kept = marked.where(~any_of([col(f"__out_{r}") == 1 for r in remove]))
+            new[s.column] = values(s, kept)
+        lines.append((s.column, int(n), round(pct, 2), " + ".join(used[s.column]), name))
     cleaned = replace_columns(kept.select(*[col(c) for c in df.columns]), new)
-    flags = marked.select(col(key), *[col(f"__out_{c}").alias(c) for c in names])
+    flags = marked.select(col(key), *[col(o).alias(c) for c, o in out.items()])
     return AutoOutliers(cleaned, report(df, OUTLIER_REPORT, lines), flags)
 
 
 # --- distribution ---------------------------------------------------------------------------
 
-SKEW_REPORT = {"feature": "string", "skew_before": "double", "transformed": "string",
+SKEW_REPORT = {"feature": "string", "skew_before": "double", "transformed": "int",
                "method": "string", "skew_after": "double"}
 
 
@@ -211,11 +253,11 @@ class AutoTransform(Step):
         for c in names:
             before = round(seen[c]["skew_pop"], 3) if seen[c]["skew_pop"] is not None else None
             if c not in done:
-                lines.append((c, before, "No", "-", before))
+                lines.append((c, before, 0, "none", before))
                 continue
             methods[c] = {"kind": kind[c], "lambda": lam[c], "mean": after[c]["mean"],
                           "std": after[c]["std_pop"] or 1.0}
-            lines.append((c, before, "Yes", "Box-Cox" if kind[c] == "box_cox" else "Yeo-Johnson",
+            lines.append((c, before, 1, kind[c],
                           round(after[c]["skew_pop"], 3)))
         return FittedAutoTransform(methods, lines)
 
@@ -268,13 +310,13 @@ class AutoScaler(Step):
             p = normality_p(m["n"], m["skew_pop"], m["kurt_pop"])
             normal = p is not None and p > 0.05
             if self.model_type == "tree":
-                used, pair = "None (tree model)", None
+                used, pair = "none", None
             elif share > 0.05:
-                used, pair = "RobustScaler", (at[c][1], at[c][2] - at[c][0])
+                used, pair = "robust", (at[c][1], at[c][2] - at[c][0])
             elif normal:
-                used, pair = "StandardScaler", (m["mean"], m["std_pop"])
+                used, pair = "standard", (m["mean"], m["std_pop"])
             else:
-                used, pair = "MinMaxScaler", (m["min"], m["max"] - m["min"])
+                used, pair = "minmax", (m["min"], m["max"] - m["min"])
             if pair is not None:
                 centers[c], scales[c] = float(pair[0]), float(pair[1]) or 1.0
             lines.append((c, "normal" if normal else "skewed",
@@ -298,11 +340,11 @@ def encode_auto(df: DataFrame, columns: Sequence[str], ordered: Mapping[str, Seq
         if c in ordered:
             spot = F.array_position(F.array(*[F.lit(v) for v in ordered[c]]), col(c).cast("string"))
             out = replace_columns(out, {c: F.when(spot > 0, spot.cast("double") - 1)})
-            method = "Ordinal"
+            method = "position"
         elif counts[c] <= threshold:
-            out, method = encode_dummies(out, c), "One-hot"
+            out, method = encode_dummies(out, c), "dummies"
         else:
-            out, method = fit_frequency(df, c).transform(out), "Frequency"
+            out, method = fit_frequency(df, c).transform(out), "share"
         lines.append((c, counts[c], method))
     return out, report(df, ENCODE_REPORT, lines)
 
@@ -326,7 +368,7 @@ def collinear_auto(df: DataFrame, target: str | None = None, critical_cols: Sequ
         worst = int(np.argmax(vif))
         if not vif[worst] > vif_threshold or left[worst] in critical_cols:
             break
-        dropped.append({"feature": left[worst], "value": float(vif[worst]), "reason": "High VIF"})
+        dropped.append({"feature": left[worst], "value": float(vif[worst]), "reason": "inflation"})
         left.pop(worst)
     if len(left) >= 2:
         size = np.abs(correlations(df, left))
@@ -338,7 +380,7 @@ def collinear_auto(df: DataFrame, target: str | None = None, critical_cols: Sequ
                 if size[i, j] > corr_threshold:
                     gone.add(c)
                     dropped.append({"feature": c, "value": float(size[i, j]),
-                                    "reason": f"High Corr with {r}"})
+                                    "reason": f"correlated with {r}"})
     out = {d["feature"] for d in dropped}
     return FittedSelection([c for c in df.columns if c not in out], dropped)
 
@@ -353,13 +395,13 @@ def features_auto(df: DataFrame, degree: int = 2, datetime_cols: Sequence[str] =
                   columns: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Polynomial terms of the numeric columns, date parts, and equal-width bins."""
     out = polynomial_features(df, columns, degree)
-    lines = [(c, "Polynomial") for c in out.columns[len(df.columns):]]
+    lines = [(c, "polynomial") for c in out.columns[len(df.columns):]]
     if datetime_cols:
         at = len(out.columns)
         out = date_parts(out, datetime_cols)
-        lines += [(c, "Datetime") for c in out.columns[at:]]
+        lines += [(c, "date part") for c in out.columns[at:]]
     if binning:
         at = len(out.columns)
         out = EqualWidthBinner(binning).fit(df).transform(out)
-        lines += [(c, "Binned") for c in out.columns[at:]]
+        lines += [(c, "bin") for c in out.columns[at:]]
     return out, report(df, FEATURE_REPORT, lines)

@@ -31,7 +31,7 @@ class FittedChain(Fitted):
         chosen = list(self.steps) if steps_to_run is None else list(steps_to_run)
         unknown = [s for s in chosen if s not in self.steps]
         if unknown:
-            raise ValueError(f"Invalid step name: {unknown[0]}")
+            raise ValueError(f"no step named {unknown[0]!r}")
         expected = T.StructType.fromJson(self.raw_schema)
         if self.target is not None and self.target in df.columns:
             expected = T.StructType([*expected.fields, df.schema[self.target]])
@@ -72,7 +72,7 @@ class StepChain(Step):
 
     def fit(self, df: DataFrame, target: str | None = None) -> FittedChain:
         if self.check_rows and not df.limit(1).count():
-            raise ValueError("DataFrame is empty. Cannot proceed.")
+            raise ValueError("there are no rows to fit")
         target_here = target if target in df.columns else None
         current, fitted = df, {}
         for name, step in self.steps:
@@ -80,7 +80,7 @@ class StepChain(Step):
             current = fitted[name].transform(current)
             if self.check_rows and getattr(step, "handling", "") == "remove" \
                     and not current.limit(1).count():
-                raise ValueError(f"DataFrame became empty after '{name}' step. Cannot proceed.")
+                raise ValueError(f"no rows are left after step {name!r}")
             if self.after is not None:
                 current = self.after(name, current)
         raw = T.StructType([f for f in df.schema if f.name != target_here])

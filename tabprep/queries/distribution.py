@@ -244,9 +244,9 @@ def _population_skewness(x, source):
 @query("tx_auto_report", f"""
 WITH {_lambda_sql('box_cox', 'SELECT ln(value) AS t FROM events')},
      y AS (SELECT (value ** lam - 1) / lam AS y FROM events, lam)
-SELECT 'user_id' AS feature, round({_population_skewness('user_id', 'events')}, 3) AS skew_before, 'No' AS transformed, '-' AS method,
+SELECT 'user_id' AS feature, round({_population_skewness('user_id', 'events')}, 3) AS skew_before, 0::INTEGER AS transformed, 'none' AS method,
        round({_population_skewness('user_id', 'events')}, 3) AS skew_after
-UNION ALL SELECT 'value', round({_population_skewness('value', 'events')}, 3), 'Yes', 'Box-Cox',
+UNION ALL SELECT 'value', round({_population_skewness('value', 'events')}, 3), 1, 'box_cox',
        round({_population_skewness('y', 'y')}, 3)""")
 def tx_auto_report(spark, sf):
     frame = table(spark, sf, "events").select("user_id", "value")

@@ -191,8 +191,8 @@ def encode_auto(spark, sf):
 
 @query("encode_auto_report", """
 SELECT 'p_brand' AS feature, count(DISTINCT p_brand) AS unique_values,
-       CASE WHEN count(DISTINCT p_brand) <= 10 THEN 'One-hot' ELSE 'Frequency' END AS encoding FROM part
-UNION ALL SELECT 'p_type', count(DISTINCT p_type), CASE WHEN count(DISTINCT p_type) <= 10 THEN 'One-hot'
-       ELSE 'Frequency' END FROM part""")
+       CASE WHEN count(DISTINCT p_brand) <= 10 THEN 'dummies' ELSE 'share' END AS encoding FROM part
+UNION ALL SELECT 'p_type', count(DISTINCT p_type), CASE WHEN count(DISTINCT p_type) <= 10 THEN 'dummies'
+       ELSE 'share' END FROM part""")
 def encode_auto_report(spark, sf):
     return auto_encode(table(spark, sf, "part").select("p_brand", "p_type"), ["p_brand", "p_type"])[1]

@@ -117,7 +117,7 @@ def scale_auto(spark, sf):
 
 @query("scale_auto_report", _AUTO + """
 SELECT 'value' AS feature, 'skewed' AS distribution, round(sk.g, 3) AS skewness, round(share, 3) AS outlier_fraction,
-       CASE WHEN share > 0.05 THEN 'RobustScaler' ELSE 'MinMaxScaler' END AS scaler
+       CASE WHEN share > 0.05 THEN 'robust' ELSE 'minmax' END AS scaler
 FROM f, (SELECT avg((value - a) ** 3) / avg((value - a) ** 2) ** 1.5 AS g
          FROM events, (SELECT avg(value) AS a FROM events)) sk""")
 def scale_auto_report(spark, sf):

@@ -20,7 +20,7 @@ def normalize_missing(df: DataFrame) -> DataFrame:
 
 def _checked(df: DataFrame, path: str) -> DataFrame:
     if not df.columns:
-        raise ValueError(f"{path} contains no data")
+        raise ValueError(f"{path} holds no rows")
     return normalize_missing(df)
 
 
@@ -66,7 +66,7 @@ def load_table(spark: SparkSession, path: str, **options) -> DataFrame:
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     readers = {"csv": read_csv, "txt": read_txt, "json": read_json, "parquet": read_parquet}
     if kind not in FORMATS:
-        raise ValueError(f"Unsupported file format: {kind}")
+        raise ValueError(f"no reader for {kind} files")
     try:
         return readers[kind](spark, path, **options)
     except AnalysisException as e:

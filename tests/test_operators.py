@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabprep.base import Fitted
 from tabprep.functions import running as R
 from tabprep.operators import encoding as EN
-from tabprep.operators.collinear import MulticollinearityReducer
+from tabprep.operators.collinear import MulticollinearityReducer, prune_correlated
 from tabprep.operators.distribution import DistributionTransformer
 from tabprep.operators.encoding import CategoricalEncoder
 from tabprep.operators.features import FeatureCreator, FeatureSelector, PrincipalComponents
@@ -25,25 +25,27 @@ from tabprep.sources.storage import fresh_path
 from tabprep.streaming.scoring import read_stream, score_stream
 
 
+#: Shops: takings (one unknown, one with a slipped decimal point), floor space, Sunday opening, district, size, closed since.
+SHOPS = [(31.0, "yes", "north", "small", 0), (44.0, "no", "east", "large", 1), (None, "no", "north", "middle", 0),
+         (52.0, "yes", "west", "large", 0), (39.0, "no", "east", "small", 0), (47.0, "no", "north", "middle", 1),
+         (58.0, "yes", None, "large", 0), (9000.0, "no", "west", "middle", 0), (36.0, "no", "north", "small", 0),
+         (41.0, "yes", "south", "small", 1), (55.0, "no", "east", "large", 0), (49.0, "no", "south", "middle", 0)]
+SIZES = ["small", "middle", "large"]
+
+
 @pytest.fixture(scope="module")
-def sample(spark):
-    numbers = [10, 20, None, 40, 50, 100, 10000, 2, 3, 15]
-    nominal = ["A", "B", "A", "C", "B", None, "C", "B", "A", "C"]
-    ordinal = ["Low", "Medium", "High", "Medium", "Low", "High", "Medium", "Low", "High", "Medium"]
-    rows = [(None if n is None else float(n), round(1.1 * (i + 1), 1) if i < 9 else 10.1, "Yes" if i % 2 == 0 else "No",
-             nominal[i], ordinal[i], i % 2) for i, n in enumerate(numbers)]
-    return spark.createDataFrame(rows, "numeric_col_1 double, numeric_col_2 double, categorical_binary string, "
-                                       "categorical_nominal string, categorical_ordinal string, target int")
-
-
-def test_missing_handler_fills_and_flags(sample):
-    fitted = MissingValueHandler().fit(sample, "target")
-    out = fitted.transform(sample).toPandas()
-    assert out["numeric_col_1"][2] == 20.0
-    assert out["categorical_nominal"][5] == "A"
-    assert out["numeric_col_1_Missing_Flag"].tolist() == [0, 0, 1] + [0] * 7
-    assert not out.isna().any().any()
-    again = Fitted.from_json(fitted.to_json()).transform(sample).toPandas()
+def shops(spark):
+    rows = [(takings, 3.0 + k * k / 2, *rest) for k, (takings, *rest) in enumerate(SHOPS)]
+    return spark.createDataFrame(rows, "takings double, space double, sunday string, district string, size string, closed int")
+
+
+def test_missing_handler_fills_and_flags(shops):
+    fitted = MissingValueHandler().fit(shops, "closed")
+    out = fitted.transform(shops).toPandas()
+    assert out["takings"][2] == 47.0 and out["district"][6] == "north"
+    assert out["takings_Missing_Flag"].sum() == out["takings_Missing_Flag"][2] == 1
+    assert out.notna().all().all()
+    again = Fitted.from_json(fitted.to_json()).transform(shops).toPandas()
     pd.testing.assert_frame_equal(out, again)
 
 
@@ -54,14 +56,16 @@ def test_missing_handler_rejects_bad_settings():
         MissingValueHandler(drop_high_missing_threshold=2)
 
 
-def test_outlier_row_is_flagged_removed_and_clipped(sample):
-    frame = sample.na.fill(20.0, ["numeric_col_1"])
-    flagged = OutlierDetector(columns=["numeric_col_1"]).fit(frame).transform(frame).toPandas()
-    assert flagged["Outlier_Flag"].tolist() == [0] * 6 + [1] + [0] * 3
-    assert OutlierDetector(handling="remove", columns=["numeric_col_1"]).fit_transform(frame).count() == 9
-    clipped = OutlierDetector(handling="clip").fit_transform(frame).toPandas()
-    assert clipped["numeric_col_1"].max() < 10000
-    for bad in ({"method": "x"}, {"handling": "x"}, {"factor": -1}):
+def test_outlier_row_is_flagged_removed_and_clipped(shops):
+    frame = shops.na.fill(47.0, ["takings"])
+    only = {"columns": ["takings"]}
+    flagged = OutlierDetector(**only).fit(frame).transform(frame).toPandas()
+    assert flagged.index[flagged["Outlier_Flag"] == 1].tolist() == [7]
+    kept = OutlierDetector(handling="remove", **only).fit_transform(frame)
+    assert kept.count() == len(SHOPS) - 1 and kept.agg(F.max("takings")).first()[0] == 58
+    # quartiles 40.5 and 52.75
+    assert OutlierDetector(handling="clip", **only).fit_transform(frame).agg(F.max("takings")).first()[0] == 52.75 + 1.5 * 12.25
+    for bad in ({"method": "guess"}, {"handling": "ignore"}, {"factor": 0}):
         with pytest.raises(ValueError):
             OutlierDetector(**bad)
 
@@ -124,24 +128,23 @@ def test_fill_in_time_over_many_buckets(spark, monkeypatch):
     assert np.array_equal(got, parts, equal_nan=True)
 
 
-def test_encoder_kinds_and_values(sample):
-    order = {"categorical_ordinal": ["Low", "Medium", "High"]}
-    fitted = CategoricalEncoder(ordinal_features_map=order).fit(sample, "target")
-    assert fitted.kinds == {"categorical_binary": "binary", "categorical_nominal": "onehot",
-                            "categorical_ordinal": "ordinal"}
-    out = fitted.transform(sample).toPandas()
-    assert out["categorical_ordinal"].tolist() == [0, 1, 2, 1, 0, 2, 1, 0, 2, 1]
-    assert out["categorical_binary"].tolist() == [1, 0] * 5
-    marks = [c for c in out if c.startswith("categorical_nominal_")]
-    assert marks == [f"categorical_nominal_{v}" for v in ("A", "B", "C", "nan")]
-    assert (out[marks].sum(axis=1) == 1).all()
-    again = Fitted.from_json(fitted.to_json()).transform(sample).toPandas()
+def test_encoder_kinds_and_values(shops):
+    fitted = CategoricalEncoder(ordinal_features_map={"size": SIZES}).fit(shops, "closed")
+    assert fitted.kinds == {"sunday": "binary", "district": "onehot", "size": "ordinal"}
+    out = fitted.transform(shops).toPandas()
+    assert out["size"].tolist() == [SIZES.index(r[3]) for r in SHOPS]
+    assert out["sunday"].tolist() == [int(r[1] == "yes") for r in SHOPS]
+    marks = {v: f"district_{v}" for v in ("east", "north", "south", "west", "nan")}
+    assert [c for c in out if c.startswith("district_")] == list(marks.values())
+    for k, r in enumerate(SHOPS):
+        assert out.loc[k, list(marks.values())].sum() == out.loc[k, marks[r[2] or "nan"]] == 1
+    again = Fitted.from_json(fitted.to_json()).transform(shops).toPandas()
     pd.testing.assert_frame_equal(out, again)
 
 
-def test_encoder_errors_on_unknown(spark, sample):
-    fitted = CategoricalEncoder(handle_unknown="error").fit(sample.select("categorical_binary"))
-    other = spark.createDataFrame([("Maybe",)], "categorical_binary string")
+def test_encoder_errors_on_unknown(spark, shops):
+    fitted = CategoricalEncoder(handle_unknown="error").fit(shops.select("sunday"))
+    other = spark.createDataFrame([("sometimes",)], "sunday string")
     with pytest.raises(Exception, match="unknown category"):
         fitted.transform(other).collect()
 
@@ -156,62 +159,96 @@ def test_category_table_beyond_the_parameter_limit(spark, monkeypatch):
     assert codes["code"].tolist() == list(range(30))
 
 
-def test_collinear_fixture(spark):
-    frame = spark.createDataFrame([(10, 20, 5, 100), (12, 24, 6, 105), (15, 30, 7, 110), (18, 36, 8, 115), (20, 40, 9, 120)],
-                                  "feature_1 int, feature_2 int, feature_3 int, feature_4 int")
-    fitted = MulticollinearityReducer().fit(frame)
-    assert fitted.dropped[0] == {"feature": "feature_1", "value": float("inf"), "reason": "high VIF"}
-    three = MulticollinearityReducer().fit(frame.drop("feature_2"))
-    assert [round(v, 1) for v in three.history[0].values()] == [2982.5, 5100.8, 331.6]
+def test_inflation_against_least_squares(spark):
+    rng = np.random.default_rng(8)
+    width, depth = rng.uniform(1, 9, 60), rng.uniform(1, 9, 60)
+    pdf = pd.DataFrame({"width": width, "depth": depth, "edge": width + depth + rng.normal(0, 0.3, 60), "price": rng.uniform(0, 50, 60)})
+    fitted = MulticollinearityReducer().fit(spark.createDataFrame(pdf))
+
+    def inflation(names):
+        out = {}
+        for c in names:
+            rest = pdf[[n for n in names if n != c]].to_numpy()
+            miss = pdf[c] - rest @ np.linalg.lstsq(rest, pdf[c], rcond=None)[0]
+            out[c] = (pdf[c] ** 2).sum() / (miss ** 2).sum()
+        return out
+
+    left = list(pdf)
+    for seen in fitted.history:
+        assert seen == pytest.approx(inflation(left))
+        left = [c for c in left if c != max(seen, key=seen.get) or max(seen.values()) <= 5]
+    assert sorted(fitted.selected) == sorted(left) and fitted.dropped[0]["reason"] == "high VIF"
+    exact = MulticollinearityReducer().fit(spark.createDataFrame(pdf.assign(edge=pdf["width"] * 3)))
+    assert exact.dropped[0] == {"feature": "width", "value": float("inf"), "reason": "high VIF"}
     for bad in ({"vif_threshold": 0.5}, {"max_iter": 0}, {"corr_threshold": 2}, {"handle_missing": "x"}):
         with pytest.raises(ValueError):
             MulticollinearityReducer(**bad)
 
 
-def test_features_need_a_target_and_rules_are_callable(sample):
+@pytest.mark.parametrize("seed", range(20))
+def test_pruning_takes_one_of_each_group(seed):
+    rng = np.random.default_rng(seed)
+    names = [f"c{k}" for k in range(7)]
+    corr = np.corrcoef(rng.normal(size=(7, 4)))
+    importance = dict(zip(names, rng.random(7), strict=True)) if seed % 2 else None
+    left, dropped = prune_correlated(names, corr, 0.6, importance)
+    strength = lambda a, b: abs(corr[names.index(a), names.index(b)])
+    stay, want = list(names), []
+    for c in names:
+        partners = [o for o in stay if o != c and strength(c, o) > 0.6] if c in stay else []
+        if partners:
+            group = [c, *partners]
+            mean = {g: np.mean([strength(g, o) for o in group]) for g in group}
+            worst = min(group, key=importance.get) if importance else max(group, key=mean.get)
+            want.append((worst, pytest.approx(max(strength(worst, o) for o in group if o != worst))))
+            stay.remove(worst)
+    assert left == stay and [(d["feature"], d["value"]) for d in dropped] == want
+
+
+def test_features_need_a_target_and_rules_are_callable(shops):
     with pytest.raises(ValueError):
-        FeatureSelector().fit(sample)
+        FeatureSelector().fit(shops)
     with pytest.raises(ValueError):
         FeatureCreator().add_rule("x", "not callable")
-    out = PrincipalComponents(0.99).fit(sample.select("numeric_col_1", "numeric_col_2"))
+    out = PrincipalComponents(0.99).fit(shops.select("takings", "space"))
     assert len(out.axes) == 1 and max(out.axes[0], key=abs) > 0
 
 
-def test_six_steps_save_load_and_subset(spark, sample):
-    chain = six_step_chain({"categorical_ordinal": ["Low", "Medium", "High"]})
-    fitted = chain.fit(sample, "target")
-    out = fitted.transform(sample)
-    assert out.columns[-1] == "target" and out.count() == 10
+def test_six_steps_save_load_and_subset(spark, shops):
+    chain = six_step_chain({"size": SIZES})
+    fitted = chain.fit(shops, "closed")
+    out = fitted.transform(shops)
+    assert out.columns[-1] == "closed" and out.count() == len(SHOPS)
     path = fresh_path(spark, "test-chain")
-    fitted.save(sample, path)
+    fitted.save(shops, path)
     loaded = FittedChain.load(spark, path)
-    pd.testing.assert_frame_equal(loaded.transform(sample).toPandas(), out.toPandas())
-    assert set(fitted.stages(sample)) == {"input", *STEPS, "output"}
-    assert "numeric_col_1_Missing_Flag" in fitted.stages(sample, STEPS[:1])["missing_handler"].columns
-    with pytest.raises(ValueError, match="Invalid step"):
-        fitted.transform(sample, ["nonsense"])
-    with pytest.raises(ValueError, match="empty"):
-        chain.fit(sample.limit(0), "target")
+    pd.testing.assert_frame_equal(loaded.transform(shops).toPandas(), out.toPandas())
+    assert set(fitted.stages(shops)) == {"input", *STEPS, "output"}
+    assert "takings_Missing_Flag" in fitted.stages(shops, STEPS[:1])["missing_handler"].columns
+    with pytest.raises(ValueError, match="no step named"):
+        fitted.transform(shops, ["nonsense"])
+    with pytest.raises(ValueError, match="no rows"):
+        chain.fit(shops.limit(0), "closed")
 
 
-def test_fit_does_not_depend_on_partitions(sample):
-    one, many = (MissingValueHandler().fit(sample.repartition(n)).to_dict() for n in (1, 7))
+def test_fit_does_not_depend_on_partitions(shops):
+    one, many = (MissingValueHandler().fit(shops.repartition(n)).to_dict() for n in (1, 7))
     assert one == many
 
 
-def test_chain_from_settings(sample):
+def test_chain_from_settings(shops):
     steps = options_from({"fill": {"step": "MissingValueHandler", "numeric_strategy": "mean"},
                           "scale": {"step": "FeatureScaler", "method": "minmax", "in_place": True}})
-    out = StepChain(steps).fit(sample, "target").transform(sample).toPandas()
-    assert out["numeric_col_1"].between(0, 1).all()
+    out = StepChain(steps).fit(shops, "closed").transform(shops).toPandas()
+    assert out["takings"].between(0, 1).all()
 
 
-def test_transform_stays_lazy_on_a_stream(spark, sample):
+def test_transform_stays_lazy_on_a_stream(spark, shops):
     path = fresh_path(spark, "test-stream")
-    sample.write.parquet(path)
-    fitted = six_step_chain().fit(sample, "target")
-    stream = score_stream(read_stream(spark, path, sample.schema), fitted)
-    assert stream.isStreaming and stream.columns == fitted.transform(sample).columns
+    shops.write.parquet(path)
+    fitted = six_step_chain().fit(shops, "closed")
+    stream = score_stream(read_stream(spark, path, shops.schema), fitted)
+    assert stream.isStreaming and stream.columns == fitted.transform(shops).columns
 
 
 def test_logistic_training_matches_newton(spark):
@@ -228,14 +265,14 @@ def test_logistic_training_matches_newton(spark):
         beta -= np.linalg.solve((design.T * (w * p * (1 - p))) @ design + penalty,
                                 design.T @ (w * (p - y)) + penalty @ beta)
     assert np.allclose([*fitted.coefficients[0], fitted.intercepts[0]], beta, atol=1e-4)
-    with pytest.raises(ValueError, match="lacks expected features"):
+    with pytest.raises(ValueError, match="features are absent"):
         fitted.predict(frame.drop("a"))
 
 
-def test_any_spark_estimator_can_be_trained(sample):
+def test_any_spark_estimator_can_be_trained(shops):
     from pyspark.ml.classification import DecisionTreeClassifier
-    frame = sample.na.fill(0.0)
-    model = train(frame, ["numeric_col_1", "numeric_col_2"], "target", DecisionTreeClassifier(seed=1))
+    frame = shops.na.fill(0.0)
+    model = train(frame, ["takings", "space"], "closed", DecisionTreeClassifier(seed=1))
     assert model.numFeatures == 2
 
 
@@ -254,26 +291,28 @@ def test_schema_alignment_of_awkward_names(spark):
     assert out.first().asDict() == {"LOR ": 1, "a.b": 0.0, "ok": False}
 
 
-def test_auto_steps_reject_gaps(sample):
+def test_auto_steps_reject_gaps(shops):
     for step in (AutoScaler(), AutoTransform()):
         with pytest.raises(ValueError, match="missing or infinite"):
-            step.fit(sample)
+            step.fit(shops)
 
 
 def test_readers(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("col1,LOR \n1,A\n2,B\n")
-    (tmp_path / "a.txt").write_text("colA\tcolB\nval1\tvalX\nval2\tvalY\n")
-    (tmp_path / "a.json").write_text('[{"col1": 1, "col2": "A"}, {"col1": 2, "col2": "B"}]')
-    (tmp_path / "empty.csv").write_text("")
-    assert readers.load_table(spark, str(tmp_path / "a.csv")).columns == ["col1", "LOR "]
-    assert readers.load_table(spark, str(tmp_path / "a.txt")).count() == 2
-    assert readers.load_table(spark, str(tmp_path / "a.json"), records_array=True).count() == 2
-    with pytest.raises(ValueError, match="contains no data"):
-        readers.load_table(spark, str(tmp_path / "empty.csv"))
-    with pytest.raises(ValueError, match="Unsupported file format"):
-        readers.load_table(spark, str(tmp_path / "a.xyz"))
+    (tmp_path / "towns.csv").write_text("town,people \nUlm,126\nBern,134\nGent,263\n")
+    (tmp_path / "towns.txt").write_text("town\tpeople\nUlm\t126\nBern\t134\n")
+    (tmp_path / "towns.json").write_text('[{"town": "Ulm", "people": 126}, {"town": "Bern"}, {"people": 263}]')
+    (tmp_path / "nothing.csv").write_text("")
+    read = lambda name, **options: readers.load_table(spark, str(tmp_path / name), **options)
+    assert read("towns.csv").columns == ["town", "people "] and read("towns.csv").count() == 3
+    assert sorted(r["town"] for r in read("towns.txt").collect()) == ["Bern", "Ulm"]
+    assert {(r["town"], r["people"]) for r in read("towns.json", records_array=True).collect()} == {
+        ("Ulm", 126), ("Bern", None), (None, 263)}
+    with pytest.raises(ValueError, match="holds no rows"):
+        read("nothing.csv")
+    with pytest.raises(ValueError, match="no reader for"):
+        read("towns.xyz")
     with pytest.raises(FileNotFoundError):
-        readers.load_table(spark, str(tmp_path / "absent.csv"))
+        read("villages.csv")
     texts = spark.createDataFrame([('quote " and, comma', None), ("", "line\nbreak")], "a string, b string")
     path = writers.write_csv(texts, str(tmp_path / "out"))
     back = readers.read_csv(spark, path, texts.schema, multiline=True)
