@@ -24,8 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabprep.llm.arrow import id_and_text, rows_batch, texts_of
-from tabprep.llm.tokens import encoder, id_width
+from tabprep.llm.arrow import id_and_text, in_blocks, rows_batch, texts_of
+from tabprep.llm.tokens import id_width
+from tabprep.llm.word_ids import word_encoder
 from tabprep.sources.storage import fresh_path
 
 #: Tokens after which a block is closed.
@@ -78,8 +79,9 @@ def _encode(path: str, end_id: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, end = pa.Codec("zstd", 1), np.array([end_id], f"<u{width}").tobytes()
-        for batch in batches:
-            ids = [x + end for x in encoder(path, width).encode(texts_of(batch.column(1)))]
+        encode = word_encoder(path, width).encode
+        for batch in in_blocks(batches, 1):
+            ids = [encode(x) + end for x in texts_of(batch.column(1))]
             yield rows_batch(schema, batch.column(0), [len(x) // width for x in ids],
                              [codec.compress(x, asbytes=True) for x in ids])
     return run

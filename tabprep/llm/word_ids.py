@@ -1,8 +1,8 @@
-"""Ids of whole texts for vocabularies that lower-case, drop white space and encode every word by itself.
+"""Ids of whole texts by one store of words.
 
-A text in common letters is cut into words by one pass of a pattern, and every word's ids come from one store; a word that
-is met for the first time goes straight to the library's model. All other texts go through the general encoder. Compared
-with a store of pieces between spaces, words with different punctuation around them share one entry.
+A text in common letters is cut into words by one pass of the vocabulary's pattern, and every word's ids come from the
+store; a word that is met for the first time goes straight to the library's model. All other texts go through the general
+encoder. Compared with a store of pieces between spaces, words with different punctuation around them share one entry.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from array import array
 
 from tabprep.llm.tokens import _COMMON, PieceEncoder
 
-#: Words that a worker keeps; all are dropped when the number is reached. A memory setting, without effect on ids.
-KEPT_WORDS = 600_000
+#: Words that a worker keeps; all are dropped when the number is reached. Longer words are not kept. Memory settings,
+#: without effect on ids.
+KEPT_WORDS, KEPT_LENGTH = 600_000, 64
 
 
 class _Words(dict):
@@ -24,7 +25,9 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.letters)
-        self[word] = ids = array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
+        ids = array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
+        if len(word) <= KEPT_LENGTH:
+            self[word] = ids
         return ids
 
 
@@ -33,15 +36,13 @@ class WordEncoder:
 
     def __init__(self, path: str, width: int):
         self.general = PieceEncoder(path, width)
-        if self.general.kind != "word":
-            raise ValueError(f"{path} does not encode word by word")
-        self.words, self.cut = _Words(self.general), self.general.words.findall
+        self.words, self.cut, self.lower = _Words(self.general), self.general.words.findall, self.general.kind == "word"
 
     def encode(self, text: str) -> bytes:
         if _COMMON.fullmatch(text) and not any(s in text for s in self.general.specials):
             if len(self.words) > KEPT_WORDS:
                 self.words.clear()
-            return b"".join(map(self.words.__getitem__, self.cut(text.lower())))
+            return b"".join(map(self.words.__getitem__, self.cut(text.lower() if self.lower else text)))
         return self.general.encode([text])[0]
 
 
