@@ -57,12 +57,20 @@ def default_rules() -> dict[str, Rule]:
 
 
 @dataclass
-class FeatureCreator:
-    """New columns from rules over all numeric columns; a rule maps Columns to a Column."""
+class FeatureCreator(Step):
+    """New columns from rules over all numeric columns; a rule maps Columns to a Column.
 
-    rules: dict[str, Rule] = field(default_factory=default_rules)
+    As a step from settings, ``rules`` may be the names of standard rules.
+    """
+
+    rules: dict[str, Rule] | Sequence[str] = field(default_factory=default_rules)
     columns: Sequence[str] | None = None
 
+    def __post_init__(self):
+        if not isinstance(self.rules, Mapping):
+            standard = default_rules()
+            self.rules = {name: standard[name] for name in self.rules}
+
     def add_rule(self, name: str, rule: Rule) -> FeatureCreator:
         if not callable(rule):
             raise ValueError(f"rule {name!r} is no function of Columns")

@@ -126,8 +126,8 @@ def collinear_auto_reasons(spark, sf):
     return rounded(auto_collinear(frame, critical_cols=["l_extendedprice"]).reasons(frame))
 
 
-@query("collinear_select", """SELECT l_discount, l_tax, l_returnflag FROM lineitem""")
+@query("collinear_select", """SELECT 3 * l_quantity AS thrice, l_returnflag FROM lineitem""")
 def collinear_select(spark, sf):
-    frame = lines(spark, sf, "l_returnflag")
-    model = C.FittedSelection(["l_discount", "l_tax", "l_returnflag"])
-    return model.transform(frame)
+    """The fitted selection applied: of two columns that determine each other the first goes, text stays."""
+    frame = table(spark, sf, "lineitem").select("l_quantity", (F.col("l_quantity") * 3).alias("thrice"), "l_returnflag")
+    return C.MulticollinearityReducer().fit(frame).transform(frame)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tabprep.functions import math as M
 from tabprep.operators import distribution as D
 from tabprep.plans.auto import AutoTransform
 from tabprep.queries.registry import query, rounded, table
@@ -100,7 +101,31 @@ def tx_bin_quartile(spark, sf):
     return _applied(spark, sf, "data-binning")
 
 
-@query("tx_quantile_normal")
+def _horner_sql(coefficients, x):
+    out = repr(coefficients[0])
+    for a in coefficients[1:]:
+        out = f"({out} * {x} + {a!r}::DOUBLE)"
+    return out
+
+
+def _normal_quantile_sql(p):
+    """The rational approximation of the inverse normal distribution function that the operator uses."""
+    near, centre = f"sqrt(-2 * ln(least({p}, 1 - {p})))", f"({p} - 0.5)"
+    tail = f"{_horner_sql(M._C, near)} / {_horner_sql(M._D, near)}"
+    square = f"({centre} * {centre})"
+    body = f"{centre} * {_horner_sql(M._A, square)} / {_horner_sql(M._B, square)}"
+    return f"CASE WHEN {p} < {M._TAIL} THEN {tail} WHEN {p} > 1 - {M._TAIL} THEN -({tail}) ELSE {body} END"
+
+
+@query("tx_quantile_normal", f"""
+WITH l AS (SELECT unnest(quantile_cont(value, [{", ".join(repr(i / 999) for i in range(1000))}])) AS v, unnest(range(1000)) / 999.0::DOUBLE AS p FROM events),
+     d AS (SELECT v, min(p) AS lo, max(p) AS hi FROM l GROUP BY v),
+     m AS (SELECT v, lo, hi, lead(v) OVER (ORDER BY v) AS v1, lead(lo) OVER (ORDER BY v) AS p1 FROM d),
+     a AS (SELECT event_id, CASE WHEN v1 IS NULL THEN 1.0 WHEN value <= (SELECT min(v) FROM d) THEN 0.0 WHEN value = v THEN (lo + hi) / 2
+                                 ELSE hi + (value - v) / (v1 - v) * (p1 - hi) END AS p
+           FROM events ASOF JOIN m ON events.value >= m.v),
+     e AS (SELECT event_id, least(greatest(p, {D.EDGE}), 1 - {D.EDGE}) AS p FROM a)
+SELECT event_id, round({_normal_quantile_sql('p')}, 6) AS value FROM e""")
 def tx_quantile_normal(spark, sf):
     frame = table(spark, sf, "events").select("event_id", "value")
     return rounded(D.DistributionTransformer("quantile", ["value"]).fit(frame).transform(frame))
@@ -171,6 +196,23 @@ def tx_yeojohnson_fixed(spark, sf):
     return rounded(model.transform(table(spark, sf, "customer").select("c_custkey", "c_acctbal")))
 
 
+_FIXED = {"log": "exp(x) - 1", "box_cox": "(x * 0.25 + 1) ** 4 - 1",
+          "yeo_johnson": "CASE WHEN x >= 0 THEN (x * 0.5 + 1) ** 2 - 1 ELSE 1 - (1 - x * 1.5) ** (1 / 1.5) END"}
+
+
+@query("inverse_fixed", f"""
+WITH c AS (SELECT c_custkey, c_acctbal / 1000 AS x FROM customer)
+SELECT c_custkey, round({_FIXED['log']}, 6) AS log, round(CASE WHEN x > -4 THEN {_FIXED['box_cox']} END, 6) AS box_cox,
+       round({_FIXED['yeo_johnson']}, 6) AS yeo_johnson FROM c""")
+def inverse_fixed(spark, sf):
+    """Inverses of given parameters on numbers that no transform made."""
+    x = F.col("c_acctbal") / 1000
+    frame = table(spark, sf, "customer").select("c_custkey", x.alias("log"), x.alias("box_cox"), x.alias("yeo_johnson"))
+    for method, lam in (("log", None), ("box_cox", 0.25), ("yeo_johnson", 0.5)):
+        frame = D.FittedDistribution(method, {method: {"lambda": lam}}).inverse_transform(frame)
+    return rounded(frame)
+
+
 @query("inverse_log", """SELECT l_orderkey, l_linenumber, round(l_quantity, 6) AS l_quantity,
                                 round(l_extendedprice, 6) AS l_extendedprice FROM lineitem""")
 def inverse_log(spark, sf):

@@ -196,10 +196,13 @@ def select_correlation(spark, sf):
     return rounded(FE.FeatureSelector("correlation", 0.02).fit(frame, "y").report(frame))
 
 
-@query("select_project", """SELECT l_quantity, l_returnflag, l_shipdate FROM lineitem""")
+@query("select_project", """
+SELECT value + CASE WHEN event_type = 'error' THEN 1e4 ELSE 0.0 END AS mixed, event_type, ts FROM events""")
 def select_project(spark, sf):
-    frame = table(spark, sf, "lineitem").select("l_quantity", "l_returnflag", "l_discount", "l_shipdate")
-    return FE.FittedSelector(["l_quantity"], {}, ["l_quantity", "l_discount"]).transform(frame)
+    """The better of two columns by a fitted selection; columns that are no numbers stay after it."""
+    frame = table(spark, sf, "events").select(
+        "user_id", "event_type", (F.col("value") + F.when(F.col("event_type") == "error", 1e4).otherwise(0.0)).alias("mixed"), "ts")
+    return FE.FeatureSelector("univariate", k=1).fit(frame, "event_type").transform(frame)
 
 
 @query("polynomial_features", """
@@ -239,11 +242,10 @@ def features_auto(spark, sf):
 
 
 @query("feature_steps", """
-SELECT l_returnflag, l_quantity, l_tax, round(l_quantity + l_discount + l_tax, 6) AS sum_features
-FROM lineitem WHERE (SELECT var_pop(l_discount) < var_pop(l_tax) + 1 FROM lineitem)""")
+SELECT l_quantity, round(l_quantity + l_discount + l_tax, 6) AS sum_features, l_returnflag FROM lineitem""")
 def feature_steps(spark, sf):
+    """A created column, then a selection by variance that leaves out discount and tax."""
     frame = table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_discount", "l_tax")
     creator = FE.FeatureCreator({"sum_features": FE.row_sum})
-    chain = StepChain([("create", creator), ("select", FE.FeatureSelector("variance", 0.0))])
-    out = chain.fit(frame).transform(frame)
-    return rounded(out.select("l_returnflag", "l_quantity", "l_tax", "sum_features"), 6, ["sum_features"])
+    chain = StepChain([("create", creator), ("select", FE.FeatureSelector("variance", 1.0))])
+    return rounded(chain.fit(frame).transform(frame), 6, ["sum_features"])

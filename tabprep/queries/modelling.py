@@ -10,7 +10,7 @@ from tabprep.operators.modelling import FittedLogistic, LogisticTrainer
 from tabprep.operators.modelling import score_batch as score_rows
 from tabprep.operators.outliers import OutlierDetector
 from tabprep.operators.scaling import FeatureScaler, FittedScaler
-from tabprep.plans.chain import FittedChain, StepChain
+from tabprep.plans.chain import FittedChain, StepChain, options_from
 from tabprep.plans.six_step import six_step_chain
 from tabprep.queries.registry import null_when, query, rounded, table
 from tabprep.sources.storage import fresh_path
@@ -223,15 +223,14 @@ def six_steps_wide(spark, sf):
     return out.groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.max(F.size(vector)).cast("int").alias("size"))
 
 
-@query("six_steps_subset", """
-WITH g AS (SELECT CASE WHEN event_id % 10 <> 0 THEN value END AS v, user_id / 150.0::DOUBLE AS share FROM events)
-SELECT count(*) AS n, count(DISTINCT share) AS shares FROM g""")
+@query("six_steps_subset", _six_sql(_KINDS).rsplit("SELECT round((lv", 1)[0] + f"""
+SELECT 0.0::DOUBLE AS value_log, round(share, 6) AS share, o AS "value_Outlier_Flag", so AS "share_Outlier_Flag",
+       miss AS "value_Missing_Flag_Outlier_Flag", {', '.join(f'0.0::DOUBLE AS event_type_{k}' for k in _KINDS)}, y FROM f""")
 def six_steps_subset(spark, sf):
     """Only the first two steps; final columns made by later steps are filled with 0.0."""
     frame = mixed(spark, sf)
     fitted = six_step_chain().fit(frame, "y")
-    some = fitted.transform(frame, ["missing_handler", "outlier_detector"])
-    return some.agg(F.count("*").alias("n"), F.count_distinct("share").alias("shares"))
+    return rounded(fitted.transform(frame, ["missing_handler", "outlier_detector"]))
 
 
 @query("custom_steps", """
@@ -255,3 +254,27 @@ def custom_steps(spark, sf):
     path = fresh_path(spark, "chain")
     fitted.save(frame, path)
     return rounded(FittedChain.load(spark, path).transform(frame))
+
+
+# two columns of equal weight after scaling: their sum and difference are the principal axes, whatever their correlation
+@query("custom_steps_features", """
+WITH s AS (SELECT (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS q,
+                  (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER () AS e,
+                  l_discount AS d, l_returnflag AS y FROM lineitem),
+     c AS (SELECT sign(avg(q * e)) AS c FROM s)
+SELECT round((q + c * e) / sqrt(2.0::DOUBLE), 6) AS "PC_1", y FROM s, c""")
+def custom_steps_features(spark, sf):
+    """Fill, scale, select by variance, principal axis: from settings alone, saved and loaded."""
+    frame = table(spark, sf, "lineitem").select(
+        F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("e"), F.col("l_discount").alias("d"),
+        F.col("l_returnflag").alias("y"))
+    steps = options_from({
+        "missing": {"step": "MissingValueHandler", "numeric_strategy": "mean"},
+        "scale": {"step": "FeatureScaler", "columns": ["q", "e"], "in_place": True},
+        "regression": {"step": "RegressionImputer", "column": "q"},
+        "create": {"step": "FeatureCreator", "rules": ["max_feature"], "columns": ["q"]},
+        "select": {"step": "FeatureSelector", "strategy": "variance", "threshold": 0.9, "columns": ["q", "e", "d"]},
+        "axes": {"step": "PrincipalComponents", "n_components": 1}})
+    path = fresh_path(spark, "chain")
+    StepChain(steps).fit(frame, "y").save(frame, path)
+    return rounded(FittedChain.load(spark, path).transform(frame))

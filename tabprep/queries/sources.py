@@ -49,13 +49,11 @@ def scan_json(spark, sf):
     return readers.read_json(spark, path, events.schema)
 
 
-@query("sink_csv", "SELECT count(*) AS n, count(value) AS with_value FROM (SELECT CASE WHEN "
-                   "event_id % 10 <> 0 THEN value END AS value FROM events)")
+@query("sink_csv", "SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 10 <> 0 THEN value END AS value FROM events")
 def sink_csv(spark, sf):
     gaps = _events(spark, sf).withColumn("value", null_when(F.col("event_id") % 10 == 0, "value"))
     path = writers.write_csv(gaps, fresh_path(spark, "csv"), sep=";")
-    return readers.read_csv(spark, path, gaps.schema, sep=";").agg(
-        F.count("*").alias("n"), F.count("value").alias("with_value"))
+    return readers.read_csv(spark, path, gaps.schema, sep=";")
 
 
 @query("sink_txt", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
@@ -91,11 +89,15 @@ def sink_split(spark, sf):
             .agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")))
 
 
-@query("sink_features_target", """SELECT count(*) AS n, round(sum(value), 4) AS total FROM events""")
+@query("sink_features_target", """
+SELECT 'X' AS part, event_id, ts, user_id, value, NULL::VARCHAR AS event_type FROM events
+UNION ALL SELECT 'y', NULL, NULL, NULL, NULL, event_type FROM events""")
 def sink_features_target(spark, sf):
-    x, _ = writers.write_features_and_target(_events(spark, sf), fresh_path(spark, "xy"), "event_type")
-    return readers.read_parquet(spark, x).agg(F.count("*").alias("n"),
-                                              F.round(F.sum("value"), 4).alias("total"))
+    """Both datasets read back whole."""
+    x, y = writers.write_features_and_target(_events(spark, sf), fresh_path(spark, "xy"), "event_type")
+    features = readers.read_parquet(spark, x).select(F.lit("X").alias("part"), "event_id", "ts", "user_id", "value")
+    target = readers.read_parquet(spark, y).select(F.lit("y").alias("part"), "event_type")
+    return features.unionByName(target, allowMissingColumns=True)
 
 
 @query("validate_table", """
