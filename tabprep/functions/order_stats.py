@@ -91,6 +91,23 @@ def order_statistics(df: DataFrame, columns: Sequence[str] | Mapping[str, Column
         return found
 
     spark = df.sparkSession
+    def read_off(narrowed: DataFrame) -> dict[Key, dict[int, float]]:
+        """The wanted ranks from the counts of all distinct values ``v`` of each series ``s``."""
+        exact = (narrowed.groupBy("s", "v").agg(F.count("*").alias("n"))
+                 .toArrow().to_pandas().sort_values(["s", "v"]))
+        for s, part in exact.groupby("s", sort=False):
+            ends = np.cumsum(part["n"].to_numpy())
+            v = part["v"].to_numpy()
+            for local, owners in series[s].wanted.items():
+                value = float(v[int(np.searchsorted(ends, local, side="right"))])
+                for key, rank in owners:
+                    found[key][rank] = value
+        return found
+
+    if sum(known[key][0] for key in start) <= finish_rows:
+        return read_off(df.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("s"), exprs[key[0]].cast("double").alias("v")) for i, key in enumerate(start)])))
+            .where(F.col("v").isNotNull()))
     bins = _bins_for(series)
     params = [s.params(bins) for s in series]
     # parameters as literals: no join in the first pass over the source
@@ -133,16 +150,7 @@ def order_statistics(df: DataFrame, columns: Sequence[str] | Mapping[str, Column
                                      **_columns(params)})
         narrowed = binned.join(F.broadcast(picked), "b")
         if rows_left <= finish_rows or not all(math.isfinite(p[1]) for p in params):
-            exact = (narrowed.groupBy("s", "v").agg(F.count("*").alias("n"))
-                     .toArrow().to_pandas().sort_values(["s", "v"]))
-            for s, part in exact.groupby("s", sort=False):
-                ends = np.cumsum(part["n"].to_numpy())
-                v = part["v"].to_numpy()
-                for local, owners in series[s].wanted.items():
-                    value = float(v[int(np.searchsorted(ends, local, side="right"))])
-                    for key, rank in owners:
-                        found[key][rank] = value
-            return found
+            return read_off(narrowed)
         binned = _binned(narrowed.drop("b"), bins)
 
 

@@ -66,6 +66,18 @@ def gram(df: DataFrame, columns: Sequence[str] | Mapping[str, Column]) -> tuple[
     return row[0], _symmetric(d, iter(row[1:]))
 
 
+def gram_and_ends(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, list[tuple[float, float]]]:
+    """``gram``, and the smallest and largest value of each column, from one scan of narrow tables."""
+    xs = list(expressions(df, columns).values())
+    if len(xs) > NARROW:
+        row = df.agg(*[f(x) for x in xs for f in (F.min, F.max)]).first()
+        return *gram(df, columns), list(zip(row[::2], row[1::2], strict=True))
+    d, pairs = len(xs), [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
+    row = df.agg(F.count("*"), *[F.sum(xs[i] * xs[j]) for i, j in pairs], *[f(x) for x in xs for f in (F.min, F.max)]).first()
+    ends = row[1 + len(pairs):]
+    return row[0], _symmetric(d, iter(row[1:1 + len(pairs)])), list(zip(ends[::2], ends[1::2], strict=True))
+
+
 def covariance(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Means and the sample covariance matrix (columns without nulls)."""
     exprs = expressions(df, columns)

@@ -56,6 +56,15 @@ def sorted_categories(df: DataFrame, c: str, limit: int) -> list[str]:
     return found
 
 
+def listed_categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted distinct values of columns that are known to have few, from one scan."""
+    if not columns:
+        return {}
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), text(c).alias("v")) for i, c in enumerate(columns)])))
+    rows = long.where(F.col("v").isNotNull()).distinct().collect()
+    return {c: sorted(r["v"] for r in rows if r["c"] == i) for i, c in enumerate(columns)}
+
+
 def numbered(categories: DataFrame) -> DataFrame:
     """``key, code`` with the 0-based rank of each distinct key.
 
@@ -357,9 +366,13 @@ class CategoricalEncoder(Step):
 
     def detect(self, df: DataFrame, target: str | None = None) -> dict[str, tuple[str, int]]:
         """``{column: (kind, distinct values)}``."""
+        return {c: (self._kind(c, n), n) for c, (n, _) in self._counted(df, target).items()}
+
+    def _counted(self, df: DataFrame, target: str | None) -> dict[str, tuple[int, int]]:
+        """``{column: (distinct values, NULLs)}``, from one scan."""
         names = non_numeric_columns(df, [target] if target else [])
-        counts = distinct_counts(df, names)
-        return {c: (self._kind(c, counts[c]), counts[c]) for c in names}
+        row = df.agg(F.lit(0), *[a for c in names for a in (F.count_distinct(col(c)), F.count_if(col(c).isNull()))]).first()
+        return {c: (row[1 + 2 * i], row[2 + 2 * i]) for i, c in enumerate(names)}
 
     def _kind(self, c: str, distinct: int) -> str:
         chosen = self.column_encoding_strategy.get(c)
@@ -377,21 +390,23 @@ class CategoricalEncoder(Step):
     def fit(self, df: DataFrame, target: str | None = None) -> FittedEncoder:
         if self.high_cardinality_strategy == "target" and target is None:
             raise ValueError("target encoding needs a target column")
-        found = self.detect(df, target)
+        counted = self._counted(df, target)
+        found = {c: (self._kind(c, n), n) for c, (n, _) in counted.items()}
         kinds = {c: k for c, (k, _) in found.items()}
         classes: dict[str, dict[str, float]] = {}
         listed = [c for c, k in kinds.items() if k in ("binary", "onehot")
                   or (k == "ordinal" and c not in self.ordinal_features_map)]
-        nulls = df.agg(F.lit(0), *[F.count_if(col(c).isNull()) for c in listed]).first()[1:]
         maps, defaults, vectors = {}, {}, {}
-        for c, missing in zip(listed, nulls, strict=True):
+        values_of = listed_categories(df, [c for c in listed if found[c][1] <= MAX_ONE_HOT])
+        for c in listed:
+            missing = counted[c][1]
             if found[c][1] > MAX_ONE_HOT and kinds[c] == "onehot":
                 vectors[c] = CategoryVector.learn(df, c, nulls=bool(missing))
                 continue
             if found[c][1] > MAX_ONE_HOT:  # codes in the order of the values, as a table
                 maps[c], defaults[c] = CategoryMap.learn(numbered(category_counts(df, c))), float(self.unknown_value)
                 continue
-            values = sorted_categories(df, c, MAX_ONE_HOT)
+            values = values_of[c]
             if missing and kinds[c] == "binary":
                 values = sorted([*values, NULL_CLASS])
             elif missing and kinds[c] == "onehot":

@@ -14,11 +14,12 @@ from pyspark.sql.window import Window
 from tabprep.base import Fitted, Step, read_side_table, write_side_table
 from tabprep.functions.columns import (
     any_of, as_double, col, free_name, number, numeric_columns, present, replace_columns, text_columns)
-from tabprep.functions.moments import correlation, profile
+from tabprep.functions.moments import correlation, measure, profile
 from tabprep.functions.neighbours import nearest
 from tabprep.functions.order_stats import quantiles
 from tabprep.functions.running import bucketed
 
+_MEASURES = ("n", "min", "max", "mean")
 BANDS = ("All NaNs", "<5%", "5–30%", ">30%")
 
 
@@ -225,16 +226,22 @@ class MissingValueHandler(Step):
 
     def fit(self, df: DataFrame, target: str | None = None) -> FittedImputer:
         names = [c for c in df.columns if c not in (target, self.key)]
-        rows, nulls = null_counts(df, names)
+        # one scan for the counts of all columns and the measures of the numeric ones
+        all_numbers = [c for c in numeric_columns(df) if c in names]
+        row = df.agg(F.count("*"), *[F.count(present(df, c)) for c in names],
+                     *[measure(m, number(c)) for c in all_numbers for m in _MEASURES]).first()
+        rows, nulls = row[0], {c: row[0] - n for c, n in zip(names, row[1:], strict=False)}
+        values = iter(row[1 + len(names):])
+        seen = {c: {m: next(values) for m in _MEASURES} for c in all_numbers}
         dropped = [c for c in names if rows and self._sparse(nulls[c], rows)]
         kept = [c for c in names if c not in dropped]
-        numbers = [c for c in numeric_columns(df) if c in kept]
+        numbers = [c for c in all_numbers if c in kept]
         texts = [c for c in text_columns(df) if c in kept]
         fills: dict = {}
         if self.numeric_strategy == "mean":
-            fills |= {c: m["mean"] for c, m in profile(df, numbers, ["mean"]).items()}
+            fills |= {c: seen[c]["mean"] for c in numbers}
         elif self.numeric_strategy == "median":
-            fills |= {c: q[0] for c, q in quantiles(df, numbers, [0.5]).items()}
+            fills |= {c: q[0] for c, q in quantiles(df, numbers, [0.5], seen).items()}
         elif self.numeric_strategy == "constant":
             fills |= {c: float(self.numeric_fill) for c in numbers}
         if self.categorical_strategy == "constant":

@@ -71,7 +71,7 @@ class StepChain(Step):
     after: Callable[[str, DataFrame], DataFrame] | None = None
 
     def fit(self, df: DataFrame, target: str | None = None) -> FittedChain:
-        if self.check_rows and not df.limit(1).count():
+        if self.check_rows and df.isEmpty():
             raise ValueError("there are no rows to fit")
         target_here = target if target in df.columns else None
         current, fitted = df, {}
@@ -79,7 +79,7 @@ class StepChain(Step):
             fitted[name] = step.fit(current, target_here)
             current = fitted[name].transform(current)
             if self.check_rows and getattr(step, "handling", "") == "remove" \
-                    and not current.limit(1).count():
+                    and current.isEmpty():
                 raise ValueError(f"no rows are left after step {name!r}")
             if self.after is not None:
                 current = self.after(name, current)
