@@ -275,29 +275,88 @@ def impute_knn(df: DataFrame, key: str, columns: Sequence[str] | None = None,
     return KnnImputer(gaps, features, k, key, plan).fit_transform(df) if gaps else df
 
 
+@dataclass
+class FittedKnnVote(Fitted):
+    """Donors of a text column as a side table, and the codes by which text features are compared."""
+
+    column: str
+    numbers: list
+    codes: dict
+    k: int
+    donors: str
+    plan: str = "auto"
+
+    @classmethod
+    def restore(cls, params: dict) -> FittedKnnVote:
+        from tabprep.operators.encoding import CategoryMap
+        return cls(**{**params, "codes": {c: CategoryMap(**m) for c, m in params["codes"].items()}})
+
+    def placed(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
+        """``df`` with its features as doubles under the given names; a text not seen in the fit is a missing feature."""
+        out = df
+        for c, name in zip([*self.numbers, *self.codes], names, strict=True):
+            known = c in df.columns
+            if c in self.codes and known:
+                out = self.codes[c].add(out, col(c).cast("string"), name)
+            else:
+                out = out.withColumn(name, number(c) if known else F.lit(None).cast("double"))
+        return out
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Fill missing values of the column by the most frequent one among the nearest rows, the smallest on ties.
+
+        Rows with equal features get equal fills and are searched once; a row without a comparable donor keeps its gap.
+        """
+        names = [f"f{i}" for i in range(len(self.numbers) + len(self.codes))]
+        own = [free_name(f"__{n}", df.columns) for n in names]
+        key, gap = free_name("__vote_key", df.columns), col(self.column).isNull()
+        marks = [F.coalesce(col(n).cast("string"), F.lit("")) for n in own]
+        spread = F.concat(F.lit("-"), F.pmod(F.xxhash64(*[col(n) for n in own]), F.lit(4_096)).cast("string"))
+        keyed = self.placed(df, own).withColumn(key, F.when(gap, F.concat_ws(",", *marks)).otherwise(spread))
+        asked = keyed.where(gap).select(col(key).alias("id"), *[col(o).alias(n) for o, n in zip(own, names, strict=True)]).distinct()
+        pairs = nearest(asked, read_side_table(df.sparkSession, self.donors), names, self.k, plan=self.plan)
+        votes = (pairs.groupBy("id", "payload").agg(F.count("*").alias("n")).groupBy(F.col("id").alias("__voted"))
+                 .agg(F.min(F.struct(-F.col("n"), F.col("payload"))).alias("__best")))
+        value = F.coalesce(col(self.column), F.col("__best.payload"))
+        return (keyed.join(votes, col(key) == F.col("__voted"), "left")
+                .select(*[value.alias(c) if c == self.column else col(c) for c in df.columns]))
+
+
+@dataclass
+class KnnVoter(Step):
+    """Majority vote of the ``k`` nearest rows that have the text column, per missing value.
+
+    Features are numeric or text columns; a text is placed by its rank among the sorted distinct values of the fitted
+    table. ``key`` settles equal distances, as in ``KnnImputer``.
+    """
+
+    column: str
+    features: Sequence[str]
+    k: int = 5
+    key: str | None = None
+    plan: str = "auto"
+
+    def fit(self, df: DataFrame, target: str | None = None) -> FittedKnnVote:
+        from tabprep.operators.encoding import CategoryMap, category_counts, numbered
+        numeric = numeric_columns(df)
+        numbers = [c for c in self.features if c in numeric]
+        codes = {c: CategoryMap.learn(numbered(category_counts(df, c))) for c in self.features if c not in numeric}
+        fitted = FittedKnnVote(self.column, numbers, codes, self.k, "", self.plan)
+        own = F.monotonically_increasing_id() if self.key is None else col(self.key)
+        names = [f"f{i}" for i in range(len(self.features))]
+        known = df.where(col(self.column).isNotNull()).withColumn("__donor", own)
+        taken = [free_name(f"__{n}", known.columns) for n in names]
+        donors = fitted.placed(known, taken).select(
+            F.col("__donor").alias("id"), *[col(t).alias(n) for t, n in zip(taken, names, strict=True)],
+            col(self.column).alias("payload"))
+        fitted.donors = write_side_table(donors, "donors")
+        return fitted
+
+
 def impute_knn_text(df: DataFrame, key: str, column: str, features: Sequence[str],
                     k: int = 5, plan: str = "auto") -> DataFrame:
-    """Majority vote of the ``k`` nearest donors; features are numeric or text columns, the latter
-    placed by the rank of the value among the sorted distinct values. Smallest value on ties."""
-    from tabprep.operators.encoding import category_codes
-    coded = df
-    spots: list[Column] = []
-    for i, f in enumerate(features):
-        if f in numeric_columns(df):
-            spots.append(number(f).alias(f"f{i}"))
-        else:
-            coded = category_codes(coded, f, f"__code{i}")
-            spots.append(F.col(f"__code{i}").cast("double").alias(f"f{i}"))
-    base = coded.select(col(key).alias("id"), *spots, col(column).alias("payload"))
-    pairs = nearest(base.where(F.col("payload").isNull()).drop("payload"),
-                    base.where(F.col("payload").isNotNull()),
-                    [f"f{i}" for i in range(len(features))], k, plan=plan)
-    votes = (pairs.groupBy("id", "payload").agg(F.count("*").alias("n"))
-             .groupBy(F.col("id").alias("__id"))
-             .agg(F.min(F.struct(-F.col("n"), F.col("payload"))).alias("__best")))
-    value = F.coalesce(col(column), F.col("__best.payload"))
-    return (df.join(votes, col(key) == F.col("__id"), "left")
-            .select(*[value.alias(c) if c == column else col(c) for c in df.columns]))
+    """``KnnVoter`` fitted on this table and applied to it; ``key`` identifies a row."""
+    return KnnVoter(column, features, k, key, plan).fit_transform(df)
 
 
 def fill_in_time(df: DataFrame, time_col: str, tie_col: str, columns: Sequence[str] | None = None,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabprep.functions.joins import salted_join
 from tabprep.functions.columns import any_of, col, is_fractional, is_numeric, replace_columns
 
 #: value of a missing column per family of the expected type
@@ -116,14 +117,11 @@ def binarize_target(df: DataFrame, target: str, threshold: float = 0.5,
     return replace_columns(df, {target: F.when(col(target) >= threshold, 1).otherwise(0)})
 
 
-def keep_valid_classes(df: DataFrame, target: str, min_rows: int = 2,
-                       max_classes: int = 100_000) -> DataFrame:
-    """Rows whose class has at least ``min_rows`` rows.
+def keep_valid_classes(df: DataFrame, target: str, min_rows: int = 2) -> DataFrame:
+    """Rows whose class has at least ``min_rows`` rows, for any number of classes.
 
-    Valid classes come from a map-side combined count; few of them are broadcast, more are joined
-    by key, where the runtime splits hot ones.
+    Valid classes come from a map-side combined count and are joined with salted keys.
     """
-    valid = (df.groupBy(col(target)).agg(F.count("*").alias("__n"))
-             .where((F.col("__n") >= min_rows) & col(target).isNotNull()).select(col(target)))
-    few = valid.limit(max_classes + 1).count() <= max_classes
-    return df.join(F.broadcast(valid) if few else valid, target, "left_semi")
+    valid = (df.groupBy(col(target).alias("__class")).agg(F.count("*").alias("__n"))
+             .where((F.col("__n") >= min_rows) & F.col("__class").isNotNull()).select("__class"))
+    return salted_join(df, valid, [target], ["__class"], "inner")

@@ -51,12 +51,41 @@ def vif_eliminate(spark, sf):
     return C.MulticollinearityReducer(columns=["l_quantity", "twice", "l_tax"]).fit(frame).transform(frame)
 
 
-@query("vif_history")
+def _gram_sql(names, source):
+    """All cross products as ``g_i_j``, in one row."""
+    return ", ".join(f"sum({a} * {b}) AS g{i}{j}" for i, a in enumerate(names) for j, b in enumerate(names) if i <= j)
+
+
+def _det(rows):
+    """Determinant of the Gram matrix of the columns with these numbers, by its first row."""
+    def minor(r, c):
+        if not r:
+            return "1.0::DOUBLE"
+        return "(" + " + ".join(f"{'-' if k % 2 else ''}1 * g{min(r[0], j)}{max(r[0], j)} * {minor(r[1:], c[:k] + c[k + 1:])}"
+                                for k, j in enumerate(c)) + ")"
+    return minor(list(rows), list(rows))
+
+
+def _history_sql(names, rounds):
+    """Inflations of the columns left in each round: Gram minors over the whole Gram determinant."""
+    return " UNION ALL ".join(
+        f"SELECT {r}::INTEGER AS round, '{names[i]}' AS feature, round(g{i}{i} * {_det([j for j in left if j != i])} / {_det(left)}, 3) AS vif FROM g"
+        for r, left in enumerate(rounds) for i in left)
+
+
+_HISTORY = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "net"]
+
+
+@query("vif_history", f"""
+WITH l AS (SELECT l_quantity / 30 AS l_quantity, l_extendedprice / 40000 AS l_extendedprice, l_discount * 20 AS l_discount, l_tax * 25 AS l_tax,
+                  l_extendedprice * (1 - l_discount) / 40000 AS net FROM lineitem),
+     g AS (SELECT {_gram_sql(_HISTORY, 'l')} FROM l)
+{_history_sql(_HISTORY, [[0, 1, 2, 3, 4], [0, 2, 3, 4]])}""")
 def vif_history(spark, sf):
     frame = lines(spark, sf).withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
     model = C.MulticollinearityReducer(vif_threshold=4.0).fit(frame)
     rows = [(i, c, float(v)) for i, step in enumerate(model.history) for c, v in step.items()]
-    return rounded(spark.createDataFrame(rows, "round int, feature string, vif double"))
+    return rounded(spark.createDataFrame(rows, "round int, feature string, vif double"), 3)
 
 
 _GAPS = """(SELECT CASE WHEN l_linenumber <> 3 THEN l_quantity END AS x,

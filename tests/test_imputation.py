@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tabprep.base import Fitted, load_fitted, save_fitted
 from tabprep.functions import neighbours as N
 from tabprep.operators import encoding as EN
-from tabprep.operators.missing import KnnImputer, MissingValueHandler, RegressionImputer, impute_knn, missing_profile
+from tabprep.operators.missing import (
+    KnnImputer, KnnVoter, MissingValueHandler, RegressionImputer, impute_knn, missing_profile)
 from tabprep.plans.chain import FittedChain, StepChain
 from tabprep.sources.storage import discard, fresh_path
 
@@ -95,6 +96,38 @@ def test_knn_strategy_compares_only_columns_with_gaps(spark):
     assert fitted.transform(frame).where("id = 3").first()["x"] == sum(k for k in range(10) if k != 3) / 9
 
 
+@pytest.mark.parametrize("plan", ["auto", "cells"])
+def test_votes_for_another_table(spark, plan):
+    rng = np.random.default_rng(5)
+    kinds, colours = np.array(["ant", "bee", "cat"]), np.array(["blue", "green", "red"])
+    pdf = pd.DataFrame({"id": np.arange(300), "x": rng.integers(0, 12, 300).astype(float), "colour": colours[rng.integers(0, 3, 300)]})
+    pdf["kind"] = kinds[(pdf["x"] // 4).astype(int).to_numpy()]
+    pdf.loc[rng.random(300) < 0.2, "x"] = np.nan
+    pdf.loc[pdf.index % 5 == 0, "kind"] = None
+    rows = lambda p: [tuple(None if v is None or v != v else v for v in r) for r in p.itertuples(index=False)]
+    frame = spark.createDataFrame(rows(pdf), "id long, x double, colour string, kind string")
+    train, other = frame.where("id < 200"), frame.where("id >= 200").union(
+        spark.createDataFrame([(900, 1.0, "mauve", None), (901, None, "mauve", None)], frame.schema))
+    fitted = KnnVoter("kind", ["x", "colour"], 4, "id", plan).fit(train)
+    path = fresh_path(spark, "test-vote")
+    save_fitted(fitted, spark, path)
+    got = {r["id"]: r["kind"] for r in load_fitted(spark, path).transform(other).collect()}
+    donors = [(r["id"], r["x"], float(list(colours).index(r["colour"])), r["kind"]) for r in train.where("kind is not null").collect()]
+    for r in other.collect():
+        if r["kind"] is not None:
+            assert got[r["id"]] == r["kind"]
+            continue
+        place = float(list(colours).index(r["colour"])) if r["colour"] in colours else None
+        far = []
+        for i, x, c, kind in donors:
+            both = [(a - b) ** 2 for a, b in ((r["x"], x), (place, c)) if a is not None and b is not None]
+            if both:
+                far.append((sum(both) * 2 / len(both), i, kind))
+        near = [kind for _, _, kind in sorted(far)[:4]]
+        assert got[r["id"]] == (min(near, key=lambda v: (-near.count(v), v)) if near else None)
+    assert got[901] is None and fitted.transform(other.where("id < 0")).isEmpty()
+
+
 def test_nan_is_missing_everywhere(spark):
     frame = spark.range(1001).select("id", F.when(F.col("id") == 7, F.lit(float("nan"))).otherwise(F.col("id") % 10).alias("x"),
                                      F.when(F.col("id") == 7, F.lit(float("nan"))).otherwise(F.col("id") * 2.0).alias("y"))
