@@ -75,15 +75,20 @@ def unpack_block(payload: bytes, n_docs: int, n_tokens: int) -> tuple[list[int |
 
 
 def _encode(path: str, end_id: int, width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    """Compressed ids of each document, and as last row of a task how often each id occurred in it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end = pa.Codec("zstd", 1), np.array([end_id], f"<u{width}").tobytes()
+        codec, end, counts = pa.Codec("zstd", 1), np.array([end_id], f"<u{width}").tobytes(), np.zeros(0, np.int64)
         encode = word_encoder(path, width).encode
         for batch in in_blocks(batches, 1):
             ids = [encode(x) + end for x in texts_of(batch.column(1))]
+            more = np.bincount(np.frombuffer(b"".join(ids), f"<u{width}"), minlength=len(counts))
+            more[:len(counts)] += counts
+            counts = more
             yield rows_batch(schema, batch.column(0), [len(x) // width for x in ids],
-                             [codec.compress(x, asbytes=True) for x in ids])
+                             [codec.compress(x, asbytes=True) for x in ids], [None] * len(ids))
+        yield rows_batch(schema, [None], [0], [None], [counts.astype("<i8").tobytes()])
     return run
 
 
@@ -91,19 +96,15 @@ def _decompress(n: int, ids: bytes, width: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(ids, n * width, "zstd", asbytes=True), f"<u{width}")
 
 
-def _count(width: int):
+def _count():
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0, np.int64)
         for batch in batches:
-            for n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                more = np.bincount(_decompress(n, ids, width))
-                if len(more) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(len(more) - len(counts), np.int64)])
-                counts[:len(more)] += more
-        seen = np.flatnonzero(counts)
-        yield rows_batch(schema, seen, counts[seen])
+            for raw in batch.column(0).to_pylist():
+                counts = np.frombuffer(raw, "<i8")
+                seen = np.flatnonzero(counts)
+                yield rows_batch(schema, seen, counts[seen])
     return run
 
 
@@ -144,11 +145,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, key: st
     spark, width = docs.sparkSession, id_width(tokenizer_path)
     encoded_path = fresh_path(spark, "token-ids")
     (id_and_text(docs, key, text)
-     .mapInArrow(_encode(tokenizer_path, end_id, width), "doc_id long, n_tokens long, ids binary")
+     .mapInArrow(_encode(tokenizer_path, end_id, width), "doc_id long, n_tokens long, ids binary, counts binary")
      .write.option("compression", "uncompressed").parquet(encoded_path))
-    encoded = spark.read.parquet(encoded_path)
-    counted = (encoded.select("n_tokens", "ids").mapInArrow(_count(width), "id long, n long")
+    stored = spark.read.parquet(encoded_path)
+    counted = (stored.where("counts is not null").select("counts").mapInArrow(_count(), "id long, n long")
                .groupBy("id").agg(F.sum("n").alias("n"))).collect()
+    encoded = stored.where("counts is null").select("doc_id", "n_tokens", "ids")
     ranked = sorted(counted, key=lambda r: (-r.n, r.id))
     rank_of = np.zeros(1 << 16 if width == 2 else max((r.id for r in ranked), default=0) + 1, np.uint32)
     rank_of[[r.id for r in ranked]] = np.arange(len(ranked), dtype=np.uint32)
