@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -16,12 +17,15 @@ from pyspark.sql.window import Window
 from tabprep.base import Fitted, Step, read_side_table, write_side_table
 from tabprep.functions.columns import (
     any_of, as_double, col, flag, free_name, number, numeric_columns, replace_columns)
+from tabprep.functions.hashing import hash_number, hash_text
 from tabprep.functions.math import chi_square_quantile, clip, outside
 from tabprep.functions.moments import profile
 from tabprep.functions.order_stats import quantiles
 from tabprep.sources.storage import stored
 
 METHODS = ("iqr", "zscore", "mahalanobis")
+#: how many numbers ``hash_number`` can give
+_HASHES = float(1 << 52)
 HANDLING = ("flag", "flag_columns", "remove", "clip", "winsorize")
 
 
@@ -237,9 +241,6 @@ def tree_samples(known: DataFrame, rows: int, trees: int, sample: int, seed: int
     higher than needed, and of the rows of a tree those with the smallest hashes for this tree stay. Should a tree get too
     few, which is next to impossible, the chance is doubled.
     """
-    def uniform(*parts) -> Column:
-        return (F.pmod(F.xxhash64("key", F.lit(seed), *parts), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-
     wanted = min(sample, rows)
     chance = (sample + 8 * math.sqrt(sample) + 32) / max(rows, 1)
     while True:
@@ -247,7 +248,8 @@ def tree_samples(known: DataFrame, rows: int, trees: int, sample: int, seed: int
             entries = known.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
         else:
             def gap(j: Column | int) -> Column:
-                return F.floor(F.log(uniform(F.lit(j) if isinstance(j, int) else j)) / F.lit(math.log1p(-chance)))
+                spot = F.concat_ws("#", F.col("key").cast("string"), (F.lit(j) if isinstance(j, int) else j).cast("string"))
+                return F.floor(F.log((hash_number(spot, f"{seed}t") + 0.5) / _HASHES) / F.lit(math.log(1 - chance)))
 
             none = F.array().cast("array<int>")
             # the trees a row enters: each time the number of trees passed over, and the one after them
@@ -260,7 +262,8 @@ def tree_samples(known: DataFrame, rows: int, trees: int, sample: int, seed: int
                     (acc["at"] + 1 + gap(j)).cast("bigint").alias("at"))),
                 lambda acc: acc["found"])
             entries = known.where(gap(1) < trees).withColumn("tree", F.explode(walk))
-        place = F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64("key", "tree", F.lit(seed + 1)), "key"))
+        spot = F.concat_ws("#", F.col("key").cast("string"), F.col("tree").cast("string"))
+        place = F.row_number().over(Window.partitionBy("tree").orderBy(hash_text(spot, f"{seed}s"), "key"))
         drawn = stored(entries.withColumn("r", place).where(F.col("r") <= wanted).select("tree", "v"), "tree-samples")
         full = drawn.groupBy("tree").agg(F.count("*").alias("n")).where(F.col("n") == wanted).count()
         if full == trees or chance >= 1:
@@ -294,20 +297,21 @@ class IsolationForest(Step):
 
         def grow(drawn: pd.DataFrame) -> pd.DataFrame:
             tree = int(drawn["tree"].iloc[0])
-            rng, values = np.random.default_rng([seed, tree]), np.sort(drawn["v"].to_numpy())
+            values = np.sort(drawn["v"].to_numpy())
             out: list[tuple[int, float, float]] = []
-            todo = [(0, len(values), 0, -math.inf)]
+            todo = [(0, len(values), 0, -math.inf, 1)]
             while todo:
-                a, b, level, start = todo.pop()
+                a, b, level, start, node = todo.pop()
                 lo, hi = values[a], values[b - 1]
                 if level >= depth or b - a <= 1 or lo == hi:
                     out.append((tree, start, level + _path_correction(b - a)))
                     continue
-                cut = rng.uniform(lo, hi)
+                digits = hashlib.md5(f"{tree}#{node}{seed}c".encode()).hexdigest()[:13]
+                cut = lo + (int(digits, 16) + 0.5) / _HASHES * (hi - lo)
                 m = a + int(np.searchsorted(values[a:b], cut, side="right"))
                 m = min(max(m, a + 1), b - 1)
-                todo.append((m, b, level + 1, math.nextafter(cut, math.inf)))
-                todo.append((a, m, level + 1, start))
+                todo.append((m, b, level + 1, math.nextafter(cut, math.inf), 2 * node + 1))
+                todo.append((a, m, level + 1, start, 2 * node))
             return pd.DataFrame(out, columns=["tree", "start", "length"])
 
         grown = (tree_samples(known, rows, self.trees, self.sample, seed).groupBy("tree")
@@ -318,7 +322,8 @@ class IsolationForest(Step):
                  .agg(F.sum("delta").alias("delta")).toArrow().to_pandas().sort_values("start"))  # trees x sample rows
         length = steps["delta"].to_numpy().cumsum() / self.trees
         starts = steps["start"].to_numpy()
-        score = np.exp2(-length / max(_path_correction(size), 1e-12))
+        # rounded, so that equal paths that were added up in another order stay equal
+        score = np.round(np.exp2(-length / max(_path_correction(size), 1e-12)), 9)
         if len(starts) < 2:
             return FittedForest(self.column, [], False, mark)
         placed = Bucketizer(splits=[*starts, math.inf], inputCol="v", outputCol="b").transform(known)

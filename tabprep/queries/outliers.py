@@ -160,7 +160,42 @@ def outlier_zscore_pop(spark, sf):
     return auto_outliers(table(spark, sf, "customer"), "c_custkey", ["c_acctbal"], forest=False).flags
 
 
-@query("outlier_isoforest")
+def _hash_sql(text):
+    return f"(('0x' || substr(md5({text}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE"
+
+
+def _path_sql(n):
+    return f"CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2 * (ln({n} - 1) + 0.5772156649015329::DOUBLE) - 2 * ({n} - 1)::DOUBLE / {n} END"
+
+
+def _forest_sql(source, trees=100, sample=256, seed=42, depth=8):
+    """CTEs that end in ``flags(k, flag)``: the forest over ``source(k, v)``, grown level by level and walked by every row."""
+    parts = [
+        f"e AS ({source})", f"c AS (SELECT ln(1 - ({sample} + 8 * sqrt({sample}.0::DOUBLE) + 32) / count(*)) AS lp FROM e)",
+        f"""g AS (SELECT k, v, j, 1 + floor(ln({_hash_sql(f"k::VARCHAR || '#' || j || '{seed}t'")}) / lp) AS step FROM e, c, range(1, {trees + 1}) r(j))""",
+        "a AS (SELECT k, v, sum(step) OVER (PARTITION BY k ORDER BY j) - 1 AS tree FROM g)",
+        f"""r0 AS MATERIALIZED (SELECT tree, 1::BIGINT AS node, v FROM (SELECT k, v, tree::BIGINT AS tree, row_number() OVER (
+              PARTITION BY tree ORDER BY md5(k::VARCHAR || '#' || tree::BIGINT || '{seed}s'), k) AS r FROM a WHERE tree < {trees}) WHERE r <= {sample})""",
+        f"d0 AS (SELECT k, v, t.tree, 1::BIGINT AS node, NULL::DOUBLE AS path FROM e, range({trees}) t(tree))"]
+    for level in range(depth + 1):
+        cut = f"""min(v) + {_hash_sql(f"tree || '#' || node || '{seed}c'")} * (max(v) - min(v))"""
+        leaf = f"n <= 1 OR lo = hi OR {level} = {depth}"
+        parts += [
+            f"q{level} AS MATERIALIZED (SELECT tree, node, count(*) AS n, min(v) AS lo, max(v) AS hi, {cut} AS cut FROM r{level} GROUP BY tree, node)",
+            f"""d{level + 1} AS MATERIALIZED (SELECT d.k, d.v, d.tree, CASE WHEN d.path IS NULL AND NOT ({leaf}) THEN 2 * d.node + (d.v > q.cut)::INT ELSE d.node END AS node,
+                  CASE WHEN d.path IS NOT NULL THEN d.path WHEN {leaf} THEN {level} + {_path_sql('q.n')} END AS path
+                FROM d{level} d LEFT JOIN q{level} q ON d.path IS NULL AND q.tree = d.tree AND q.node = d.node)""",
+            f"""r{level + 1} AS MATERIALIZED (SELECT r.tree, 2 * r.node + (r.v > q.cut)::INT AS node, r.v FROM r{level} r
+                JOIN q{level} q USING (tree, node) WHERE q.n > 1 AND q.lo < q.hi)"""]
+    parts += [
+        f"p AS (SELECT k, round(2.0 ** (-avg(path) / ({_path_sql(sample)})), 9) AS score FROM d{depth + 1} GROUP BY k)",
+        "flags AS (SELECT k, (score > (SELECT quantile_cont(score, 0.95) FROM p))::INTEGER AS flag FROM p)"]
+    return ", ".join(parts)
+
+
+@query("outlier_isoforest", f"""
+WITH {_forest_sql(f"SELECT event_id AS k, value AS v FROM {_EVENTS} WHERE value IS NOT NULL")}
+SELECT event_id, value, user_id, coalesce(flag, 0) AS "value_Outlier_Flag" FROM {_EVENTS} LEFT JOIN flags ON k = event_id""")
 def outlier_isoforest(spark, sf):
     frame = events(spark, sf)
     return IsolationForest("value", "event_id").fit(frame).transform(frame)
@@ -194,7 +229,14 @@ def outlier_auto_winsorize(spark, sf):
     return rounded(auto_outliers(frame, "event_id", forest=False).cleaned)
 
 
-@query("outlier_auto_forest")
+@query("outlier_auto_forest", f"""
+WITH {_forest_sql("SELECT event_id AS k, value AS v FROM events")},
+     b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
+     o AS (SELECT count(*) FILTER (flag = 1 OR value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS n, count(*) AS t
+           FROM events JOIN flags ON k = event_id, b)
+SELECT 'value' AS feature, n AS outliers, round(100.0::DOUBLE * n / t, 2) AS pct_outliers, 'quartiles + forest' AS detection,
+       CASE WHEN 100.0 * n / t < 5 THEN 'rows removed' WHEN 100.0 * n / t <= 15 THEN 'clipped, log1p' ELSE 'scaled by quartiles' END AS handling
+FROM o""")
 def outlier_auto_forest(spark, sf):
     frame = table(spark, sf, "events").select("event_id", "value")
     return auto_outliers(frame, "event_id").report
