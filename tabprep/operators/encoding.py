@@ -342,8 +342,8 @@ class CategoricalEncoder(Step):
     """Picks an encoding per non-numeric column: ordinal if a mapping is given, binary with two
     values, high cardinality above ``max_cardinality`` (None: never), else one-hot; explicit choices win.
 
-    One-hot makes a 0/1 column ``{column}_{value}`` per category up to MAX_ONE_HOT of them, and beyond that one sparse
-    vector column ``{column}_onehot`` with the same places.
+    ``one_hot`` "columns" makes a 0/1 column ``{column}_{value}`` per category, "vector" one sparse vector column
+    ``{column}_onehot`` with the same places, and "auto" columns up to MAX_ONE_HOT categories and a vector beyond.
     """
 
     column_encoding_strategy: Mapping[str, str] = field(default_factory=dict)
@@ -355,12 +355,15 @@ class CategoricalEncoder(Step):
     random_state: int = 42
     two_values_are_binary: bool = True
     one_hot_last: bool = False
+    one_hot: str = "auto"
 
     def __post_init__(self):
         if self.max_cardinality is not None and (not isinstance(self.max_cardinality, int) or self.max_cardinality <= 0):
             raise ValueError("the cardinality limit is a whole number above 0, or None")
         if self.high_cardinality_strategy not in HIGH_CARDINALITY:
             raise ValueError(f"many categories: choose from {HIGH_CARDINALITY}")
+        if self.one_hot not in ("auto", "columns", "vector"):
+            raise ValueError(f"one-hot as {self.one_hot!r} is unknown")
         if self.handle_unknown not in UNKNOWN:
             raise ValueError(f"unknown categories: choose from {UNKNOWN}")
 
@@ -397,13 +400,16 @@ class CategoricalEncoder(Step):
         listed = [c for c, k in kinds.items() if k in ("binary", "onehot")
                   or (k == "ordinal" and c not in self.ordinal_features_map)]
         maps, defaults, vectors = {}, {}, {}
-        values_of = listed_categories(df, [c for c in listed if found[c][1] <= MAX_ONE_HOT])
+        as_vector = [c for c in listed if kinds[c] == "onehot" and (
+            self.one_hot == "vector" or self.one_hot == "auto" and found[c][1] > MAX_ONE_HOT)]
+        columns = [c for c in listed if kinds[c] == "onehot" and c not in as_vector]
+        values_of = listed_categories(df, [c for c in listed if c in columns or found[c][1] <= MAX_ONE_HOT and c not in as_vector])
         for c in listed:
             missing = counted[c][1]
-            if found[c][1] > MAX_ONE_HOT and kinds[c] == "onehot":
+            if c in as_vector:
                 vectors[c] = CategoryVector.learn(df, c, nulls=bool(missing))
                 continue
-            if found[c][1] > MAX_ONE_HOT:  # codes in the order of the values, as a table
+            if found[c][1] > MAX_ONE_HOT and c not in columns:  # codes in the order of the values, as a table
                 maps[c], defaults[c] = CategoryMap.learn(numbered(category_counts(df, c))), float(self.unknown_value)
                 continue
             values = values_of[c]

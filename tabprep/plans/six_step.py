@@ -17,14 +17,14 @@ STEPS = ("missing_handler", "outlier_detector", "log_transformer", "scaler", "en
 
 
 def six_step_chain(ordinal_features_map: Mapping[str, Sequence[str]] | None = None,
-                   iqr_factor: float = 1.5, vif_threshold: float = 5.0) -> StepChain:
+                   iqr_factor: float = 1.5, vif_threshold: float = 5.0, one_hot: str = "auto") -> StepChain:
     settings = (
         MissingValueHandler(drop_high_missing_threshold=0.3, strictly_above=True),
         simple_bounds("iqr", iqr_factor),
         LogSelector(),
         FeatureScaler("standard", in_place=True, min_std=1e-9),
         CategoricalEncoder(ordinal_features_map=ordinal_features_map or {}, max_cardinality=None,
-                           two_values_are_binary=False, one_hot_last=True),
+                           two_values_are_binary=False, one_hot_last=True, one_hot=one_hot),
         MulticollinearityReducer(vif_threshold, max_iter=None, drop_constant_first=True),
     )
     return StepChain(list(zip(STEPS, settings, strict=True)))

@@ -217,7 +217,7 @@ def six_steps_wide(spark, sf):
     """One-hot with a category for each customer: a sparse vector. Counts how often each place of it is set."""
     frame = table(spark, sf, "orders").select(
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("customer"), "o_totalprice")
-    out = six_step_chain().fit(frame).transform(frame)
+    out = six_step_chain(one_hot="vector").fit(frame).transform(frame)
     vector = vector_to_array("customer_onehot", "float32")
     place = F.array_position(vector, F.lit(1.0).cast("float")).cast("int") - 1
     return out.groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.max(F.size(vector)).cast("int").alias("size"))
