@@ -32,6 +32,12 @@ class Fitted(ABC):
     @abstractmethod
     def transform(self, df: DataFrame) -> DataFrame: ...
 
+    @property
+    def costly(self) -> bool:
+        """Whether ``transform`` searches or shuffles. A chain then stores the rows once, as every later fit reads them
+        several times, and each time would do it again."""
+        return False
+
     def to_dict(self) -> dict:
         return {"step": type(self).__name__, "params": dataclasses.asdict(self)}
 

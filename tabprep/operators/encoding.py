@@ -190,6 +190,10 @@ class FittedFrequency(Fitted):
     def restore(cls, params: dict) -> FittedFrequency:
         return cls(params["column"], CategoryMap(**params["shares"]))
 
+    @property
+    def costly(self) -> bool:
+        return self.shares.table is not None
+
     def transform(self, df: DataFrame) -> DataFrame:
         out = self.shares.add(df, text(self.column), "__f")
         return out.select(*[F.col("__f").alias(c) if c == self.column else col(c) for c in df.columns])
@@ -254,6 +258,10 @@ class FittedEncoder(Fitted):
         vectors = {c: CategoryVector(**{**v, "index": CategoryMap(**v["index"])}) for c, v in params["vectors"].items()}
         return cls(**{**params, "maps": maps, "vectors": vectors})
 
+    @property
+    def costly(self) -> bool:
+        return any(m.table is not None for m in [*self.maps.values(), *(v.index for v in self.vectors.values())])
+
     def of_kind(self, kind: str) -> list[str]:
         return [c for c, k in self.kinds.items() if k == kind]
 

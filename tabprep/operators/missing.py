@@ -82,6 +82,10 @@ class FittedKnn(Fitted):
     means: dict
     plan: str = "auto"
 
+    @property
+    def costly(self) -> bool:
+        return True
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Fill every missing value of the columns; they become doubles.
 
@@ -160,6 +164,10 @@ class FittedImputer(Fitted):
     def restore(cls, params: dict) -> FittedImputer:
         return cls(**{**params, "knn": FittedKnn(**params["knn"]) if params.get("knn") else None})
 
+    @property
+    def costly(self) -> bool:
+        return self.knn is not None
+
     def _filled(self, df: DataFrame, c: str) -> Column:
         value = number(c) if c in self.fractional else present(df, c)
         fill = self.fills.get(c)
@@ -286,6 +294,10 @@ class FittedKnnVote(Fitted):
     donors: str
     plan: str = "auto"
 
+    @property
+    def costly(self) -> bool:
+        return True
+
     @classmethod
     def restore(cls, params: dict) -> FittedKnnVote:
         from tabprep.operators.encoding import CategoryMap

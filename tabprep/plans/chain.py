@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tabprep.base import Fitted, Step, load_fitted, save_fitted
 from tabprep.operators.schema import align_raw, finalize_output
+from tabprep.sources.storage import stored
 
 
 @dataclass
@@ -64,7 +65,11 @@ class FittedChain(Fitted):
 @dataclass
 class StepChain(Step):
     """Fit each step on the output of the ones before it. The target stays in the rows but no step
-    uses it as a feature."""
+    uses it as a feature.
+
+    A step that is cheap to apply stays lazy: later fits read through it. After one that searches or shuffles (``costly``)
+    the rows are stored, unless it is the last; the fitted chain itself never stores anything.
+    """
 
     steps: Sequence[tuple[str, Step]]
     check_rows: bool = True
@@ -75,9 +80,11 @@ class StepChain(Step):
             raise ValueError("there are no rows to fit")
         target_here = target if target in df.columns else None
         current, fitted = df, {}
-        for name, step in self.steps:
+        for place, (name, step) in enumerate(self.steps, 1):
             fitted[name] = step.fit(current, target_here)
             current = fitted[name].transform(current)
+            if fitted[name].costly and place < len(self.steps):
+                current = stored(current, "chain")
             if self.check_rows and getattr(step, "handling", "") == "remove" \
                     and current.isEmpty():
                 raise ValueError(f"no rows are left after step {name!r}")

@@ -256,17 +256,15 @@ def custom_steps(spark, sf):
     return rounded(FittedChain.load(spark, path).transform(frame))
 
 
-# two columns of equal weight after scaling: their sum and difference are the principal axes, whatever their correlation
+# two columns of equal weight after scaling that rise together: the first principal axis is their sum
 @query("custom_steps_features", """
-WITH s AS (SELECT (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS q,
-                  (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER () AS e,
-                  l_discount AS d, l_returnflag AS y FROM lineitem),
-     c AS (SELECT sign(avg(q * e)) AS c FROM s)
-SELECT round((q + c * e) / sqrt(2.0::DOUBLE), 6) AS "PC_1", y FROM s, c""")
+WITH l AS (SELECT l_quantity AS q, l_extendedprice + 5000 * l_quantity AS e, l_returnflag AS y FROM lineitem),
+     s AS (SELECT (q - avg(q) OVER ()) / stddev_pop(q) OVER () AS q, (e - avg(e) OVER ()) / stddev_pop(e) OVER () AS e, y FROM l)
+SELECT round((q + e) / sqrt(2.0::DOUBLE), 6) AS "PC_1", y FROM s""")
 def custom_steps_features(spark, sf):
     """Fill, scale, select by variance, principal axis: from settings alone, saved and loaded."""
     frame = table(spark, sf, "lineitem").select(
-        F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("e"), F.col("l_discount").alias("d"),
+        F.col("l_quantity").alias("q"), (F.col("l_extendedprice") + F.col("l_quantity") * 5000).alias("e"), F.col("l_discount").alias("d"),
         F.col("l_returnflag").alias("y"))
     steps = options_from({
         "missing": {"step": "MissingValueHandler", "numeric_strategy": "mean"},

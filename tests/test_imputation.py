@@ -12,8 +12,10 @@ from tabprep.functions import neighbours as N
 from tabprep.operators import encoding as EN
 from tabprep.operators.missing import (
     KnnImputer, KnnVoter, MissingValueHandler, RegressionImputer, impute_knn, missing_profile)
+from tabprep.operators.outliers import OutlierDetector
+from tabprep.operators.scaling import FeatureScaler
 from tabprep.plans.chain import FittedChain, StepChain
-from tabprep.sources.storage import discard, fresh_path
+from tabprep.sources.storage import discard, fresh_path, stored
 
 
 def brute(donors, rows, columns, k):
@@ -78,6 +80,23 @@ def test_knn_strategy_in_a_saved_chain(spark, tables):
     assert report["a"]["method"] == "knn"
 
 
+def test_a_chain_searches_neighbours_once(spark, tables, monkeypatch):
+    """Later fits read the stored rows; the fitted chain stays lazy and gives the same as its steps one by one."""
+    from tabprep.plans import chain as C
+    kept = []
+    monkeypatch.setattr(C, "stored", lambda df, label: kept.append(label) or stored(df, label))
+    train = spark_frame(spark, tables[0], False)
+    steps = [("missing", MissingValueHandler("knn", knn_neighbors=3, key="id")), ("scale", FeatureScaler(columns=["a"], in_place=True)),
+             ("outliers", OutlierDetector(columns=["a"]))]
+    fitted = StepChain(steps).fit(train)
+    assert kept == ["chain"]
+    one = MissingValueHandler("knn", knn_neighbors=3, key="id").fit_transform(train)
+    two = FeatureScaler(columns=["a"], in_place=True).fit(one)
+    assert two.centers["a"] == pytest.approx(fitted.steps["scale"].centers["a"])
+    assert StepChain(steps[:1]).fit(train).steps["missing"].costly and len(kept) == 1
+    assert StepChain(steps[1:]).fit(one) and len(kept) == 1
+
+
 def test_knn_without_key_features_or_rows(spark, tables):
     train = spark_frame(spark, tables[0], False)
     filled = KnnImputer(["a"], ["b c", "d.e"], 3).fit_transform(train)
