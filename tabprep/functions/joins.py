@@ -22,7 +22,9 @@ def salted_join(rows: DataFrame, table: DataFrame, keys: Sequence[str | Column],
     ``table`` has one row for each key and its columns do not occur in ``rows``; the key columns of the table go.
     """
     whole = [col(f.name) for f in rows.schema if not isinstance(f.dataType, (T.MapType, T.VariantType, T.UserDefinedType))]
-    salted = table.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # a cross join, as Spark counts its copies when it chooses whether the table goes to every task; it ignores an explode
+    copies = rows.sparkSession.range(SALTS).select(F.col("id").cast("int").alias("__copy"))
+    salted = table.crossJoin(F.broadcast(copies))
     exprs = [col(k) if isinstance(k, str) else k for k in keys]
     keyed = rows.withColumns({f"__key{i}": k for i, k in enumerate(exprs)}
                              | {"__salt": F.pmod(F.xxhash64(*whole), F.lit(SALTS)).cast("int")})
