@@ -8,9 +8,11 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabprep.base import Fitted, Step, read_side_table, write_side_table
@@ -154,15 +156,17 @@ class CategoryVector:
         """``df`` with the vector ``out``; ``check`` may raise on the place of a row (NULL if it has none)."""
         place = free_name("__place", df.columns)
         coded = self.index.add(df, text(c), place)
-        width = self.size - self.first
+        width = max(self.size - self.first, 1)
         if self.nulls:
             coded = coded.withColumn(place, F.when(col(c).isNull(), F.lit(float(self.size - 1))).otherwise(col(place)))
-        moved = check(col(place)) - F.lit(float(self.first))
-        # a place beyond the last is an invalid one, which the encoder keeps as zeros
-        coded = coded.withColumn(place, F.when(moved >= 0, moved).otherwise(F.lit(float(max(width, 1)))))
-        encoder = OneHotEncoder(inputCols=[place], outputCols=[out], dropLast=True, handleInvalid="keep")
-        model = encoder.fit(df.sparkSession.createDataFrame([(float(max(width, 1) - 1),)], f"{place} double"))
-        return model.transform(coded).drop(place)
+        moved = (check(col(place)) - F.lit(float(self.first))).cast("int")
+        # the vector by its parts: the encoder of Spark ML holds a name for each place, several times, on the driver. A
+        # struct cannot be cast to a vector, but JSON text is read as one
+        one = F.array_compact(F.array(F.when((moved >= 0) & (moved < width), moved)))
+        parts = F.struct(F.lit(0).alias("type"), F.lit(width).alias("size"), one.alias("indices"),
+                         F.transform(one, lambda _: F.lit(1.0)).alias("values"))
+        read = F.from_json(F.to_json(F.struct(parts.alias("v"))), T.StructType([T.StructField("v", VectorUDT())]))
+        return coded.withColumn(out, read["v"].alias(out, metadata={"ml_attr": {"num_attrs": width}})).drop(place)
 
 
 def encode_dummies(df: DataFrame, c: str, drop_first: bool = True) -> DataFrame:

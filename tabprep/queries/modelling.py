@@ -1,6 +1,5 @@
 """Training, scoring, metrics, whole preparations."""
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabprep.operators import evaluation as E
@@ -218,9 +217,9 @@ def six_steps_wide(spark, sf):
     frame = table(spark, sf, "orders").select(
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("customer"), "o_totalprice")
     out = six_step_chain(one_hot="vector").fit(frame).transform(frame)
-    vector = vector_to_array("customer_onehot", "float32")
-    place = F.array_position(vector, F.lit(1.0).cast("float")).cast("int") - 1
-    return out.groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.max(F.size(vector)).cast("int").alias("size"))
+    vector = F.unwrap_udt("customer_onehot")  # its sparse parts: an array would hold a number for each customer in each row
+    place = F.coalesce(F.get(vector["indices"], F.lit(0)), F.lit(-1))
+    return out.groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.max(vector["size"]).alias("size"))
 
 
 @query("six_steps_subset", _six_sql(_KINDS).rsplit("SELECT round((lv", 1)[0] + f"""

@@ -1,10 +1,11 @@
-"""Tables with very many keys stay off the driver."""
+"""Tables with very many keys and vectors with very many places stay off the driver."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tabprep.functions.joins import salted_join
+from tabprep.operators.encoding import CategoryVector
 from tabprep.sources.storage import stored
 
 
@@ -15,3 +16,14 @@ def test_the_copies_of_a_side_table_count_before_it_is_broadcast(spark):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
     assert joined.agg(F.count("*"), F.sum("v")).first()[:] == (1_000, 1_000.0)
+
+
+def test_a_wide_vector_has_no_name_for_each_place(spark):
+    df = spark.range(3_000).select("id", F.when(F.col("id") > 0, F.format_string("k%04d", F.col("id"))).alias("c"))
+    out = CategoryVector.learn(df, "c", nulls=True).add(df, "c", "v")
+    assert len(out.schema["v"].metadata["ml_attr"]) == 1 and out.schema["v"].metadata["ml_attr"]["num_attrs"] == 3_000
+    got = {r["id"]: r["v"] for r in out.select("id", "v").where("id % 500 = 0").collect()}
+    assert {i: (v.size, v.indices.tolist(), v.values.tolist()) for i, v in got.items()} == {
+        i: (3_000, [i - 1 if i else 2_999], [1.0]) for i in range(0, 3_000, 500)}
+    unseen = CategoryVector.learn(df, "c").add(spark.createDataFrame([("x",), (None,)], "c string"), "c", "v")
+    assert [(r["v"].size, r["v"].indices.tolist()) for r in unseen.collect()] == [(2_999, []), (2_999, [])]
