@@ -56,25 +56,34 @@ def order_text(df: DataFrame, name: str) -> Column:
     return F.lpad(F.hex(whole.bitwiseXOR(F.lit(_SIGN))), 16, "0")
 
 
-def select_ranks(keys: DataFrame, wanted: DataFrame) -> DataFrame:
+def select_ranks(keys: DataFrame, wanted: DataFrame, most: int | None = None) -> DataFrame:
     """``g, rank, k, place, equal``: the key at every wanted 0-based rank of its group.
 
     ``keys`` has the group ``g`` and the order text ``k`` (NULLs are left out), ``wanted`` has ``g`` and ``rank``. ``equal``
-    rows of the group have this key, and the rank is number ``place`` among them. Ranks beyond a group are left out.
+    rows of the group have this key, and the rank is number ``place`` among them. Ranks beyond a group are left out. ``most``
+    is the number of rows of the largest group, if the caller knows it.
     """
     rows = keys.where(F.col("k").isNotNull()).select("g", "k").withColumn("prefix", F.lit(""))
-    ends = (rows.groupBy("g").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
-            .agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first())
-    low, high, most = ends["lo"] or "", ends["hi"] or "", ends["n"] or 0
-    done = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    if most is None:
+        most = rows.groupBy("g").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    common = ""
+    if most > FINISH_ROWS:
+        ends = rows.agg(F.min("k").alias("lo"), F.max("k").alias("hi")).first()
+        common = os.path.commonprefix([ends["lo"], ends["hi"]])
+    done = len(common)
     active = wanted.select("g", F.col("rank").cast("bigint").alias("rank"), F.col("rank").cast("bigint").alias("left"),
                            F.lit("").alias("prefix"))
     found: list[DataFrame] = []
     scratch: list[str] = []
     while True:
-        chunk = F.substring("k", done + 1, DIGITS if most > FINISH_ROWS else (1 << 31) - 1)
-        counts = rows.groupBy("g", "prefix", chunk.alias("chunk")).agg(
-            F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+        last = most <= FINISH_ROWS
+        chunk = F.substring("k", done + 1, (1 << 31) - 1 if last else DIGITS)
+        counts = rows.groupBy("g", "prefix", chunk.alias("chunk"))
+        if last:  # all digits are known: the least and greatest text of strings would be a sort of all rows
+            key = F.concat(F.lit(common), "prefix", "chunk")
+            counts = counts.agg(F.count("*").alias("n")).withColumns({"lo": key, "hi": key})
+        else:
+            counts = counts.agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
         # at most 16 ** DIGITS or FINISH_ROWS rows in a window
         ahead = F.sum("n").over(Window.partitionBy("g", "prefix").orderBy("chunk")) - F.col("n")
         placed = counts.withColumn("ahead", ahead).withColumnsRenamed({"g": "__g", "prefix": "__prefix"})
@@ -159,7 +168,7 @@ def quantile_table(df: DataFrame, column: str, by: Sequence[Column], probs: Sequ
     low = F.floor("spot").cast("bigint")
     spots = stored(spots.withColumn("low", low).withColumn("high", F.least(F.col("n") - 1, low + 1)), "spots")
     ranks = spots.select("g", F.explode(F.array("low", "high")).alias("rank")).distinct()
-    cuts = select_ranks(keys, ranks)
+    cuts = select_ranks(keys, ranks, spots.agg(F.max("n")).first()[0] or 0)
     at = cuts.select("g", "rank", _value_of(F.col("k")).alias("v"))
     pick = spots
     for side in ("low", "high"):

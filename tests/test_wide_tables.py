@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tabprep.functions import selection
 from tabprep.functions.joins import salted_join
 from tabprep.operators.encoding import CategoryVector
 from tabprep.sources.storage import stored
@@ -27,3 +29,16 @@ def test_a_wide_vector_has_no_name_for_each_place(spark):
         i: (3_000, [i - 1 if i else 2_999], [1.0]) for i in range(0, 3_000, 500)}
     unseen = CategoryVector.learn(df, "c").add(spark.createDataFrame([("x",), (None,)], "c string"), "c", "v")
     assert [(r["v"].size, r["v"].indices.tolist()) for r in unseen.collect()] == [(2_999, []), (2_999, [])]
+
+
+def test_groups_that_fit_a_window_are_counted_without_sorting_texts(spark, monkeypatch):
+    rows = spark.range(4_000).select(F.struct((F.col("id") % 40).alias("c")).alias("g"),
+                                     (F.col("id") * 37 % 401).cast("double").alias("x"))
+    plans = []
+    monkeypatch.setattr(selection, "stored", lambda df, label="table": plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or stored(df, label))
+    found = selection.quantile_table(rows.select("g.c", "x"), "x", [F.col("c")], [0.25, 0.5]).collect()
+    assert not any("SortAggregate" in p for p in plans)
+    for r in found:
+        values = [i * 37 % 401 for i in range(r["g"]["c"], 4_000, 40)]
+        assert r["n"] == 100 and [r["q0"], r["q1"]] == list(np.quantile(values, [0.25, 0.5]))
