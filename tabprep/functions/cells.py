@@ -188,7 +188,8 @@ def cell_tree(points: DataFrame, features: Sequence[str], counted: Sequence[str]
             return rows[placed_schema.names]
 
         placed_schema = placed.schema
-        placed = stored(with_cell_tables(placed, plans, descend, placed_schema), "cells")
+        # points of a cell side by side, since each batch of a later task handles its cells one by one
+        placed = stored(with_cell_tables(placed, plans, descend, placed_schema).sortWithinPartitions("cell"), "cells")
         depth += 1
     boxes = levels[0]
     for level in levels[1:]:

@@ -42,3 +42,12 @@ def test_groups_that_fit_a_window_are_counted_without_sorting_texts(spark, monke
     for r in found:
         values = [i * 37 % 401 for i in range(r["g"]["c"], 4_000, 40)]
         assert r["n"] == 100 and [r["q0"], r["q1"]] == list(np.quantile(values, [0.25, 0.5]))
+
+
+def test_points_of_a_cell_lie_side_by_side(spark, monkeypatch):
+    from tabprep.functions import cells
+    monkeypatch.setattr(cells, "ROWS_PER_CELL", 100)
+    points = spark.range(4_000).select("id", (F.col("id") * 37 % 401).cast("double").alias("x")).coalesce(2)
+    placed, _, depth = cells.cell_tree(points, ["x"])
+    runs = placed.select("cell", F.input_file_name().alias("file")).toPandas()
+    assert depth and all(part["cell"].is_monotonic_increasing for _, part in runs.groupby("file"))
