@@ -349,6 +349,37 @@ def test_text_that_repeats_on_a_host_stays(spark):
     assert {r.host for r in template.select("host").distinct().collect()} == {"large.example", "bare.example"}
 
 
+def test_templates_are_ordered_and_nested():
+    """Tokens that change their order leave a class, and a class that lies neither in nor around another one crosses it."""
+    cells = [16 * k for k in range(1, 9)]
+    a, b, c, x, y, z = cells[:6]
+    classes, held = np.array([1, 1, 1, 2, 2], np.int64), np.array([a, b, c, x, y], np.int64)
+    page_of = lambda *numbers: np.array(numbers, np.uint64)
+    assert html.out_of_order(classes, held, page_of(a, x, y, x, y, b, z, c)) == []
+    assert {k for k, in html.out_of_order(classes, held, page_of(a, x, c, y, b))} == {b, c}
+    assert {k for k, in html.out_of_order(classes, held, page_of(a, x, x, y, y, b, c))} == {x, y}
+    assert html.crossings(classes, held, page_of(a, x, y, x, y, b, c)) == []
+    assert html.crossings(classes, held, page_of(x, a, b, c, y)) == []
+    assert html.crossings(classes, held, page_of(a, x, b, y, c)) == [(1, 2)]
+
+
+def test_extraction_goes_through_the_template(spark, monkeypatch):
+    """The query's rows are cut at the tokens of the host's template, or of all pages' on small hosts; slots keep every text."""
+    rows = [(k, f"http://h{k // 18}.example/{k}", page(k, f"body {k}")) for k in range(22)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.host: {x.token & 0xFFFFFFFFFFFFFFFF for x in r.members} for r in html._templates(frame.select("url", "html")).collect()}
+    assert set(found) == {"h0.example", None}
+    for host in found:
+        cut = html.slots(rows[3][2], found[host])
+        assert len(cut) > 10
+        article = [" ".join(t for _, inside, t in texts if inside).split() for _, texts in cut]
+        assert article.count(["Head", "&", "3"]) == 1 and sum(article, []) == "Head & 3 body 3 second line".split()
+    taken = []
+    monkeypatch.setattr(html, "_templates", lambda pages: taken.append(pages) or spark.createDataFrame(
+        [], "host string, members array<struct<few:long,small:long,class_id:long,place:long,token:long>>"))
+    assert html.main_texts(frame).count() == 22 and len(taken) == 1
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 16))
