@@ -34,6 +34,10 @@ from tabprep.sources.storage import stored
 WORDS, CLASSES, SIDE, HIDDEN = 191, 64, 2, 32
 VOCABULARY = WORDS + CLASSES + 1  # the last: beyond the document's ends
 OUTSIDE = VOCABULARY - 1
+#: Sums of exponentials above this lose no digits to numbers that are too small for single precision.
+LEAST_TOTAL = 1e-25
+#: Tokens that are scored together; their logits stay in a processor's cache.
+SCORED = 512
 #: Words whose counts are sent to every task (16 bytes each). A memory setting, without effect on scores.
 SENT_WORDS = 200_000
 
@@ -107,6 +111,7 @@ class Network:
         rng = np.random.default_rng(seed)
         self.parts = parts or [rng.normal(0, 0.3, (2 * SIDE, VOCABULARY, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32),
                                rng.normal(0, 0.1, (HIDDEN, VOCABULARY)).astype(np.float32), np.zeros(VOCABULARY, np.float32)]
+        self._logits = np.empty((0, VOCABULARY), np.float32)
 
     @classmethod
     def read(cls, raw: bytes) -> Network:
@@ -120,41 +125,58 @@ class Network:
     def write(self) -> bytes:
         return np.concatenate([p.reshape(-1) for p in self.parts]).astype(np.float32).tobytes()
 
-    def _forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _forward(self, around: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hidden units, each row's own logit, the exponentials of all logits and their sums.
+
+        The exponentials are in a buffer that the next call uses again. Logits are shifted by the largest of their row only
+        if exponentials leave the range of their type without.
+        """
         tables, bias, out, out_bias = self.parts
-        hidden = tables[0][around[:, 0]] + bias
+        units = tables[0].take(around[:, 0], 0)
+        units += bias
         for k in range(1, 2 * SIDE):
-            hidden += tables[k][around[:, k]]
-        np.maximum(hidden, 0, out=hidden)
-        logits = hidden @ out
-        logits += out_bias
-        logits -= logits.max(1, keepdims=True)
-        return hidden, logits
+            units += tables[k].take(around[:, k], 0)
+        hidden = np.ones((len(around), HIDDEN + 1), out.dtype)  # the last column meets the bias
+        np.maximum(units, 0, out=hidden[:, :HIDDEN])
+        if len(self._logits) < len(around) or self._logits.dtype != out.dtype:
+            self._logits = np.empty((len(around), VOCABULARY), out.dtype)
+        for shifted in (False, True):
+            logits = np.matmul(hidden, np.concatenate([out, out_bias[None]]), out=self._logits[:len(around)])
+            if shifted:
+                logits -= logits.max(1, keepdims=True)
+            own = logits[np.arange(len(ids)), ids]
+            with np.errstate(over="ignore", under="ignore"):
+                np.exp(logits, out=logits)
+                total = logits @ np.ones(VOCABULARY, logits.dtype)
+            if total.min(initial=1) > LEAST_TOTAL and np.isfinite(total).all():
+                break
+        return hidden[:, :HIDDEN], own, logits, total
 
     def log_probabilities(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        _, logits = self._forward(around)
-        own = logits[np.arange(len(ids)), ids]
-        np.exp(logits, out=logits)
-        return own - np.log(logits.sum(1))
+        _, own, _, total = self._forward(around, ids)
+        return own - np.log(total)
 
     def step(self, around: np.ndarray, ids: np.ndarray, rate: float) -> None:
         """One gradient step on the mean negative log-likelihood of the batch."""
         tables, bias, out, out_bias = self.parts
-        hidden, p = self._forward(around)
+        hidden, _, p, total = self._forward(around, ids)
         n = len(ids)
-        np.exp(p, out=p)
-        p *= np.float32(rate / n) / p.sum(1, keepdims=True)
-        p[np.arange(n), ids] -= np.float32(rate / n)
-        back = (p @ out.T) * (hidden > 0)
-        out -= hidden.T @ p
-        out_bias -= p.sum(0)
+        # The gradient's rows are (p - total at the word) times rate / n / total; that factor goes to the narrow matrices.
+        p[np.arange(n), ids] -= total
+        factor = (rate / n / total).astype(p.dtype)
+        back = p @ out.T
+        back *= hidden > 0
+        back *= factor[:, None]
+        out -= (hidden * factor[:, None]).T @ p
+        out_bias -= factor @ p
         bias -= back.sum(0)
-        # All tables are one: a row for each window place and token; sums over the rows that are met.
+        # All tables are one: a row for each window place and token; sums over the rows that are met, two numbers at a time.
         rows = (around + VOCABULARY * np.arange(2 * SIDE)).T.reshape(-1).astype(np.uint16)
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        tables.reshape(-1, HIDDEN)[rows[first]] -= np.add.reduceat(back[order % n], first, axis=0)
+        pairs = back.view(np.result_type(back.dtype, np.complex64)).take(order % n, 0)
+        tables.reshape(-1, HIDDEN)[rows[first]] -= np.add.reduceat(pairs, first, axis=0).view(back.dtype)
 
 
 def _train(words: np.ndarray, start: bytes, rate: float, batch_tokens: int):
@@ -224,8 +246,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
             hashes, counts = word_hashes(*text_bytes(batch.column(1)))
             ids = class_ids(hashes, words)
             around, each = windows(ids, counts), np.zeros(len(ids) + 1)
-            for at in range(0, len(ids), 4096):
-                each[at:at + 4096][:len(ids) - at] = network.log_probabilities(around[at:at + 4096], ids[at:at + 4096])
+            for at in range(0, len(ids), SCORED):
+                each[at:at + SCORED][:len(ids) - at] = network.log_probabilities(around[at:at + SCORED], ids[at:at + SCORED])
             shared = np.flatnonzero(ids >= WORDS)
             found = np.minimum(np.searchsorted(sent, hashes[shared]), max(len(sent) - 1, 0))
             known = sent[found] == hashes[shared] if len(sent) else np.zeros(len(shared), bool)

@@ -433,6 +433,22 @@ def test_gradient():
         part[at] += 1e-5
 
 
+def test_large_logits_are_shifted():
+    """Exponentials beyond single precision: probabilities and steps are those of double precision, and stay finite."""
+    rng = np.random.default_rng(3)
+    around, ids = rng.integers(0, pseudo_lm.VOCABULARY, (700, 4)), rng.integers(0, pseudo_lm.VOCABULARY, 700)
+    for shift in (0, 200, -200):
+        network, exact = pseudo_lm.Network(), pseudo_lm.Network()
+        network.parts[3] += np.float32(shift)
+        exact.parts = [p.astype(np.float64) for p in network.parts]
+        for at in (slice(0, 700), slice(0, 40), slice(0, 0)):
+            got, want = (x.log_probabilities(around[at], ids[at]) for x in (network, exact))
+            assert got == pytest.approx(want, abs=1e-4)
+        network.step(around, ids, 0.5)
+        exact.step(around, ids, 0.5)
+        assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(network.parts, exact.parts))
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = np.random.default_rng(9)
     texts = {k: " ".join(f"v{x}" for x in rng.integers(0, 900, 90)) for k in range(12)}
