@@ -130,7 +130,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray, limit
 def _trailing_bytes(x: np.ndarray) -> np.ndarray:
     """Number of zero bytes below the lowest that is not zero."""
     lowest = x & (~x + np.uint64(1))
-    return (np.log2(np.maximum(lowest, np.uint64(1)).astype(np.float64)) // 8).astype(np.int64)
+    exponent = (np.maximum(lowest, np.uint64(1)).astype(np.float64).view(np.int64) >> 52) - 1023  # of a power of two
+    return exponent >> 3
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -227,6 +228,13 @@ def _runs(docs: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray
     return docs[first], places[first], places[last] + length if len(docs) else places
 
 
+def _in_order(frame: pd.DataFrame, length: int) -> bool:
+    """Whether the windows of the stretches, one stretch after the other, stand in ascending order of doc and place."""
+    docs, starts = frame["doc"].to_numpy(), frame["start"].to_numpy().astype(np.int64)
+    ends = starts + frame["bytes"].str.len().to_numpy().astype(np.int64) - length + 1
+    return bool(((docs[1:] > docs[:-1]) | (docs[1:] == docs[:-1]) & (starts[1:] >= ends[:-1])).all())
+
+
 def _shard(length: int):
     """Windows of a shard that an earlier place of the shard has too; and, for spread anchors, what stays."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -240,11 +248,15 @@ def _shard(length: int):
         docs, places, new, at, text = _classes(frame["doc"].to_numpy(), frame["start"].to_numpy().astype(np.int64), list(frame["bytes"]), length)
         if not len(docs):
             return pd.DataFrame({"doc": [], "low": [], "high": [], "piece": [], "strings": [], "places": []})
-        group = np.cumsum(new) - 1
-        order = np.lexsort((places, docs, group))
-        earliest = order[np.flatnonzero(new)]
-        later = np.ones(len(docs), bool)
-        later[earliest] = False
+        first = np.flatnonzero(new)
+        if _in_order(frame, length):  # then a place is earlier if it is in the joined text
+            least = np.minimum.reduceat(at, first)
+            later = at != np.repeat(least, np.diff(np.append(first, len(at))))
+            earliest = np.flatnonzero(~later)
+        else:
+            earliest = np.lexsort((places, docs, np.cumsum(new)))[first]
+            later = np.ones(len(docs), bool)
+            later[earliest] = False
         d, a, b = _runs(docs[later], places[later], length)
         out.append(pd.DataFrame({"doc": d, "low": a, "high": b, "piece": None, "strings": None, "places": None}))
         if frame["spread"].iloc[0]:

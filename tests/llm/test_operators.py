@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -433,6 +434,23 @@ def test_gradient():
         part[at] += 1e-5
 
 
+def test_shard_of_ordered_stretches(monkeypatch):
+    """Bytes that an earlier window covers, as by brute force, from the joined text's order and from sorted places."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 99, 60).astype(np.uint8).tobytes() for _ in range(12)]
+    rows = [(k, a, t[a:a + 40]) for k, t in enumerate(texts + texts[:4]) for a in (0, 33)]
+    frame = pd.DataFrame(rows, columns=["doc", "start", "bytes"]).assign(spread=False, parts=1, anchor=1)
+    assert suffix._in_order(frame, 8) and not suffix._in_order(frame.assign(start=0), 8)
+    seen, want = {}, set()
+    for doc, start, window in sorted((d, a + i, b[i:i + 8]) for d, a, b in rows for i in range(len(b) - 7)):
+        if seen.setdefault(window, (doc, start)) != (doc, start):
+            want |= {(doc, start + i) for i in range(8)}
+    for ordered in (True, False):
+        monkeypatch.setattr(suffix, "_in_order", lambda *_, ordered=ordered: ordered)
+        found = suffix._shard(8)(frame.sample(frac=1, random_state=1))
+        assert {(d, i) for d, a, b in zip(found["doc"], found["low"], found["high"]) for i in range(a, b)} == want
+
+
 def test_large_logits_are_shifted():
     """Exponentials beyond single precision: probabilities and steps are those of double precision, and stay finite."""
     rng = np.random.default_rng(3)
