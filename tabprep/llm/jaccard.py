@@ -8,13 +8,16 @@ the search.
 Candidates are verified by fragments: the order is cut into ranges, a task counts for each pair the overlap inside each
 range, adds the counts up, and gives up a pair once the ranges that are left cannot make up for what is missing.
 
-Two linked sets also share a known number of indexed n-grams, so pairs that share fewer are never verified.
-
-Links are found in two steps, so that a group of near copies never gives all its pairs. In rounds, every class is
-compared with one centre of each n-gram it shares, which is one pair for a class and an n-gram, while the rest would give
-many more pairs than that and rounds still find links. Then only classes that are not yet in one component, but share
-enough indexed n-grams, are compared. Any link between components is among these, so the components are exact however
-many rounds went before.
+The first n-gram that two linked sets share cannot stand late in either: where all that precede it are missing from the
+other set, too few are left. Only pairs with a shared n-gram early enough for their two sizes are ever made; of the smaller
+set these are the inner part of its indexed n-grams. Two linked sets also share a known number of indexed n-grams, so
+pairs that share fewer are never verified.
+
+Links are found in two steps, so that a group of near copies never gives all its pairs. In rounds, the classes of each
+n-gram that gives many more pairs than rows are compared with a few centres among them, at most ``CENTRES`` or so however
+many hold it, as long as rounds leave markedly fewer pairs. Then only classes that are not yet in one component, but
+share an n-gram early enough, are compared. Any link between components is among these, so the components are exact
+however many rounds went before.
 """
 
 from __future__ import annotations
@@ -41,9 +44,11 @@ FRAGMENTS = 16
 BROADCAST_IDS = 2_000_000
 #: Mean numbers of texts, and of their bytes, in a bucket whose pairs with another bucket one cell verifies.
 BUCKET_TEXTS, BUCKET_BYTES = 1_000, 4 << 20
-#: Rounds end when comparing the rest takes at most so many join rows for each row of the index, or when a round finds
-#: less than this share of all links. Both only weigh two exact ways against each other.
-ROWS_EACH, FEW_LINKS = 8, 0.2
+#: An n-gram is crowded if its inner rows give more pairs between components than this for each row; a round compares a row
+#: with as many centres as make a ``CROWDED``-th of these pairs, at most ``CENTRES`` on average. Rounds end when crowded
+#: n-grams have fewer pairs than the index has rows, or when a round leaves more than this share of them. All of it only
+#: weighs two exact ways against each other.
+CROWDED, CENTRES, LEFT = 4, 16, 0.5
 
 
 def _shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,21 +183,54 @@ def _check(pairs: DataFrame, texts: DataFrame, width: int, p: int, q: int) -> Da
                   .mapInArrow(_verified(width, p, q), "a long, b long"), "verified")
 
 
-def _fewest_shared(n: str, m: str, p: int, q: int) -> Column:
+def _overlap(n: str, m: str, p: int, q: int) -> Column:
+    """How many n-grams two linked sets of n and m n-grams share at least."""
+    return F.ceil(p * (F.col(n) + F.col(m)) / F.lit(p + q))
+
+
+def _early(p: int, q: int) -> Column:
+    """Whether sets of n and m n-grams can link if the first one that they share stands at ``place`` and ``at``."""
+    needed = _overlap("n", "m", p, q)
+    return ((F.least("n", "m") * q >= F.greatest("n", "m") * p) & (F.col("place") <= F.col("n") - needed)
+            & (F.col("at") <= F.col("m") - needed))
+
+
+def _fewest_shared(p: int, q: int) -> Column:
     """How many indexed n-grams two linked sets of n and m n-grams share at least.
 
-    They share o = ceil(p (n + m) / (p + q)) n-grams, so n - o of the one set are not in the other. Of the set whose
-    indexed part ends first in the order, all indexed n-grams but those stand in the other's indexed part.
+    Of the o n-grams that they share, n - o of the one set are not in the other. Of the set whose indexed part ends first
+    in the order, all indexed n-grams but those stand in the other's indexed part.
     """
-    shared = F.ceil(p * (F.col(n) + F.col(m)) / F.lit(p + q))
-    return F.least(*(shared + 1 - F.ceil(p * F.col(k) / F.lit(q)) for k in (n, m)))
+    return F.least(*(_overlap("n", "m", p, q) + 1 - F.ceil(p * F.col(k) / F.lit(q)) for k in ("n", "m")))
+
+
+def _sharing(pairs: DataFrame, lists: DataFrame, p: int, q: int) -> DataFrame:
+    """Of the pairs (a, b, n, m), as (a, b) those that share as many indexed n-grams as linked sets of n and m n-grams do."""
+    x, y = (lists.select(F.col("doc_id").alias(k), F.col("grams").alias(f"grams_{k}")) for k in ("a", "b"))
+    enough = F.size(F.array_intersect("grams_a", "grams_b")) >= _fewest_shared(p, q)
+    return pairs.join(x, "a").join(y, "b").where(enough).select("a", "b").distinct()
+
+
+def _open(index: DataFrame, round_no: int) -> DataFrame:
+    """The rows whose n-gram several components share; whether the inner rows of the n-gram give many more pairs from
+    different components than they are (``crowded``, with these pairs for each row), and whether the row's class is one of
+    its centres in this round."""
+    own = F.xxhash64("doc_id", F.lit(round_no))
+    each = index.groupBy("gram", "part").agg(F.count_if("inner").cast("double").alias("c"), F.min(F.when(F.col("inner"), own)).alias("h"))
+    grams = each.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("c").alias("held"),
+        ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"), F.min("h").alias("h")).where("parts > 1 and held > 0")
+    each_row = F.try_divide("pairs", "held")
+    drawn = F.pmod(own, F.lit(1 << 30)) < F.least(each_row / CROWDED, F.lit(CENTRES)) * (1 << 30) / F.greatest("held", F.lit(1.0))
+    return stored(index.join(grams, "gram").select(
+        "gram", "place", "doc_id", "n", "inner", "part", F.when(F.col("inner") & (F.col("pairs") > CROWDED * F.col("held")), each_row).alias("crowded"),
+        ((own == F.col("h")) | drawn).alias("centre")), "open")
 
 
-def _join_rows(index: DataFrame) -> float:
-    """Pairs of rows with the same n-gram and different components."""
-    each = index.groupBy("gram", "part").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    pairs = each.groupBy("gram").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
-    return pairs.agg(F.sum("pairs")).first()[0] or 0.0
+def _crowded_pairs(index: DataFrame) -> tuple[float, int]:
+    """Pairs of inner rows with the same crowded n-gram and different components, and the number of all rows."""
+    row = index.agg(F.sum("crowded"), F.count(F.lit(1))).first()
+    return row[0] or 0.0, row[1]
 
 
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, p: int = 85,
@@ -214,38 +252,34 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     members = stored(sets.where("n > 0").select("doc_id", "n", "set_a", "set_b").join(same, ["set_a", "set_b"])
                      .select("doc_id", "n", "class_id"), "members")
     first = members.where("doc_id = class_id").select("doc_id").distinct()
-    index = sets.join(first, "doc_id", "left_semi").select("doc_id", "n", F.explode("grams").alias("gram"))
+    index = sets.join(first, "doc_id", "left_semi").select("doc_id", "n", F.posexplode("grams").alias("place", "gram"))
     held = index.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
     shared = stored(index.join(held.where("held > 1").select("gram"), "gram"), "shared")
-    near = F.least("n", "m") * q >= F.greatest("n", "m") * p
-    # These rounds only have to find most links of a group, so pairs that share too few n-grams wait for the last step.
-    # Each round has its own centres: of the classes with an n-gram that several components still share, the first by hash.
-    found_links, n_links, few = [], 0, False
-    open_index, round_no = shared.withColumn("part", F.col("doc_id")), 0
+    # a class is grouped with its own n-grams, never more than its indexed part
+    lists = stored(shared.groupBy("doc_id").agg(F.collect_set("gram").alias("grams")), "lists")
+    marked = shared.withColumn("inner", F.col("place") <= F.col("n") - _overlap("n", "n", p, q))
+    found_links, before, round_no = [], float("inf"), 0
+    open_index = _open(marked.withColumn("part", F.col("doc_id")), round_no)
     while True:
-        centre = open_index.groupBy("gram").agg(F.min(F.xxhash64("doc_id", F.lit(round_no))).alias("h"),
-                                                F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-        open_index = stored(open_index.join(centre.select("gram", "h"), "gram"), "open")
-        if few or _join_rows(open_index) <= ROWS_EACH * open_index.count():
+        pairs, rows = _crowded_pairs(open_index)
+        if pairs <= rows or pairs > LEFT * before:
             break
-        centres = open_index.where(F.xxhash64("doc_id", F.lit(round_no)) == F.col("h")).select(
-            "gram", F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("part").alias("part_a"))
-        stars = (open_index.join(centres, "gram").where("part <> part_a").groupBy("a", F.col("doc_id").alias("b"))
-                 .agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("m").alias("m")).where(near)
-                 .where(2 * F.col("c") >= _fewest_shared("n", "m", p, q)).select("a", "b"))
-        found_links.append(_check(stars, known, width, p, q))
-        new, round_no = found_links[-1].count(), round_no + 1
-        n_links, few = n_links + new, new <= FEW_LINKS * (n_links + new)
-        if new:
-            parts = components(reduce(DataFrame.union, found_links))
-            open_index = (open_index.select("gram", "doc_id", "n").join(parts, F.col("doc_id") == F.col("node"), "left")
-                          .select("gram", "doc_id", "n", F.coalesce("component", "doc_id").alias("part")))
-    left, right = open_index.alias("x"), open_index.select("gram", "doc_id", F.col("n").alias("m"), "part").alias("y")
-    across = (left.join(right, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") < F.col("y.part")) & near)
-              .groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-              .agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
-              .where(F.col("c") >= _fewest_shared("n", "m", p, q)).select("a", "b"))
-    found_links.append(_check(across, known, width, p, q))
+        crowded = open_index.where("crowded is not null")
+        centres = crowded.where("centre").select("gram", F.col("place").alias("at"), F.col("doc_id").alias("a"),
+                                                 F.col("n").alias("m"), F.col("part").alias("part_a"))
+        stars = (crowded.join(centres, "gram").where(F.col("part") != F.col("part_a")).where(_early(p, q))
+                 .select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b"), "n", "m").distinct())
+        found_links.append(_check(_sharing(stars, lists, p, q), known, width, p, q))
+        before, round_no = pairs, round_no + 1
+        parts = components(reduce(DataFrame.union, found_links))
+        open_index = _open(open_index.join(parts, F.col("doc_id") == F.col("node"), "left").select(
+            "gram", "place", "doc_id", "n", "inner", F.coalesce("component", "doc_id").alias("part")), round_no)
+    small = open_index.where("inner").select("gram", F.col("place").alias("at"), F.col("doc_id").alias("b"), F.col("n").alias("m"),
+                                             F.col("part").alias("part_b"))
+    smaller = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("part_b") < F.col("part")))
+    across = (open_index.join(small, "gram").where(F.col("part") != F.col("part_b")).where(smaller).where(_early(p, q))
+              .select(F.least("b", "doc_id").alias("a"), F.greatest("b", "doc_id").alias("b"), "n", "m").distinct())
+    found_links.append(_check(_sharing(across, lists, p, q), known, width, p, q))
     copies = members.where("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
     whole = components(reduce(DataFrame.union, found_links, copies))
     named = (sets.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
