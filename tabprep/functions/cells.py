@@ -55,10 +55,17 @@ class Cuts:
         return node
 
 
-def median_cuts(sample: np.ndarray, pieces: int, n: int, counts: np.ndarray, low: np.ndarray, high: np.ndarray) -> Cuts | None:
+def _worthiest(wide: np.ndarray, worth: np.ndarray | None) -> int:
+    """The widest feature by its worth; features without worth only where no other differs."""
+    weighted = wide if worth is None else wide * worth
+    return int(np.argmax(weighted if weighted.max(initial=0) > 0 else wide))
+
+
+def median_cuts(sample: np.ndarray, pieces: int, n: int, counts: np.ndarray, low: np.ndarray, high: np.ndarray,
+                worth: np.ndarray | None = None) -> Cuts | None:
     """Cuts of a cell into about ``pieces`` by its sample; its exact size and box settle what the sample cannot.
 
-    None if all points of the cell are equal.
+    Features are preferred by width times ``worth``. None if all points of the cell are equal.
     """
     nodes: list[list] = [[-1, 0.0, 0, 0, 0]]
     todo = [(0, np.arange(len(sample)), pieces)]
@@ -73,7 +80,7 @@ def median_cuts(sample: np.ndarray, pieces: int, n: int, counts: np.ndarray, low
         wide = np.zeros(sample.shape[1])
         if len(some):
             wide[some] = np.nanmax(values[:, some], 0) - np.nanmin(values[:, some], 0)
-        j = int(np.argmax(wide * share)) if len(some) else 0
+        j = _worthiest(wide * share, worth) if len(some) else 0
         if wide[j] > 0:
             v = values[has[:, j], j]
             cut = float(np.partition(v, (len(v) - 1) // 2)[(len(v) - 1) // 2])
@@ -97,7 +104,7 @@ def median_cuts(sample: np.ndarray, pieces: int, n: int, counts: np.ndarray, low
         wide = np.where(counts > 0, high - low, 0)
         mixed = (counts > 0) & (counts < n)
         if wide.max() > 0:
-            j = int(wide.argmax())
+            j = _worthiest(wide, worth)
             middle = low[j] / 2 + high[j] / 2
             nodes = [[j, middle if middle < high[j] else low[j], 1, 2, 1]] + [[-1, 0.0, 0, 0, 0]] * 2
         elif mixed.any():
@@ -142,12 +149,15 @@ def children_of(boxes: DataFrame) -> DataFrame:
         .withColumn("cell", F.floor((F.col("child") - 1) / _BASE).cast("bigint"))
 
 
-def cell_tree(points: DataFrame, features: Sequence[str], counted: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, int]:
+def cell_tree(points: DataFrame, features: Sequence[str], counted: Sequence[str] = (),
+              worth: Sequence[float] | None = None) -> tuple[DataFrame, DataFrame, int]:
     """Points with their ``cell``, the ``boxes`` of all nodes, and the depth of the tree.
 
     ``boxes`` has cell, n, c_<feature>, lo_<feature>, hi_<feature>, and c_<column> for the ``counted`` columns. The root
-    is 0; cells that have no children are leaves. Features are doubles without NaN.
+    is 0; cells that have no children are leaves. Features are doubles without NaN. ``worth`` says for each feature how
+    useful cuts by it are, all alike without it.
     """
+    worth = None if worth is None else np.array(worth, float)
     features = list(features)
     placed, depth, levels = points.withColumn("cell", F.lit(0).cast("bigint")).withColumn("__depth", F.lit(0)), 0, []
     plan_schema = T.StructType([T.StructField("cell", T.LongType()), T.StructField("node", T.LongType())] + [
@@ -169,7 +179,7 @@ def cell_tree(points: DataFrame, features: Sequence[str], counted: Sequence[str]
         def build(drawn: pd.DataFrame, box: pd.DataFrame) -> pd.DataFrame:
             b = box.iloc[0]
             exact = [np.array([b[f"{kind}_{f}"] for f in features], float) for kind in ("c", "lo", "hi")]
-            cuts = median_cuts(drawn[features].to_numpy(float), int(b["__pieces"]), int(b["n"]), *exact)
+            cuts = median_cuts(drawn[features].to_numpy(float), int(b["__pieces"]), int(b["n"]), *exact, worth)
             out = pd.DataFrame({"node": [], **{x: [] for x in plan_schema.names[2:]}} if cuts is None else
                                {"node": range(len(cuts.feature)), **{x: getattr(cuts, x) for x in plan_schema.names[2:]}})
             out.insert(0, "cell", b["cell"])

@@ -149,3 +149,21 @@ def test_bounds_never_exceed_distances():
                **{f"hi_{f}": d[f].max() for f in d}}
         bounds = cells.Boxes(pd.DataFrame([row]), list(d)).bounds(q)[:, 0]
         assert (bounds <= N._distances(q, d.to_numpy()).min(1)).all()
+
+
+def test_cells_are_not_cut_by_what_no_query_has(spark):
+    # the wanted column is the widest feature; cut by it, every query would have to search all of its slices
+    rng = np.random.default_rng(5)
+    donors = pd.DataFrame({"id": np.arange(30_000), "v": rng.integers(0, 100_000, 30_000).astype(float),
+                           "a": rng.integers(0, 3_000, 30_000).astype(float)})
+    asked = pd.DataFrame({"id": np.arange(200), "want": 0, "v": np.nan, "a": rng.integers(0, 3_000, 200).astype(float)})
+    trace: dict = {}
+    queries = spark.createDataFrame(asked, "id long, want int, v double, a double")
+    found = N.nearest(queries, spark.createDataFrame(donors, "id long, v double, a double"), ["v", "a"], 5, ["v"], "cells", trace)
+    got = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("dist2", "donor"))).alias("near")).collect()
+    assert trace["cells"] > 5 and trace["searched"] < 2 * trace["queries"]
+    for r in got:
+        far = (donors["a"] - asked["a"][r.id]) ** 2 * 2
+        want = sorted(zip(far, donors["id"], strict=True))[:5]
+        assert [(x.dist2, x.donor) for x in r.near] == want
+    assert len(got) == 200
